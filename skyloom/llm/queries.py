@@ -22,7 +22,7 @@ kept AS (SELECT words.doc_id, string_agg(x, ' ' ORDER BY words.p) AS t
          WHERE g.p IS NULL GROUP BY words.doc_id)
 SELECT f.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed,
        sha256(coalesce(t, '')) AS kept_sha256,
-       CAST(len(list_filter(ps, p -> NOT list_contains(ps, p - 1))) AS BIGINT) AS n_intervals
+       CAST(len(list_filter(ps, lambda p: NOT list_contains(ps, p - 1))) AS BIGINT) AS n_intervals
 FROM flags f LEFT JOIN kept USING (doc_id)
 """
 
