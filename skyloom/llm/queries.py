@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from skyloom.llm.simhash import op9_simhash
 from skyloom.llm.substring_dedup import WINDOW, op3_substring_dedup
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op9_simhash": op9_simhash,
 }
 
 _OP3 = rf"""
