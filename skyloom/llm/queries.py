@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from skyloom.llm.language_id import op5_language_id
+from skyloom.llm.license_scan import op4_license_scan
 from skyloom.llm.simhash import op9_simhash
 from skyloom.llm.substring_dedup import WINDOW, op3_substring_dedup
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_license_scan": op4_license_scan,
+    "op5_language_id": op5_language_id,
     "op9_simhash": op9_simhash,
 }
 

@@ -32,17 +32,13 @@ from skyloom.llm import textkit as tk
 from skyloom.llm.work import components, exchange, partitions, stored
 
 SHINGLE, ERRORS, SEED = 4, 4, 42
-#: Shingle length and similarity of the pipeline's near duplicates: documents are grouped by fingerprint alone.
 _U = np.uint64
 
 
 def fingerprint_slice(w: tk.Words, shingle: int = SHINGLE) -> np.ndarray:
     """The fingerprints of a slice of texts."""
     size = w.ends - w.starts
-    inside = np.repeat(w.starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    at = np.cumsum(size + 1) - (size + 1)
-    spaced = np.full(int((size + 1).sum()), 32, np.uint8)
-    spaced[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())] = w.data[inside]
+    spaced, at = w.spaced()
     text = spaced.tobytes()
     n = np.where(w.counts == 0, 0, np.maximum(w.counts - shingle + 1, 1))
     owner = np.repeat(np.arange(len(n)), n)

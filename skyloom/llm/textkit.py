@@ -121,6 +121,16 @@ class Words:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
+    def spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words joined by one space, as bytes, and where each word starts there."""
+        size = self.ends - self.starts
+        before = np.cumsum(size) - size
+        at = before + np.arange(len(size))
+        within = np.arange(size.sum())
+        out = np.full(len(within) + len(size), 32, np.uint8)
+        out[np.repeat(at - before, size) + within] = self.data[np.repeat(self.starts - before, size) + within]
+        return out, at
+
     def hashes(self) -> np.ndarray:
         return spans_hash(_BYTE_VALUES[self.data], _BYTE_POWERS, self.starts, self.ends)
 
