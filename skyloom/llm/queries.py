@@ -6,11 +6,13 @@ from skyloom.llm.language_id import op5_language_id
 from skyloom.llm.license_scan import op4_license_scan
 from skyloom.llm.simhash import op9_simhash
 from skyloom.llm.substring_dedup import WINDOW, op3_substring_dedup
+from skyloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
     "op9_simhash": op9_simhash,
 }
 
