@@ -6,7 +6,8 @@ they merge into maximal removal intervals.
 
 Skew: a task first counts its own windows. Hashes it holds more than once are
 settled there and sent on once, so a passage that millions of documents share
-puts at most one entry per block of input into its bucket.
+puts at most one entry per block of input into its bucket. Blocks and replies
+cross as packed rows, one per block and bucket.
 
 Cases: a null or empty text has no words and keeps none; texts shorter than the
 window lose nothing; rows that are equal in every column repeat each other's
@@ -31,13 +32,38 @@ WINDOW = 35
 #: Words that a task holds before it counts and ships their windows.
 BLOCK_WORDS = 1_500_000
 
-_BLOCK = "bucket int, key long, payload binary"
-_REPLY = "key long, positions array<int>"
+_BLOCK = "bucket int, reply boolean, payload binary"
+_REPLY = "bucket int, payload binary"
+_FOUND = "key long, starts array<int>, stops array<int>"
+
+
+def _steps(keys: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in document order as (document keys, first entry of each, differences within it)."""
+    first = tk.runs(keys)
+    step = np.diff(positions, prepend=0)
+    step[first] = positions[first]
+    return keys[first], first.astype(np.int32), step.astype(np.int32)
+
+
+def _positions(first: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Undo ``_steps``: (document index, position) of each entry."""
+    total = np.cumsum(step, dtype=np.int64)
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(step))))
+    return of, total - (total[first] - step[first])[of]
+
+
+def _by_document(keys: np.ndarray, positions: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Entries in document order, packed for the buckets that the document keys name."""
+    order, bound = tk.split_by(keys % buckets, buckets)
+    for k in range(buckets):
+        own = order[bound[k] : bound[k + 1]]
+        if len(own):
+            yield k, pack(*_steps(keys[own], positions[own]))
 
 
 def _blocks(window: int, buckets: int):
     """Per block of input: packed window hashes by bucket, and positions that the block itself shows to repeat."""
-    schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("reply", pa.bool_()), ("payload", pa.binary())])
 
     def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         hashes, keys, positions = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -48,23 +74,14 @@ def _blocks(window: int, buckets: int):
         local = np.zeros(len(hashes), bool)
         local[order[np.repeat(size > 1, size)]] = True
         repeated = ordered[start[size > 1]]
-        out: list[tuple[int, int | None, bytes]] = []
-        at = np.flatnonzero(local)
-        if len(at):
-            first = tk.runs(keys[at])
-            for a, b in zip(first, np.append(first[1:], len(at)), strict=True):
-                key = int(keys[at[a]])
-                out.append((key % buckets, key, pack(positions[at[a:b]])))
+        out = [(k, True, x) for k, x in _by_document(keys[local], positions[local], buckets)]
         alone = np.flatnonzero(~local)
         by, bound = tk.split_by((hashes[alone] % np.uint64(buckets)).astype(np.int64), buckets)
         rep_by, rep_bound = tk.split_by((repeated % np.uint64(buckets)).astype(np.int64), buckets)
         for k in range(buckets):
             own, rep = alone[by[bound[k] : bound[k + 1]]], repeated[rep_by[rep_bound[k] : rep_bound[k + 1]]]
             if len(own) or len(rep):
-                first = tk.runs(keys[own])
-                step = np.diff(positions[own], prepend=0)
-                step[first] = positions[own][first]
-                out.append((k, None, pack(hashes[own], rep, keys[own][first], first.astype(np.int32), step.astype(np.int32))))
+                out.append((k, False, pack(hashes[own], rep, *_steps(keys[own], positions[own]))))
         for i in range(0, len(out), 500):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 500], strict=True), schema.types, strict=True)], schema=schema)
 
@@ -86,41 +103,69 @@ def _blocks(window: int, buckets: int):
     return run
 
 
-def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All blocks of a bucket: which hashes occur again, as positions by document."""
-    schema = pa.schema([("key", pa.int64()), ("positions", pa.list_(pa.int32()))])
-    emit = lambda keys, starts, values: pa.RecordBatch.from_arrays([pa.array(keys), tk.lists(values, starts)], schema=schema)
-    packed = []
+def _count(buckets: int):
+    """All blocks of a bucket: which hashes occur again, as positions packed for the documents' buckets."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = []
+        for batch in it:
+            reply = batch.column("reply").to_numpy(zero_copy_only=False)
+            done = batch.filter(batch.column("reply"))
+            yield pa.RecordBatch.from_arrays([done.column("bucket"), done.column("payload")], names=["bucket", "payload"])
+            packed += [unpack(x.as_py()) for x, r in zip(batch.column("payload"), reply, strict=True) if not r]
+        if not packed:
+            return
+        entries = np.concatenate([x for p in packed for x in (p[0], p[1], p[1])])
+        entries.sort()
+        again = entries[1:][entries[1:] == entries[:-1]]
+        del entries
+        again = again[tk.runs(again)]
+        keys, positions = [], []
+        for hashes, _, key, first, step in packed:
+            dup = tk.member(hashes, again)
+            of, at = _positions(first, step)
+            keys.append(key[of[dup]])
+            positions.append(at[dup])
+        out = list(_by_document(np.concatenate(keys), np.concatenate(positions), buckets))
+        if out:
+            k, x = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(x, pa.binary())], names=["bucket", "payload"])
+
+    return run
+
+
+def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All replies to a bucket's documents: the runs of repeated window starts of each, as [start, stop)."""
+    keys, positions = [], []
     for batch in it:
-        for key, payload in zip(batch.column("key").to_pylist(), batch.column("payload"), strict=True):
-            if key is None:
-                packed.append(unpack(payload.as_py()))
-            else:
-                values = unpack(payload.as_py())[0]
-                yield emit(np.array([key]), np.array([0]), values)
-    if not packed:
+        for x in batch.column("payload"):
+            key, first, step = unpack(x.as_py())
+            of, at = _positions(first, step)
+            keys.append(key[of])
+            positions.append(at)
+    if not keys:
         return
-    entries = np.concatenate([x for p in packed for x in (p[0], p[1], p[1])])
-    entries.sort()
-    again = entries[1:][entries[1:] == entries[:-1]]
-    del entries
-    again = again[tk.runs(again)]
-    for hashes, _, keys, first, step in packed:
-        dup = tk.member(hashes, again)
-        if not dup.any():
-            continue
-        position = np.cumsum(step, dtype=np.int64)
-        base = position[first] - step[first]
-        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(step))))
-        position -= base[of]
-        starts = tk.runs(of[dup])
-        yield emit(keys[of[dup][starts]], starts, position[dup].astype(np.int32))
+    key, at = np.concatenate(keys), np.concatenate(positions)
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (at[1:] > at[:-1] + 1)
+    begin = np.flatnonzero(new)
+    stop = at[np.append(begin[1:], len(at)) - 1] + 1
+    first = tk.runs(key[begin])
+    for i in range(0, len(first), 2000):
+        a, b = first[i], first[i + 2000] if i + 2000 < len(first) else len(begin)
+        cut = first[i : i + 2000] - a
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[begin[first[i : i + 2000]]]), tk.lists(at[begin[a:b]].astype(np.int32), cut), tk.lists(stop[a:b].astype(np.int32), cut)],
+            names=["key", "starts", "stops"],
+        )
 
 
 def _removals(window: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = batch.column("positions")
+            starts, stops = batch.column("starts"), batch.column("stops")
             kept: list[str | None] = []
             n_words, n_removed, digests, spans = [], [], [], []
             for a, b, w in tk.batches_of_words(batch, "text"):
@@ -130,11 +175,10 @@ def _removals(window: int):
                     n = int(hi - lo)
                     keep = np.ones(n, bool)
                     gone: list[dict[str, int]] = []
-                    if found[i].is_valid:
+                    if starts[i].is_valid:
                         change = np.zeros(n + 1, np.int32)
-                        at = np.unique(found[i].values.to_numpy())
-                        change[at] += 1
-                        change[at + window] -= 1
+                        change[starts[i].values.to_numpy()] = 1
+                        np.subtract.at(change, stops[i].values.to_numpy() + window - 1, 1)
                         covered = np.cumsum(change[:n]) > 0
                         keep = ~covered
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
@@ -168,8 +212,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> D
     ).withColumn("key", F.xxhash64("rest", "text"))
     n = partitions(spark)
     blocks = exchange(base.select("key", "text").mapInArrow(_blocks(window, n), _BLOCK))
-    replies = blocks.mapInArrow(_count, _REPLY).groupBy("key").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-    joined = base.join(replies, "key", "left").select("rest", "text", "positions")
+    repeats = exchange(blocks.mapInArrow(_count(n), _REPLY)).mapInArrow(_merge, _FOUND)
+    joined = base.join(repeats, "key", "left").select("rest", "text", "starts", "stops")
     out = T.StructType(
         [
             *base.select("rest", "text").schema,
