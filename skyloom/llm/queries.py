@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from skyloom.llm.language_id import op5_language_id
 from skyloom.llm.license_scan import op4_license_scan
+from skyloom.llm.order_minhash import op8_order_minhash
+from skyloom.llm.packing import op2_best_fit_packing
 from skyloom.llm.simhash import op9_simhash
 from skyloom.llm.substring_dedup import WINDOW, op3_substring_dedup
 from skyloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
+    "op8_order_minhash": op8_order_minhash,
     "op9_simhash": op9_simhash,
 }
 

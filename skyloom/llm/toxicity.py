@@ -6,9 +6,10 @@
    character may stand for itself, for the letters it imitates, for nothing if it
    separates or repeats. Viterbi finds the likeliest reading. Any other token has
    one path, its own letters, so it is not decoded.
-3. Words and their beginnings are evidence: a feature counts with the lower bound
-   of its share of toxic training documents (Wilson, ``Z``), and a text scores as
-   its strongest feature, on the text as written and as restored.
+3. Words and their beginnings are evidence: a word counts with the lower bound of
+   its share of toxic training documents (Wilson, ``Z``), a beginning with that of
+   the words that start so; a text scores as its strongest feature, on the text as
+   written and as restored.
 
 Labels are learned from at most ``SAMPLE`` labelled rows, drawn by hash of the id,
 of which near copies (equal minimal word hash) count once.
@@ -163,15 +164,15 @@ def hidden(data: np.ndarray, tokens: tk.Words) -> list[tuple[int, str]]:
     return out
 
 
-def features(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of the features of all words: the word itself, and its beginnings."""
-    size, owner = w.ends - w.starts, w.owner()
-    hashes, owners = [w.hashes()], [owner]
+def features(w: tk.Words) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of each word and of its beginnings (0 where a word is not longer), and the text of each word."""
+    size = w.ends - w.starts
+    hashes = [w.hashes()]
+    values = tk._BYTE_VALUES[w.data]
     for n in STEMS:
-        long = size > n
-        hashes.append(tk.mix(tk.spans_hash(tk._BYTE_VALUES[w.data], tk._BYTE_POWERS, w.starts[long], w.starts[long] + n) ^ np.uint64(n)))
-        owners.append(owner[long])
-    return np.concatenate(hashes), np.concatenate(owners)
+        stem = tk.mix(tk.spans_hash(values, tk._BYTE_POWERS, w.starts, np.minimum(w.starts + n, len(w.data))) ^ np.uint64(n))
+        hashes.append(np.where(size > n, stem, np.uint64(0)))
+    return hashes, w.owner()
 
 
 def _restored_words(texts: list[str]) -> tk.Words:
@@ -179,14 +180,9 @@ def _restored_words(texts: list[str]) -> tk.Words:
     return tk.Words(data, offsets, tk.NON_ALNUM, lower=True)
 
 
-def _slice_features(data: np.ndarray, offsets: np.ndarray, model: CharModel, known: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of a slice as written and as restored, and each text's minimal word hash."""
-    w = tk.Words(data, offsets, tk.NON_ALNUM, lower=True)
-    hashes, owner = features(w)
-    least = np.full(len(w.counts), np.iinfo(np.uint64).max, np.uint64)
-    full = np.flatnonzero(w.counts)
-    if len(full):
-        least[full] = np.minimum.reduceat(hashes[: w.counts.sum()], w.first[full])
+def _slice_features(data: np.ndarray, offsets: np.ndarray, model: CharModel, known: dict[str, str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The features of a slice, as written and as restored."""
+    hashes, owner = features(tk.Words(data, offsets, tk.NON_ALNUM, lower=True))
     tokens = tk.Words(data, offsets, tk.WHITESPACE, lower=True)
     found = hidden(tokens.data, tokens)
     if found:
@@ -199,9 +195,9 @@ def _slice_features(data: np.ndarray, offsets: np.ndarray, model: CharModel, kno
                 got = known[token] = restore(token, model)
             words.append(got)
         more, which = features(_restored_words(words))
-        hashes = np.concatenate([hashes, more])
+        hashes = [np.concatenate(x) for x in zip(hashes, more, strict=True)]
         owner = np.concatenate([owner, np.array([i for i, _ in found], np.int64)[which]])
-    return hashes, owner, least
+    return hashes, owner
 
 
 def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,16 +221,20 @@ def _evidence(model: CharModel):
             toxic = batch.column("toxic").to_numpy()
             data, offsets = tk.text_buffer(batch.column("text"))
             for a, b in tk.slices(offsets):
-                hashes, owner, _ = _slice_features(data[offsets[a] : offsets[b]], offsets[a : b + 1], model, known)
-                order = np.lexsort((owner, hashes))
-                hashes, owner = hashes[order], owner[order]
-                new = np.ones(len(hashes), bool)
-                new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-                hashes, bad = hashes[new], toxic[a:b][owner[new]]
-                at = tk.runs(hashes)
+                (word, *stems), owner = _slice_features(data[offsets[a] : offsets[b]], offsets[a : b + 1], model, known)
+                order = np.lexsort((owner, word))
+                word, owner = word[order], owner[order]
+                new = np.ones(len(word), bool)
+                new[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
+                order, word, bad = order[new], word[new], toxic[a:b][owner[new]]
+                at = tk.runs(word)
                 if len(at):
-                    n = np.diff(np.append(at, len(hashes)))
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(n), pa.array(np.add.reduceat(bad, at).astype(np.int64))], names=["feature", "n", "bad"])
+                    n = np.diff(np.append(at, len(word)))
+                    cols = [word[at], *(x[order[at]] for x in stems)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(x.view(np.int64)) for x in cols), pa.array(n), pa.array(np.add.reduceat(bad, at).astype(np.int64))],
+                        names=["word", *(f"stem{x}" for x in STEMS), "n", "bad"],
+                    )
 
     return run
 
@@ -250,8 +250,14 @@ def learn_evidence(docs: DataFrame, labels: DataFrame, model: CharModel, sample:
     chosen = known.where(F.lit(False) if last is None else F.col("draw") <= last).select("id", "toxic")
     drawn = docs.select(docs[id].alias("id"), docs[text].alias("text")).join(F.broadcast(chosen), "id").select("text", "toxic")
     once = drawn.mapInArrow(_signatures, "text string, toxic int, sign long").groupBy("sign", "toxic").agg(F.min("text").alias("text"))
-    counts = once.select("text", "toxic").mapInArrow(_evidence(model), "feature long, n long, bad long")
-    total = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where("bad > 1")
+    stems = [f"stem{x}" for x in STEMS]
+    schema = "word long, " + ", ".join(f"{x} long" for x in stems) + ", n long, bad long"
+    counts = once.select("text", "toxic").mapInArrow(_evidence(model), schema).groupBy("word", *stems).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    words = counts.select(F.col("word").alias("feature"), "n", F.col("bad").cast("double").alias("bad"))
+    # A beginning is judged by its words, each one observation: a single word says nothing about others like it.
+    each = counts.select(F.explode(F.array(*stems)).alias("feature"), (F.col("bad") / F.col("n")).alias("bad")).where("feature <> 0")
+    begun = each.groupBy("feature").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    total = words.union(begun).where("bad > 1")
     p, z2 = F.col("bad") / F.col("n"), Z * Z
     low = (p + z2 / (2 * F.col("n")) - Z * F.sqrt(p * (1 - p) / F.col("n") + z2 / (4 * F.col("n") * F.col("n")))) / (1 + z2 / F.col("n"))
     kept = sorted(total.select("feature", low.alias("low")).where(F.col("low") >= LEAST).collect())
@@ -271,10 +277,11 @@ def score(docs: DataFrame, model: CharModel, evidence: tuple[np.ndarray, np.ndar
             data, offsets = tk.text_buffer(batch.column("text"))
             for a, b in tk.slices(offsets):
                 got = np.zeros(b - a)
-                found, owner, _ = _slice_features(data[offsets[a] : offsets[b]], offsets[a : b + 1], model, known)
-                hit = tk.member(found, hashes)
-                if hit.any():
-                    np.maximum.at(got, owner[hit], low[np.searchsorted(hashes, found[hit])])
+                every, owner = _slice_features(data[offsets[a] : offsets[b]], offsets[a : b + 1], model, known)
+                for found in every:
+                    hit = tk.member(found, hashes)
+                    if hit.any():
+                        np.maximum.at(got, owner[hit], low[np.searchsorted(hashes, found[hit])])
                 out.append(got)
             yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("text"), pa.array(np.concatenate([np.zeros(0), *out]))], names=["rest", "text", "score"])
 
