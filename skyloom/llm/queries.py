@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from skyloom.llm.embedding_dedup import op10_embedding_dedup
 from skyloom.llm.language_id import op5_language_id
 from skyloom.llm.license_scan import op4_license_scan
 from skyloom.llm.order_minhash import op8_order_minhash
 from skyloom.llm.packing import op2_best_fit_packing
+from skyloom.llm.sentencepiece_unigram import op7_sentencepiece
 from skyloom.llm.simhash import op9_simhash
 from skyloom.llm.substring_dedup import WINDOW, op3_substring_dedup
 from skyloom.llm.toxicity import op6_toxicity
@@ -16,8 +18,10 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_order_minhash": op8_order_minhash,
     "op9_simhash": op9_simhash,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 _OP3 = rf"""
