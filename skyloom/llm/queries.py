@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skyloom.llm.embedding_dedup import op10_embedding_dedup
+from skyloom.llm.katz import op1_katz
 from skyloom.llm.language_id import op5_language_id
 from skyloom.llm.license_scan import op4_license_scan
 from skyloom.llm.order_minhash import op8_order_minhash
@@ -13,6 +14,7 @@ from skyloom.llm.substring_dedup import WINDOW, op3_substring_dedup
 from skyloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_katz": op1_katz,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_license_scan": op4_license_scan,
