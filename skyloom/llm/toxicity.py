@@ -12,7 +12,7 @@
    written and as restored.
 
 Labels are learned from at most ``SAMPLE`` labelled rows, drawn by hash of the id,
-of which near copies (equal minimal word hash) count once.
+of which near copies (equal minimal hash of five-word runs) count once.
 
 Cases: null, empty and wordless texts score 0; without labelled rows every text
 scores 0; ids with more than one label teach the larger; repeated rows score alike.
@@ -201,13 +201,16 @@ def _slice_features(data: np.ndarray, offsets: np.ndarray, model: CharModel, kno
 
 
 def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The minimal hash of the five-word runs of each text (of its words, if it is shorter)."""
     for batch in it:
         out = []
         for _, _, w in tk.batches_of_words(batch, "text", separators=tk.NON_ALNUM, lower=True):
             least = np.zeros(len(w.counts), np.uint64)
-            full = np.flatnonzero(w.counts)
-            if len(full):
-                least[full] = np.minimum.reduceat(w.hashes(), w.first[full])
+            hashes, owner, _ = w.windows(5)
+            for values, first in ((w.hashes(), w.first[:-1]), (hashes, np.searchsorted(owner, np.arange(len(w.counts))))):
+                full = np.flatnonzero(np.diff(np.append(first, len(values))))
+                if len(full):
+                    least[full] = np.minimum.reduceat(values, first[full])
             out.append(least)
         yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(np.concatenate(out).view(np.int64))], names=["text", "toxic", "sign"])
 
