@@ -40,7 +40,7 @@ from skyloom.llm.work import exchange, pack, partitions, stored, unpack
 
 HEAD_BITS, HOT_BITS = 18, 10
 CUTOFF, TRIM = 5, 0.01
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 600_000
 
 START, END, FIRST = 0, 1, 2
 _RARE = 1 << 62

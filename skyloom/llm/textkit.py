@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: Separators of alphanumeric words: every ASCII byte that is not a digit or letter.
 NON_ALNUM = bytes(b for b in range(0x80) if not chr(b).isalnum())

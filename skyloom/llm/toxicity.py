@@ -9,7 +9,8 @@
 3. Words and their beginnings are evidence: a word counts with the lower bound of
    its share of toxic training documents (Wilson, ``Z``), a beginning with that of
    the words that start so; a text scores as its strongest feature, on the text as
-   written and as restored.
+   written and as restored. Features that are the strongest of no ``EXPLAINS``
+   toxic training texts go: they only come along with others.
 
 Labels are learned from at most ``SAMPLE`` labelled rows, drawn by hash of the id,
 of which near copies (equal minimal hash of five-word runs) count once.
@@ -34,8 +35,10 @@ from skyloom.llm.language_id import split
 
 #: Labelled rows that teach the evidence, at most.
 SAMPLE = 12_000
-#: Confidence of the lower bound, and the bound that a feature needs to be kept.
-Z, LEAST = 2.5, 0.2
+#: Confidence of the lower bounds of words and of beginnings, and the bound that a feature needs to be kept.
+Z, Z_STEM, LEAST = 2.5, 3.2, 0.2
+#: Texts of which a feature must be the strongest one, at least: what merely comes along with stronger evidence is none.
+EXPLAINS = 1
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6)
 
@@ -256,17 +259,42 @@ def learn_evidence(docs: DataFrame, labels: DataFrame, model: CharModel, sample:
     stems = [f"stem{x}" for x in STEMS]
     schema = "word long, " + ", ".join(f"{x} long" for x in stems) + ", n long, bad long"
     counts = once.select("text", "toxic").mapInArrow(_evidence(model), schema).groupBy("word", *stems).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    words = counts.select(F.col("word").alias("feature"), "n", F.col("bad").cast("double").alias("bad"))
+    words = counts.select(F.col("word").alias("feature"), "n", F.col("bad").cast("double").alias("bad"), F.lit(Z).alias("z"))
     # A beginning is judged by its words, each one observation: a single word says nothing about others like it.
     each = counts.select(F.explode(F.array(*stems)).alias("feature"), (F.col("bad") / F.col("n")).alias("bad")).where("feature <> 0")
-    begun = each.groupBy("feature").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    begun = each.groupBy("feature").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumn("z", F.lit(Z_STEM))
     total = words.union(begun).where("bad > 1")
-    p, z2 = F.col("bad") / F.col("n"), Z * Z
-    low = (p + z2 / (2 * F.col("n")) - Z * F.sqrt(p * (1 - p) / F.col("n") + z2 / (4 * F.col("n") * F.col("n")))) / (1 + z2 / F.col("n"))
+    n, z = F.col("n"), F.col("z")
+    p = F.col("bad") / n
+    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     kept = sorted(total.select("feature", low.alias("low")).where(F.col("low") >= LEAST).collect())
     hashes = np.array([r["feature"] for r in kept], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], np.array([r["low"] for r in kept], float)[order]
+    found = hashes[order], np.array([r["low"] for r in kept], float)[order]
+    best = once.where("toxic = 1").select("text").mapInArrow(_strongest(model, found), "feature long").groupBy("feature").count().where(F.col("count") >= EXPLAINS)
+    needed = np.isin(found[0], np.array([r["feature"] for r in best.collect()], np.int64).view(np.uint64))
+    return found[0][needed], found[1][needed]
+
+
+def _strongest(model: CharModel, evidence: tuple[np.ndarray, np.ndarray]):
+    """The strongest features of each text, once per text."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for batch in it:
+            data, offsets = tk.text_buffer(batch.column("text"))
+            for a, b in tk.slices(offsets):
+                every, owner = _slice_features(data[offsets[a] : offsets[b]], offsets[a : b + 1], model, known)
+                top = np.zeros(b - a)
+                hits = [(owner[hit], np.searchsorted(evidence[0], found[hit])) for found in every for hit in [tk.member(found, evidence[0])]]
+                which, at = (np.concatenate(x) for x in zip(*hits, strict=True))
+                if len(which):
+                    np.maximum.at(top, which, evidence[1][at])
+                    good = evidence[1][at] >= top[which]
+                    pair = np.unique(np.stack([which[good], at[good]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(evidence[0][pair[1]].view(np.int64))], names=["feature"])
+
+    return run
 
 
 def score(docs: DataFrame, model: CharModel, evidence: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:

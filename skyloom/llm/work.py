@@ -27,7 +27,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skyloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # The table replaces all that led to it, so the shuffle files of the write can go at its end.
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._skyloom_path = path
     return back
