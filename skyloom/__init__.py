@@ -1,0 +1 @@
+"""Sky-field analytics on Spark."""
