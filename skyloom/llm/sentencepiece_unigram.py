@@ -2,8 +2,8 @@
 
 A text gets a space in front; spaces are the pieces' marker (U+2581). No piece holds
 a marker behind another character, so a text falls into chunks, spaces and the rest
-up to the next space, that are segmented on their own, each distinct chunk of a
-slice once. All chunks advance together: one numpy step matches one more byte at
+up to the next space, that are segmented on their own, each distinct chunk once
+while a task remembers it. All chunks advance together: one numpy step matches one more byte at
 every start, or relaxes the paths from one more position.
 
 A character that no piece covers costs ``UNKNOWN`` below the lowest score and becomes
@@ -181,8 +181,36 @@ def segment(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     return ids, np.concatenate([[0], np.cumsum(np.bincount(np.repeat(which, times), minlength=n))])
 
 
-def encode_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Known:
+    """Chunks that a task has segmented, by hash; it starts anew beyond ``LIMIT`` chunks."""
+
+    LIMIT = 400_000
+
+    def __init__(self):
+        self.hashes = np.zeros(0, np.uint64)
+        self.start = self.count = self.ids = np.zeros(0, np.int64)
+
+    def look_up(self, v: Vocabulary, hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` the pieces of distinct chunks (hashes in order) start, and how many they are."""
+        if len(self.hashes) + len(hashes) > self.LIMIT:
+            self.__init__()
+        new = np.flatnonzero(~tk.member(hashes, self.hashes))
+        if len(new):
+            length = (end - begin)[new]
+            chunks = np.concatenate([[0], np.cumsum(length)])
+            ids, bounds = segment(v, data[np.repeat(begin[new] - chunks[:-1], length) + np.arange(chunks[-1])], chunks)
+            order = np.argsort(both := np.concatenate([self.hashes, hashes[new]]), kind="stable")
+            self.hashes = both[order]
+            self.start = np.concatenate([self.start, bounds[:-1] + len(self.ids)])[order]
+            self.count = np.concatenate([self.count, np.diff(bounds)])[order]
+            self.ids = np.concatenate([self.ids, ids])
+        at = np.searchsorted(self.hashes, hashes)
+        return self.start[at], self.count[at]
+
+
+def encode_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds) of the texts that lie end to end in data."""
+    known = known or Known()
     offsets = offsets - offsets[0]
     size = np.diff(offsets)
     full = size > 0
@@ -203,12 +231,10 @@ def encode_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[
     distinct = order[lead]
     back = np.empty(len(begin), np.int64)
     back[order] = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(order))))
-    length = (end - begin)[distinct]
-    chunks = np.concatenate([[0], np.cumsum(length)])
-    ids, bounds = segment(v, data[np.repeat(begin[distinct] - chunks[:-1], length) + np.arange(chunks[-1])], chunks)
-    count = np.diff(bounds)[back]
+    first, count = known.look_up(v, hashes[distinct], data, begin[distinct], end[distinct])
+    first, count = first[back], count[back]
     total = np.concatenate([[0], np.cumsum(count)])
-    out = ids[np.repeat(bounds[:-1][back] - total[:-1], count) + np.arange(total[-1])]
+    out = known.ids[np.repeat(first - total[:-1], count) + np.arange(total[-1])]
     return out, total[np.searchsorted(begin, offsets, "left")]
 
 
@@ -222,11 +248,11 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v, known = shared.value, Known()
         for batch in it:
             data, offsets = tk.text_buffer(batch.column("text"))
             for a, b in tk.slices(offsets):
-                ids, bounds = encode_slice(v, data[offsets[a] : offsets[b]], offsets[a : b + 1])
+                ids, bounds = encode_slice(v, data[offsets[a] : offsets[b]], offsets[a : b + 1], known)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), lists], names=["id", "ids"])
 

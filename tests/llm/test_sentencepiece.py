@@ -68,6 +68,15 @@ def test_public_vocabulary_against_dictionaries_and_round_trip():
     assert sp.decode(got[-1]) == texts[-1]
 
 
+def test_remembered_chunks_change_nothing(monkeypatch):
+    monkeypatch.setattr(su.Known, "LIMIT", 40)
+    known, texts = su.Known(), [prose(i % 7, 30) + " abc" * (i % 3) for i in range(25)]
+    for t in texts:
+        data, offsets = tk.text_buffer(pa.array([t]))
+        ids, bounds = su.encode_slice(SMALL, data, offsets, known)
+        assert ids[bounds[0] : bounds[1]].tolist() == brute(SMALL, PIECES, t)
+
+
 @needs_file
 def test_frames(spark):
     texts = [*ODD, "a", "a"]
