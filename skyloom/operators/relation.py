@@ -111,7 +111,7 @@ def updated_codes(assigned: DataFrame, codes: DataFrame, decay: float = 0.99, ep
     seen = assigned.groupBy("code", "i").agg(F.count("*").alias("n"), F.sum("x").alias("s"))
     flat = codes.select("code", "size", F.posexplode("vec").alias("i", "v"))
     new = flat.join(seen, ["code", "i"], "left").withColumn("size", decay * F.col("size") + (1 - decay) * F.coalesce("n", F.lit(0)))
-    new = new.withColumn("s", decay * F.col("v") * (F.col("size") - (1 - decay) * F.coalesce("n", F.lit(0))) / decay + (1 - decay) * F.coalesce("s", F.lit(0.0)))
+    new = new.withColumn("s", F.col("v") * (F.col("size") - (1 - decay) * F.coalesce("n", F.lit(0))) + (1 - decay) * F.coalesce("s", F.lit(0.0)))
     grouped = new.groupBy("code").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("i", "s"))).alias("s"))
     everything = Window.partitionBy()
     total, k = F.sum("size").over(everything), F.count("*").over(everything)

@@ -57,7 +57,7 @@ def raster(df: DataFrame, value: str, rows: int = 90, columns: int = 180) -> Dat
 
 
 def flow(grid: DataFrame, value: str, turn: float = 0.0) -> DataFrame:
-    """Central differences of a raster along both axes (0 off the map), turned by an angle."""
+    """Central differences of a raster along both axes (one-sided by half at its edges), turned by an angle: flow_x, flow_y."""
     here = grid.select("row", "column", value)
     shifted = lambda dr, dc: here.select((F.col("row") - dr).alias("row"), (F.col("column") - dc).alias("column"), F.col(value).alias(f"_{dr}_{dc}"))
     out = here
@@ -66,4 +66,4 @@ def flow(grid: DataFrame, value: str, turn: float = 0.0) -> DataFrame:
     at = lambda dr, dc: F.coalesce(F.col(f"_{dr}_{dc}"), F.col(value))
     u, v = (at(0, 1) - at(0, -1)) / 2, (at(1, 0) - at(-1, 0)) / 2
     c, s = F.cos(F.lit(turn)), F.sin(F.lit(turn))
-    return out.select("row", "column", value, (u * c - v * s).alias("u"), (u * s + v * c).alias("v"))
+    return out.select("row", "column", value, (u * c - v * s).alias("flow_x"), (u * s + v * c).alias("flow_y"))

@@ -50,7 +50,7 @@ def packed(df: DataFrame, size: int, frame: str = "frame", state: str = "state")
         return pd.DataFrame({"start": [int(pdf.frame.iloc[0])], "content": [encode_chunk(pdf.frame.iloc[0], np.stack(pdf.state.to_numpy()))]})
 
     base = df.select(F.col(frame).cast("long").alias("frame"), F.col(state).cast("array<float>").alias("state"))
-    return base.groupBy(F.floor(F.col("frame") / size).alias("chunk")).applyInPandas(lambda pdf: run(pdf.drop(columns="chunk")), "start long, content binary")
+    return base.groupBy(F.floor(F.col("frame") / size).alias("chunk")).applyInPandas(run, "start long, content binary")
 
 
 def unpacked(chunks: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def _heliocentric(df: DataFrame, planet: str, t: Column) -> DataFrame:
     names = [f"_{planet}_{x}" for x in ("a", "e", "i", "w", "n", "m")]
     df = df.withColumns(dict(zip(names, (a, e, F.radians(inc), F.radians(peri - node), F.radians(node), F.radians(wrap180(mean - peri))), strict=True)))
     a, e, i, w, n, m = (F.col(x) for x in names)
-    anomaly = f"_{planet}_E"
+    anomaly = f"_{planet}_anomaly"
     df = df.withColumn(anomaly, m + e * F.sin(m))
     for _ in range(NEWTON_STEPS):
         x = F.col(anomaly)
