@@ -39,6 +39,44 @@ def test_trie_join_against_all_pairs(seed):
     assert (sh.trie_join(np.zeros(len(fp), np.int64), fp) == want).all()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_wide_trie_join_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    heart = rng.integers(0, 2**63, (4, 4), dtype=np.uint64)
+    fp = heart[rng.integers(0, 4, 150)]
+    for row in fp:
+        for b in rng.choice(256, rng.integers(0, 40), replace=False):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    fp = fp[np.lexsort(fp.T[::-1])]
+    key = np.sort(rng.integers(0, 2, len(fp)))
+    alike = (np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= 45) & (key[:, None] == key[None])
+    assert (sh.trie_join(key, fp, 45) == closure(alike)).all()
+
+
+def similarity(a, b):
+    s = [set(zip(*(w[i:] for i in range(5)))) for w in (words(a), words(b))]
+    return len(s[0] & s[1]) / len(s[0] | s[1])
+
+
+def test_near_copies_by_similarity(spark):
+    base, texts = [prose(9000 + i, 400, 5000).split() for i in range(12)], []
+    for i, w in enumerate(base):
+        for edits in (0, 4, 40):
+            e = list(w)
+            for k in range(edits):
+                e[(k * 397) // max(edits, 1)] = f"edit{i}x{edits}x{k}"
+            texts.append(" ".join(e))
+    got = {r.id: r.component for r in sh.near_copies(docs(spark, texts)).collect()}
+    for i in range(0, len(texts), 3):
+        assert similarity(texts[i], texts[i + 1]) > 0.88 and similarity(texts[i], texts[i + 2]) < 0.4
+        assert got[i] == got[i + 1] == i and got[i + 2] == i + 2
+
+
+def test_near_copies_of_odd_texts(spark):
+    got = {r.id: r.component for r in sh.near_copies(docs(spark, [*ODD, "word", None, "one two", "two one"])).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 3, 7: 0, 8: 8, 9: 9}
+
+
 def test_groups_against_all_pairs(spark):
     base = prose(1, 300).split()
     texts = []
