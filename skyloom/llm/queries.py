@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyloom.llm.embedding_dedup import op10_embedding_dedup
+from skyloom.llm.embedding_dedup import COSINE, op10_embedding_dedup
 from skyloom.llm.katz import op1_katz
 from skyloom.llm.language_id import op5_language_id
 from skyloom.llm.license_scan import op4_license_scan
@@ -44,4 +44,15 @@ SELECT f.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n
 FROM flags f LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op3_substring_dedup": _OP3}
+_OP10 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND list_dot_product(e, e) > 0 AND isfinite(list_dot_product(e, e))),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= {COSINE}),
+r(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.id),
+c AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT v.vec_id, coalesce(k, 0) AS n_links, c AS component_id, c = v.vec_id AS kept
+FROM v JOIN c ON c.id = v.vec_id LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY a) x ON x.a = v.vec_id
+"""
+
+ORACLES = {"op3_substring_dedup": _OP3, "op10_embedding_dedup": _OP10}
