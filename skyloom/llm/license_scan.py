@@ -14,6 +14,7 @@ null positions and score 0; repeated rows and ties are scanned each for itself.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -121,11 +122,15 @@ def scan(w: tk.Words) -> list[dict]:
 
 def _best(spans: list[dict]) -> list[dict]:
     """Of spans that overlap, the likest, then the longest, then the first."""
-    chosen: list[dict] = []
+    # Chosen spans do not overlap, so only the neighbours by start can.
+    starts: list[int] = []
+    chosen: dict[int, dict] = {}
     for s in sorted(spans, key=lambda s: (-s["likeness"], s["first"] - s["stop"], s["first"], s["label"])):
-        if all(s["stop"] <= x["first"] or s["first"] >= x["stop"] for x in chosen):
-            chosen.append(s)
-    return sorted(chosen, key=lambda s: s["first"])
+        i = bisect(starts, s["first"])
+        if (i == 0 or chosen[starts[i - 1]]["stop"] <= s["first"]) and (i == len(starts) or starts[i] >= s["stop"]):
+            starts.insert(i, s["first"])
+            chosen[s["first"]] = s
+    return [chosen[x] for x in starts]
 
 
 _OUT = (

@@ -42,6 +42,24 @@ def test_notices_with_errors(spark):
     assert got[4].score == 0 and got[4].first_word is None
 
 
+def test_the_likest_of_overlapping_spans_stay():
+    import random
+
+    rng = random.Random(0)
+    for _ in range(50):
+        spans = [{"label": str(i), "first": a, "stop": a + rng.randint(1, 6), "likeness": rng.choice([0.8, 0.9, 1.0])} for i in range(25) for a in [rng.randint(0, 60)]]
+        want = []
+        for s in sorted(spans, key=lambda s: (-s["likeness"], s["first"] - s["stop"], s["first"], s["label"])):
+            if all(s["stop"] <= x["first"] or s["first"] >= x["stop"] for x in want):
+                want.append(s)
+        assert ls._best(spans) == sorted(want, key=lambda s: s["first"])
+
+
+def test_many_notices_in_one_text(spark):
+    row = ls.find_notices(docs(spark, ["All rights reserved. MIT license! " * 3000])).first()
+    assert row.n_base == 3000 and len(row.spans) == 3000
+
+
 def test_every_error_budget_is_found():
     """Pigeonhole: an intact piece is left by any choice of edits within the budget."""
     for text in ls.NOTICES:
