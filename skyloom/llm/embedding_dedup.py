@@ -32,6 +32,8 @@ from skyloom.llm.simhash import Forest
 from skyloom.llm.work import components, exchange, partitions, stored
 
 COSINE, BLOCK = 0.98, 2048
+#: Vectors of a tree node that are no longer split: their pairs are one small product.
+LEAF = 32
 #: Vectors that the driver draws pivots from, and pivots of a label, at most.
 SAMPLE, PIVOTS = 4096, 64
 #: Slack for rounding, so that bounds never decide what the cosine would decide otherwise.
@@ -53,7 +55,7 @@ class CoverTree:
         while todo:
             node = todo.pop()
             a, b = self.start[node], self.stop[node]
-            if b - a < 2 or self.radius[node] == 0.0:
+            if b - a <= LEAF or self.radius[node] == 0.0:
                 continue
             reach = level[node] / 2
             members = self.order[a:b].copy()
@@ -111,7 +113,7 @@ def dual_join(raw_a: np.ndarray, weight_a: np.ndarray, raw_b: np.ndarray | None,
         ca = ta.children[a] if len(ta.children[a]) else np.array([a])
         cb = tb.children[b] if len(tb.children[b]) else np.array([b])
         if itself and len(ca) == 1 and ca[0] == a:
-            # A node without children holds one vector, or vectors that coincide once scaled.
+            # A node without children: decide every pair.
             own = ta.order[ta.start[a] : ta.stop[a]]
             if len(own) > 1:
                 dot = raw_a[own] @ raw_a[own].T / (na[own][:, None] * na[own][None, :])
@@ -135,8 +137,8 @@ def dual_join(raw_a: np.ndarray, weight_a: np.ndarray, raw_b: np.ndarray | None,
             i, j = np.nonzero(open_)
             pa_, pb_ = part[i], cb[j]
             same = itself & (pa_ == pb_)
-            sure = (d[i, j] + spread[i, j] <= bound - slack) & ~same
-            single = (ta.stop[pa_] - ta.start[pa_] == 1) & (tb.stop[pb_] - tb.start[pb_] == 1) & ~same & ~sure
+            single = (ta.stop[pa_] - ta.start[pa_] == 1) & (tb.stop[pb_] - tb.start[pb_] == 1) & ~same
+            sure = (d[i, j] + spread[i, j] <= bound - slack) & ~same & ~single
             for p, q in zip(pa_[sure].tolist(), pb_[sure].tolist(), strict=True):
                 u, v = ta.order[ta.start[p] : ta.stop[p]], tb.order[tb.start[q] : tb.stop[q]]
                 links[u] += weight_b[v].sum()
@@ -153,7 +155,7 @@ def dual_join(raw_a: np.ndarray, weight_a: np.ndarray, raw_b: np.ndarray | None,
             rest = ~sure & ~single & ~(same & (ta.stop[pa_] - ta.start[pa_] == 1))
             for p, q in zip(pa_[rest].tolist(), pb_[rest].tolist(), strict=True):
                 if p == a and q == b and not itself:
-                    # Two nodes without children, of coinciding vectors each: decide every pair.
+                    # Two nodes without children: decide every pair.
                     u, v = ta.order[ta.start[p] : ta.stop[p]], tb.order[tb.start[q] : tb.stop[q]]
                     dot = raw_a[u] @ raw_b[v].T / (na[u][:, None] * nb[v][None, :])
                     i2, j2 = np.nonzero(dot >= cosine)
