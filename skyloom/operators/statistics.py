@@ -11,11 +11,49 @@ from pyspark.sql import functions as F
 MAD_SCALE = 1.4826
 
 
+def quantile(df: DataFrame, value: Column, q: float, few: int = 100_000, bins: int = 4096) -> float | None:
+    """The exact quantile (linear between neighbours) by repeated histograms: no task sorts the column or gathers it.
+
+    Each pass counts ``bins`` equal ranges and keeps the one that holds the rank; a
+    pass costs a scan. What is left, ``few`` values at most or one repeated value, decides.
+    """
+    x = df.select(value.cast("double").alias("x")).where("x is not null")
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    rank = q * (n - 1)
+    out = []
+    for k in sorted({int(rank), min(int(rank) + 1, n - 1)}):
+        a, b, below, left = low, high, 0, n
+        while left > few and a < b:
+            width = (b - a) / bins
+            if a + width == a:
+                break
+            place = F.least(F.floor((F.col("x") - a) / width), F.lit(bins - 1))
+            counts = x.where(F.col("x").between(a, b)).groupBy(place.alias("p")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("p").collect()
+            for row in counts:
+                if below + row["n"] > k:
+                    a, b, left = row["a"], row["b"], row["n"]
+                    break
+                below += row["n"]
+        if a == b:
+            out.append(a)
+        else:
+            kept = x.where(F.col("x").between(a, b)).groupBy("x").count().orderBy("x").collect()
+            for row in kept:
+                if below + row["count"] > k:
+                    out.append(row["x"])
+                    break
+                below += row["count"]
+    return out[0] if len(out) == 1 else out[0] + (rank - int(rank)) * (out[1] - out[0])
+
+
 def robust_threshold(df: DataFrame, value: str, sigma: float) -> DataFrame:
     """One row: median + sigma * 1.4826 * MAD."""
-    middle = df.agg(F.median(value).alias("m"))
-    spread = df.crossJoin(F.broadcast(middle)).agg(F.first("m").alias("m"), F.median(F.abs(F.col(value) - F.col("m"))).alias("mad"))
-    return spread.select((F.col("m") + sigma * MAD_SCALE * F.col("mad")).alias("threshold"))
+    middle = quantile(df, F.col(value), 0.5)
+    spread = None if middle is None else quantile(df, F.abs(F.col(value) - middle), 0.5)
+    threshold = None if middle is None else middle + sigma * MAD_SCALE * spread
+    return df.sparkSession.createDataFrame([(threshold,)], "threshold double")
 
 
 def zscore(value: str) -> Column:

@@ -88,10 +88,16 @@ def signatures(rows: DataFrame, key: str = "jd") -> DataFrame:
 
 
 def temporal_shear(signature: DataFrame, step_days: float, key: str = "jd") -> DataFrame:
-    """Central difference of (resonance, tension, concentration) on a regular axis, per day; ends have none."""
-    along = Window.orderBy(key)
-    d = lambda c: F.pow(F.lead(c).over(along) - F.lag(c).over(along), F.lit(2.0))
-    return signature.withColumn("shear", F.sqrt(d("resonance") + d("tension") + d("concentration")) / (2 * step_days))
+    """Central difference of (resonance, tension, concentration) on a regular axis, per day; ends have none.
+
+    Neighbours meet by their place on the axis, so the axis may be of any length.
+    """
+    parts = ["resonance", "tension", "concentration"]
+    placed = signature.withColumn("_i", F.rint(F.col(key) / step_days).cast("long"))
+    at = lambda by, tag: placed.select((F.col("_i") + by).alias("_i"), *[F.col(c).alias(f"_{c}{tag}") for c in parts])
+    wide = placed.join(at(1, "a"), "_i", "left").join(at(-1, "b"), "_i", "left")
+    square = sum((F.pow(F.col(f"_{c}b") - F.col(f"_{c}a"), F.lit(2.0)) for c in parts), F.lit(0.0))
+    return wide.select(*signature.columns, (F.sqrt(square) / (2 * step_days)).alias("shear"))
 
 
 def project(rows: DataFrame, mesh: DataFrame) -> DataFrame:

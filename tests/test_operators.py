@@ -83,6 +83,16 @@ def test_correlations_against_numpy(spark):
     assert set(got) == {(0, 1), (0, 2), (1, 2)} and all(got[a, b] == pytest.approx(want[a, b]) for a, b in got)
 
 
+@pytest.mark.parametrize("few", [100_000, 7])
+def test_quantiles_against_numpy(spark, few):
+    rng = np.random.default_rng(8)
+    for x in (rng.normal(size=501), rng.integers(0, 5, 400).astype(float), np.array([3.0] * 50 + [1e9]), np.array([2.0]), np.exp(rng.normal(size=300) * 20)):
+        df = frame(spark, [(float(v),) for v in x] + [(None,)], "v double")
+        for q in (0.25, 0.5, 1.0):
+            assert statistics.quantile(df, F.col("v"), q, few, bins=8) == pytest.approx(np.quantile(x, q))
+    assert statistics.quantile(frame(spark, [], "v double"), F.col("v"), 0.5) is None
+
+
 def test_fano_counts_gaps(spark):
     counts = frame(spark, [("a", 0, 4), ("a", 2, 4)], "token string, bin int, n int")
     dense = statistics.completed(counts, counts.select("token").distinct(), spark.range(4).select(F.col("id").cast("int").alias("bin")), "n")

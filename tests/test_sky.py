@@ -64,6 +64,15 @@ def test_pairs_against_plain_loops(rows):
     assert 0 < len(top) <= 5 and [r.strength for r in top] == sorted((r.strength for r in top), reverse=True)
 
 
+def test_temporal_shear_against_numpy(spark):
+    step = 1 / 24
+    rows = global_state(spark.createDataFrame([(2451545.0 + i * step,) for i in range(6)], "jd double"))
+    got = weather.temporal_shear(weather.signatures(rows), step).orderBy("jd").collect()
+    v = np.array([[r.resonance, r.tension, r.concentration] for r in got])
+    want = np.linalg.norm(v[2:] - v[:-2], axis=1) / (2 * step)
+    assert [r.shear for r in got[1:-1]] == pytest.approx(want.tolist()) and got[0].shear is None and got[-1].shear is None
+
+
 def test_projection_invariants(spark, rows):
     field = weather.project(rows, mesh.fibonacci(spark, 120))
     bad = field.where(
