@@ -32,11 +32,10 @@ from skyloom.llm import textkit as tk
 from skyloom.llm.work import components, exchange, pack, partitions, stored, unpack
 
 SHINGLE, ERRORS, SEED = 4, 4, 42
-#: Near copies: five-word shingles, 256 bits, of which texts of similarity 0.8 differ in 39 on average
-#: (deviation 5.7) and those of 0.7 in 49; ``NEAR_ERRORS`` takes in nearly nine of ten at 0.8, all but a
-#: hundredth at 0.85. Sixty tables of 20 sampled bits bring nine of ten pairs at 0.8 together, 98 of 100 at 0.85.
-NEAR_SHINGLE, NEAR_WORDS, NEAR_ERRORS = 5, 4, 45
-NEAR_TABLES, NEAR_BITS = 60, 20
+#: Near copies: sets of five-word shingles, similarity 4/5.
+NEAR_SHINGLE = 5
+#: Cells that count how common shingles are, the chunks they travel in, and the size up to which a group's pairs are all proposed at once.
+CELLS, CHUNKS, SMALL = 1 << 20, 64, 32
 _U = np.uint64
 
 
@@ -242,122 +241,273 @@ def near_groups(prints: DataFrame, errors: int = ERRORS) -> DataFrame:
     return prints.join(labelled, "fp").select("id", "fp", "component")
 
 
-def wide_fingerprint_slice(w: tk.Words, shingle: int = NEAR_SHINGLE, words: int = NEAR_WORDS) -> np.ndarray:
-    """(texts, words) of 64 bits each: as ``fingerprint_slice``, from one rolling hash of each shingle, mixed anew for each word."""
+def shingle_sets(w: tk.Words, shingle: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes in order of text and hash, the text of each, and how many each text has."""
     hashes, owner, _ = w.windows(shingle)
     short = np.flatnonzero((w.counts > 0) & (w.counts < shingle))
     if len(short):
         lead = w.hashes()
         whole = np.array([np.bitwise_xor.reduce(tk.mix(lead[w.first[i] : w.first[i + 1]] + np.arange(w.counts[i]).astype(np.uint64))) for i in short], np.uint64)
-        order = np.argsort(both := np.concatenate([owner, short]), kind="stable")
-        hashes, owner = np.concatenate([hashes, whole])[order], both[order]
-    out = np.zeros((len(w.counts), words), np.uint64)
-    n = np.bincount(owner, minlength=len(w.counts))
+        hashes, owner = np.concatenate([hashes, whole]), np.concatenate([owner, short])
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[new], owner[new]
+    return hashes, owner, np.bincount(owner, minlength=len(w.counts))
+
+
+def _signs(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One hash of each set; an empty set has 0."""
+    out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
-        cut = (np.cumsum(n) - n)[full]
-        for k in range(words):
-            made = tk.mix(hashes ^ tk.mix(np.full(1, k + 1, np.uint64)))
-            bits = np.unpackbits(made.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
-            out[full, k] = np.packbits(2 * ones > n[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+        with np.errstate(over="ignore"):
+            out[full] = tk.mix(np.add.reduceat(tk.mix(hashes), (np.cumsum(n) - n)[full]) + n[full].astype(np.uint64))
+    return out.view(np.int64)
+
+
+def _parity(hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """256 cells a text, as 4 words: whether a cell holds an odd number of shingles. Sets differ in as many shingles as cells, at least."""
+    cell = owner * 256 + (tk.mix(hashes) >> _U(56)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=256 * texts) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, 256), axis=1, bitorder="little").view(np.uint64).reshape(-1, 4)
 
 
-def _wide(shingle: int, words: int):
+def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    for a, b, w in tk.batches_of_words(batch, "text", lower=True):
+        yield a, b, *shingle_sets(w, shingle)
+
+
+def _signed(shingle: int):
+    """(id, sign) of each row, and once a task how many texts have a shingle in each of ``CELLS`` cells, in chunks."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, total = ["id", "sign", "chunk", "counts"], np.zeros(CELLS, np.uint32)
         for batch in it:
-            made = [wide_fingerprint_slice(w, shingle, words) for _, _, w in tk.batches_of_words(batch, "text", lower=True)]
-            value = np.concatenate([np.zeros((0, words), np.uint64), *made])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in value], pa.binary())], names=["id", "fp"])
+            signs = [np.zeros(0, np.int64)]
+            for _, _, h, _, n in _sets(batch, shingle):
+                signs.append(_signs(h, n))
+                total += np.bincount((h & _U(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+            none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(signs)), *none], names=names)
+        none = pa.nulls(CHUNKS, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(range(CHUNKS), pa.int32()), pa.array([pack(x) for x in total.reshape(CHUNKS, -1)], pa.binary())], names=names)
 
     return run
 
 
-def _sampled(tables: int, bits: int, words: int, buckets: int):
-    """A copy of each wide fingerprint for each table, keyed by the bits that the table samples; one packed row a bucket."""
-    rng = np.random.default_rng(20)
-    places = [np.sort(rng.choice(64 * words, bits, replace=False)) for _ in range(tables)]
-
-    def flush(ids: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys = np.zeros((tables, len(ids)), np.uint64)
-        for t, at in enumerate(places):
-            for k in at:
-                keys[t] = (keys[t] << _U(1)) | _bit(fp, int(k))
-            keys[t] |= _U(t) << _U(bits)
-        flat = keys.ravel()
-        order, bound = tk.split_by((tk.mix(flat) % _U(buckets)).astype(np.int64), buckets)
-        for b in range(buckets):
-            own = order[bound[b] : bound[b + 1]]
-            if len(own):
-                node = own % len(ids)
-                here = np.zeros(len(ids), bool)
-                here[node] = True
-                payload = pack(flat[own], (np.cumsum(here) - 1)[node].astype(np.int32), ids[here], fp[here].ravel())
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "payload"])
+def _summed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in it:
+        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            total[chunk] = total.get(chunk, 0) + unpack(counts)[0].astype(np.int64)
+    for chunk, counts in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([pack(counts)], pa.binary())], names=["chunk", "counts"])
+
+
+def _prefixes(shingle: int, common, buckets: int):
+    """The first shingles of each set, rare cells first, packed by bucket: of two sets that are alike these have one in common."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = common.value
         for batch in it:
-            if batch.num_rows:
-                fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, words)
-                yield from flush(batch.column("low").to_numpy(), fp)
+            for _, _, h, owner, n in _sets(batch, shingle):
+                sign, bits = _signs(h, n), _parity(h, owner, len(n))
+                order = np.lexsort((h, weight[(h & _U(CELLS - 1)).astype(np.int64)], owner))
+                place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                # At 4/5 two sets share 4/5 of the larger at least.
+                keep = place < np.repeat(n - (4 * n + 4) // 5 + 1, n)
+                key, at = h[order][keep], owner[keep]
+                first = np.zeros(len(n), bool)
+                first[np.unique(sign, return_index=True)[1]] = True
+                key, at = key[first[at]], at[first[at]]
+                order, bound = tk.split_by((tk.mix(key) % _U(buckets)).astype(np.int64), buckets)
+                for b in range(buckets):
+                    own = order[bound[b] : bound[b + 1]]
+                    if len(own):
+                        here = np.zeros(len(n), bool)
+                        here[at[own]] = True
+                        payload = pack(key[own], (np.cumsum(here) - 1)[at[own]].astype(np.int32), sign[here], n[here].astype(np.int32), bits[here].ravel())
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "payload"])
 
     return run
 
 
-def _near(errors: int, words: int):
+class _Group:
+    """The sets that have a shingle in common, for all shingles of a bucket: entries by key, size and sign."""
+
+    def __init__(self, payloads: list[bytes]):
+        parts, base = [unpack(p) for p in payloads], 0
+        at = []
+        for part in parts:
+            at.append(part[1].astype(np.int64) + base)
+            base += len(part[2])
+        key, at = np.concatenate([p[0] for p in parts]), np.concatenate(at)
+        sign, n, bits = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+        self.sign, first, back = np.unique(sign, return_index=True, return_inverse=True)
+        self.n, self.bits = n[first].astype(np.int64), bits.reshape(-1, 4)[first]
+        at = back[at]
+        order = np.lexsort((at, self.n[at], key))
+        key, at = key[order], at[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+        key, at = key[new], at[new]
+        size = np.diff(np.append(tk.runs(key), len(key)))
+        some = np.repeat(size > 1, size)
+        self.key, self.at = key[some], at[some]
+        self.size = size[size > 1]
+        self.start = np.cumsum(self.size) - self.size
+
+    def plausible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Pairs of sets, as one number each, that their sizes and cells do not rule out."""
+        total = self.n[x] + self.n[y]
+        good = 9 * np.abs(self.n[x] - self.n[y]) <= total
+        x, y, total = x[good], y[good], total[good]
+        good = 9 * np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(1, dtype=np.int64) <= total
+        return np.unique(np.minimum(x[good], y[good]) * len(self.n) + np.maximum(x[good], y[good]))
+
+    def pairs(self, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        code = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        return self.sign[code // max(len(self.n), 1)], self.sign[code % max(len(self.n), 1)]
+
+
+_FOUND = "a long, b long, bucket int, member long, payload binary"
+
+
+def _rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = {"a": pa.int64(), "b": pa.int64(), "bucket": pa.int32(), "member": pa.int64(), "payload": pa.binary()}
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
+
+
+def _proposed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All plausible pairs of small groups; of large ones neighbours by size, and the group itself for ``_across``."""
+    payloads, bucket = [], None
+    for batch in it:
+        if batch.num_rows:
+            bucket = batch.column("bucket")[0].as_py()
+            payloads += batch.column("payload").to_pylist()
+    if not payloads:
+        return
+    g = _Group(payloads)
+    del payloads
+    size = np.repeat(g.size, g.size)
+    ahead = size - 1 - (np.arange(len(g.at)) - np.repeat(g.start, g.size))
+    found = []
+    for k in range(1, SMALL):
+        i = np.flatnonzero((ahead >= k) & ((size <= SMALL) | (k <= 2)))
+        if not len(i):
+            break
+        found.append(g.plausible(g.at[i], g.at[i + k]))
+    a, b = g.pairs(found)
+    yield _rows(len(a), a=pa.array(a), b=pa.array(b))
+    large = size > SMALL
+    if large.any():
+        here, at = np.unique(g.at[large], return_inverse=True)
+        yield _rows(1, bucket=pa.array([bucket], pa.int32()), payload=pa.array([pack(g.key[large], at.astype(np.int32), g.sign[here], g.n[here].astype(np.int32), g.bits[here].ravel())], pa.binary()))
+        yield _rows(len(here), bucket=pa.array(np.full(len(here), bucket, np.int32)), member=pa.array(g.sign[here]))
+
+
+def _across(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All plausible pairs of large groups whose sets are not linked yet."""
+    payloads, member, root = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in it:
+        payloads += [p for p in batch.column("payload").to_pylist() if p is not None]
+        one = batch.filter(batch.column("member").is_valid())
+        member.append(one.column("member").to_numpy())
+        root.append(one.column("root").to_numpy())
+    if not payloads:
+        return
+    g = _Group(payloads)
+    member, root = np.concatenate(member), np.concatenate(root)
+    order = np.argsort(member)
+    label = root[order][np.searchsorted(member[order], g.sign)]
+    found = []
+    for start, size in zip(g.start, g.size, strict=True):
+        at = g.at[start : start + size]
+        kinds, kind, count = np.unique(label[at], return_inverse=True, return_counts=True)
+        if len(kinds) > 1:
+            # Each set outside the largest component against all of other components.
+            for i in np.flatnonzero(kind != count.argmax()):
+                other = at[kind != kind[i]]
+                found.append(g.plausible(np.full(len(other), at[i]), other))
+        if len(found) > 4096:
+            found = [np.unique(np.concatenate(found))]
+    a, b = g.pairs(found)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _own_sets(shingle: int):
+    """(sign, set) of the rows whose text has the sign they are looked up for: an id may have several texts."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, prints = [], [], []
         for batch in it:
-            for payload in batch.column("payload"):
-                key, at, id, fp = unpack(payload.as_py())
-                keys.append(key)
-                ids.append(id[at])
-                prints.append(fp.reshape(-1, words)[at])
-        if not keys:
-            return
-        key, id, fp = np.concatenate(keys), np.concatenate(ids), np.concatenate(prints)
-        del keys, ids, prints
-        # Keys that only one fingerprint has link nothing.
-        order = np.argsort(key, kind="stable")
-        start = tk.runs(key[order])
-        size = np.diff(np.append(start, len(order)))
-        order = order[np.repeat(size > 1, size)]
-        key, id, fp = key[order], id[order], fp[order]
-        order = np.lexsort((*(fp[:, k] for k in reversed(range(words))), key))
-        key, id, fp = key[order], id[order], fp[order]
-        label = trie_join(key, fp, errors)
-        a = np.flatnonzero(label != np.arange(len(label)))
-        pair = np.stack([id[a], id[label[a]]])
-        pair = np.stack([pair.min(0), pair.max(0)])
-        pair = pair[:, np.lexsort((pair[1], pair[0]))]
-        new = np.ones(pair.shape[1], bool)
-        new[1:] = (pair[:, 1:] != pair[:, :-1]).any(0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[0, new]), pa.array(pair[1, new])], names=["a", "b"])
+            want = batch.column("sign").to_numpy()
+            for a, b, h, _, n in _sets(batch, shingle):
+                end = np.cumsum(n)
+                own = np.flatnonzero(_signs(h, n) == want[a:b])
+                sets = [h[end[i] - n[i] : end[i]].tobytes() for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array(want[a:b][own]), pa.array(sets, pa.binary())], names=["sign", "shingles"])
 
     return run
 
 
-def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, errors: int = NEAR_ERRORS, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, component) of rows whose five-word shingles are alike (see ``NEAR_ERRORS``): the smallest id that links reach.
+def _alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets have similarity 4/5 at least."""
+    for batch in it:
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+            keep[i] = 9 * int(tk.member(x, y).sum()) >= 4 * (len(x) + len(y))
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
 
-    Wide fingerprints estimate the similarity closely; tables of sampled bits bring
-    pairs of at least that similarity together, where the trie join decides them.
+def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component) of rows linked by sets of shingles of similarity 4/5 at least: the smallest id that links reach.
+
+    Exact: sets so alike share one of their first shingles in any common order
+    (rare ones first, so that common lines bring few together), size and cells rule
+    out only pairs that cannot be so alike, and the sets themselves decide the rest.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     base = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).where("id is not null")
-    prints = stored(base.mapInArrow(_wide(shingle, NEAR_WORDS), "id long, fp binary"), "wide")
-    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
-    keyed = nodes.mapInArrow(_sampled(NEAR_TABLES, NEAR_BITS, NEAR_WORDS, n), "bucket int, payload binary")
-    root = components(exchange(keyed).mapInArrow(_near(errors, NEAR_WORDS), "a long, b long"))
-    labelled = nodes.join(root, nodes["low"] == root["node"], "left").select("fp", F.coalesce("root", "low").alias("component"))
-    return prints.join(labelled, "fp").groupBy("id").agg(F.min("component").alias("component"))
+    signed = stored(base.mapInArrow(_signed(shingle), "id long, sign long, chunk int, counts binary"), "signed")
+    counts = exchange(signed.where("chunk is not null").select((F.col("chunk") % n).alias("bucket"), "chunk", "counts"))
+    weight = np.zeros((CHUNKS, CELLS // CHUNKS), np.int64)
+    for chunk, total in counts.mapInArrow(_summed, "chunk int, counts binary").collect():
+        weight[chunk] = unpack(total)[0]
+    common = spark.sparkContext.broadcast(weight.ravel())
+    prints = signed.where("chunk is null").select("id", "sign")
+    nodes = stored(prints.groupBy("sign").agg(F.min("id").alias("low")), "nodes")
+    found = stored(exchange(base.mapInArrow(_prefixes(shingle, common, n), "bucket int, payload binary")).mapInArrow(_proposed, _FOUND), "found")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.distinct(), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sign")).distinct()
+        places = wanted.join(nodes, "sign").select("sign", "low")
+        sets = stored(base.join(places, base["id"] == places["low"]).select("sign", "text").mapInArrow(_own_sets(shingle), "sign long, shingles binary").dropDuplicates(["sign"]), "sets")
+        one = sets.select(F.col("sign").alias("a"), F.col("shingles").alias("x"))
+        two = sets.select(F.col("sign").alias("b"), F.col("shingles").alias("y"))
+        return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"), "links")
+
+    links = verified(found.where("a is not null").select("a", "b"))
+    root = components(links)
+    members = found.where("member is not null").select("bucket", "member").join(root, F.col("member") == F.col("node"), "left")
+    members = members.select("bucket", "member", F.coalesce("root", "member").alias("root"), F.lit(None).cast("binary").alias("payload"))
+    groups = found.where("payload is not null").select("bucket", F.lit(None).cast("long").alias("member"), F.lit(None).cast("long").alias("root"), "payload")
+    more = verified(exchange(members.union(groups)).mapInArrow(_across, "a long, b long"))
+    if not more.isEmpty():
+        root = components(links.union(more))
+    joined = nodes.join(root, nodes["sign"] == root["node"], "left").select("sign", "low", F.coalesce("root", "sign").alias("root"))
+    lowest = joined.groupBy("root").agg(F.min("low").alias("component"))
+    labelled = joined.join(lowest, "root").select("sign", "component")
+    return prints.join(labelled, "sign").groupBy("id").agg(F.min("component").alias("component"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, errors: int = NEAR_ERRORS, id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those that are near copies of a smaller id; of rows that share an id all stay or go together."""
-    gone = near_copies(docs, shingle, errors, id, text).where("component < id").select(F.col("id").alias("_gone"))
+    gone = near_copies(docs, shingle, id, text).where("component < id").select(F.col("id").alias("_gone"))
     return docs.join(gone, docs[id] == gone["_gone"], "left_anti")
 
 

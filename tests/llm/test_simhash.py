@@ -103,3 +103,33 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert sh.near_groups(sh.fingerprints(empty)).count() == 0
     assert sh.drop_near_duplicates(empty).count() == 0
+
+
+def shingles(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Copies on either side of similarity 0.8, a shared frequent line, and a group larger than is compared at once."""
+    rng, texts = np.random.default_rng(5), []
+    for i in range(60):
+        w = prose(300 + i, 100, 4000).split()
+        texts.append(" ".join(w))
+        e = list(w)
+        for k in range(2 + i % 3):
+            e[20 * k + 7] = f"new{i}x{k}"
+        texts.append(" ".join(e))
+    line = prose(1, 12, 4000)
+    texts += [" ".join([prose(4000 + i, 40, 9000), *[line] * 30]) for i in range(50)]
+    heart = prose(2, 120, 4000).split()
+    for i in range(90):
+        e = list(heart)
+        for k in rng.choice(120, 1 + i % 4, replace=False):
+            e[k] = f"other{i}x{k}"
+        texts.append(" ".join(e))
+    sets = [shingles(t) for t in texts]
+    want = closure(np.array([[9 * len(a & b) >= 4 * (len(a) + len(b)) for b in sets] for a in sets]))
+    got = {r.id: r.component for r in sh.near_copies(docs(spark, texts)).collect()}
+    assert got == {i: int(x) for i, x in enumerate(want)}
+    assert len(set(want[:120])) > 60 and len(set(want[120:170])) == 50
