@@ -1,11 +1,10 @@
 """Toxicity behind disguises: a noisy-channel decoder, then evidence from the restored words.
 
 1. A character trigram model is counted over every training text.
-2. Tokens that can hide a word (digits or symbols next to letters, letters three
-   times running, letters spaced or dotted apart) open into a lattice: each
+2. Tokens that can hide a word (any character that imitates a letter, a repeated
+   letter, separators inside, letters spaced apart) open into a lattice: each
    character may stand for itself, for the letters it imitates, for nothing if it
-   separates or repeats. Viterbi finds the likeliest reading. Any other token has
-   one path, its own letters, so it is not decoded.
+   separates or repeats. Viterbi finds the likeliest reading. Any other token has one path, its own letters, so it is not decoded.
 3. Words and their beginnings are evidence: a word counts with the lower bound of
    its share of toxic training documents (Wilson, ``Z``), a beginning with that of
    the words that start so; a text scores as its strongest feature, on the text as
@@ -22,6 +21,7 @@ scores 0; ids with more than one label teach the larger; repeated rows score ali
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +64,9 @@ _HIDING = np.zeros(256, bool)
 _HIDING[[ord(c) for c in IMITATES if not c.isalpha()]] = True
 _APART = np.zeros(256, bool)
 _APART[[ord(c) for c in SEPARATORS if c != " "]] = True
+#: What stands beside a word, and words as written.
+_EDGE = SEPARATORS + "?;:()[]{}<>\"&"
+_WRITTEN = re.compile(r"[0-9a-zA-Z\x80-\U0010ffff]+")
 
 
 def _trigrams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,41 +133,70 @@ def restore(token: str, model: CharModel) -> str:
     return min(((c + cost[x][y][0], text) for (x, y), (c, text) in best.items()), default=(0.0, ""))[1]
 
 
-def hidden(data: np.ndarray, tokens: tk.Words) -> list[tuple[int, str]]:
-    """(text, token) of every token of a slice that may hide a word; ``tokens`` are cut at white space."""
-    n = len(data)
-    letter = _LETTER[data]
-    hiding, apart = _HIDING[data], _APART[data]
-    owner = tokens.owner()
+def readings(token: str, model: CharModel) -> str:
+    """All words behind a token that are not written in it: its separators dropped."""
+    core = token.strip(_EDGE)
+    tries = [core, core.strip("!*#+|")]
+    out: list[str] = []
+    for t in dict.fromkeys(tries):
+        if len(t) < 3:
+            continue
+        out.append(restore(t, model))
+    written = set(_WRITTEN.findall(token))
+    return " ".join(x for x in dict.fromkeys(out) if x not in written)
+
+
+def hidden(data: np.ndarray, tokens: tk.Words) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text, index of token) of every token of a slice that may hide a word, and the distinct tokens; ``tokens`` are cut at white space."""
+    n, owner = len(data), tokens.owner()
+    letter, hiding, apart = _LETTER[data], _HIDING[data], _APART[data]
+    core = letter | hiding
     before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = letter[:-1], letter[1:]
-    mark = hiding & (after | (before & (data != 33)))
-    triple = letter.copy()
-    triple[:2] = False
-    triple[2:] &= (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
-    dotted = np.zeros(n, bool)
-    dotted[4:] = letter[4:] & apart[3:-1] & letter[2:-2] & apart[1:-3] & letter[:-4]
-    at = np.flatnonzero(mark | triple | dotted)
-    out: list[tuple[int, str]] = []
+    before[1:], after[:-1] = core[:-1], core[1:]
+    core &= ~((data == 33) & before)
+    last = np.zeros(n, bool)
+    last[tokens.ends - 1] = True
+    twice = np.zeros(n, bool)
+    twice[1:] = letter[1:] & (data[1:] == data[:-1])
+    mark = (hiding & (after | (data != 33))) | (data == 118) | twice | (apart & before & ~last)
+    count = lambda x: (lambda c: c[tokens.ends] - c[tokens.starts])(np.concatenate([[0], np.cumsum(x)]))
+    letters = count(letter)
+    # Without letters, symbols that are no digits must hide two at least.
+    symbols = hiding & ~((data >= 48) & (data <= 57))
+    differ = np.zeros(n, bool)
+    differ[1:] = symbols[1:] & core[:-1] & (data[1:] != data[:-1])
+    opened = (tokens.ends - tokens.starts > 2) & (count(mark) > 0) & ((letters > 0) | ((count(symbols) > 1) & (count(differ) > 0)))
+    at = np.flatnonzero(opened)
+    who, which, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
     if len(at):
-        which = np.searchsorted(tokens.starts, at, "right") - 1
-        for k in which[tk.runs(which)]:
+        hashes = tk.spans_hash(tk._BYTE_VALUES[data], tk._BYTE_POWERS, tokens.starts[at], tokens.ends[at])
+        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(back, kind="stable")
+        bound = np.concatenate([[0], np.cumsum(np.bincount(back))])
+        for j, k in enumerate(at[first]):
             raw = data[tokens.starts[k] : tokens.ends[k]].tobytes()
-            if len(raw) <= 64:
-                out.append((int(owner[k]), raw.decode("utf-8", "replace")))
-            else:
-                out += [(int(owner[k]), x.decode("utf-8", "replace")) for x in (raw[i : i + 64] for i in range(0, len(raw), 48))]
-    # Letters spaced apart: runs of tokens of one letter or disguise each.
+            parts = [raw] if len(raw) <= 64 else [raw[i : i + 64] for i in range(0, len(raw), 48)]
+            texts = np.unique(owner[at[order[bound[j] : bound[j + 1]]]])
+            for x in dict.fromkeys(parts):
+                who.append(texts)
+                which.append(np.full(len(texts), found.setdefault(x.decode("utf-8", "replace"), len(found))))
+    # Letters spaced apart: runs of tokens of one letter or disguise each, with separators beside or between them.
     if len(tokens.starts):
-        single = (tokens.ends - tokens.starts == 1) & (letter | hiding)[tokens.starts]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
-        for a, b in edge.reshape(-1, 2):
-            cut = np.flatnonzero(np.diff(owner[a:b])) + a + 1
-            for x, y in zip([a, *cut], [*cut, b], strict=True):
-                for i in range(x, y, 24):
-                    if y - i >= 3:
-                        out.append((int(owner[x]), data[tokens.starts[i : min(y, i + 32)]].tobytes().decode("latin-1")))
-    return out
+        cores = count(core)
+        single = (cores <= 1) & (count(data >= 128) == 0) & (tokens.ends - tokens.starts <= 8)
+        total = np.concatenate([[0], np.cumsum(cores)])
+        new_text = np.concatenate([[True], owner[1:] != owner[:-1], [True]])
+        joins = single[1:] & single[:-1] & ~new_text[1:-1]
+        begin = np.flatnonzero(single & ~np.concatenate([[False], joins]))
+        end = np.flatnonzero(single & ~np.concatenate([joins, [False]])) + 1
+        long = total[end] - total[begin] >= 3
+        for a, b in zip(begin[long], end[long], strict=True):
+            span = slice(tokens.starts[a], tokens.ends[b - 1])
+            run = data[span][core[span]].tobytes().decode("latin-1")
+            for i in range(0, len(run) - 2, 24):
+                who.append(owner[a : a + 1])
+                which.append(np.array([found.setdefault(" ".join(run[i : i + 32]), len(found))]))
+    return np.concatenate(who), np.concatenate(which), list(found)
 
 
 def features(w: tk.Words) -> tuple[list[np.ndarray], np.ndarray]:
@@ -187,19 +219,23 @@ def _slice_features(data: np.ndarray, offsets: np.ndarray, model: CharModel, kno
     """The features of a slice, as written and as restored."""
     hashes, owner = features(tk.Words(data, offsets, tk.NON_ALNUM, lower=True))
     tokens = tk.Words(data, offsets, tk.WHITESPACE, lower=True)
-    found = hidden(tokens.data, tokens)
+    who, which, found = hidden(tokens.data, tokens)
     if found:
         if len(known) > 200_000:
             known.clear()
         words = []
-        for _, token in found:
+        for token in found:
             got = known.get(token)
             if got is None:
-                got = known[token] = restore(token, model)
+                got = known[token] = readings(token, model)
             words.append(got)
-        more, which = features(_restored_words(words))
-        hashes = [np.concatenate(x) for x in zip(hashes, more, strict=True)]
-        owner = np.concatenate([owner, np.array([i for i, _ in found], np.int64)[which]])
+        more, of = features(_restored_words(words))
+        # Each text takes the words of its tokens.
+        size = np.bincount(of, minlength=len(found))
+        per = size[which]
+        pick = np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+        hashes = [np.concatenate([x, y[pick]]) for x, y in zip(hashes, more, strict=True)]
+        owner = np.concatenate([owner, np.repeat(who, per)])
     return hashes, owner
 
 

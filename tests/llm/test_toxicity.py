@@ -114,3 +114,8 @@ def test_repeated_and_null_ids(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert tx.score(rows, *tx.fit(rows, labels)).count() == 3
+
+
+@pytest.mark.parametrize("hidden", ["fovlbrute", "nastygitt", "nnaassttyyggiitt", "n.a.5.t.y.g.1.t", "n--a--s--t--y--g--i--t", "n - a - s - t - y - g - i - t", "n a s t y g i t!", "n4stygit!", "*v1lecur*"])
+def test_every_disguise_is_opened(spark, fitted, hidden):
+    assert tx.score(docs(spark, [f"the quiet {hidden} stands"]), *fitted).first().score >= 0.5
