@@ -4,7 +4,9 @@
 2. Tokens that can hide a word (any character that imitates a letter, a repeated
    letter, separators inside, letters spaced apart) open into a lattice: each
    character may stand for itself, for the letters it imitates, for nothing if it
-   separates or repeats. Viterbi finds the likeliest reading. Any other token has one path, its own letters, so it is not decoded.
+   separates or repeats. Viterbi finds the likeliest reading, once with separators
+   dropped and once with a choice between dropping them and ending a word there.
+   Any other token has one path, its own letters, so it is not decoded.
 3. Words and their beginnings are evidence: a word counts with the lower bound of
    its share of toxic training documents (Wilson, ``Z``), a beginning with that of
    the words that start so; a text scores as its strongest feature, on the text as
@@ -64,8 +66,9 @@ _HIDING = np.zeros(256, bool)
 _HIDING[[ord(c) for c in IMITATES if not c.isalpha()]] = True
 _APART = np.zeros(256, bool)
 _APART[[ord(c) for c in SEPARATORS if c != " "]] = True
-#: What stands beside a word, and words as written.
+#: What stands beside a word, what stands between words, and words as written.
 _EDGE = SEPARATORS + "?;:()[]{}<>\"&"
+_CUT = re.compile("[" + re.escape(SEPARATORS) + "]+")
 _WRITTEN = re.compile(r"[0-9a-zA-Z\x80-\U0010ffff]+")
 
 
@@ -102,8 +105,11 @@ def learn_characters(docs: DataFrame, text: str = "text") -> CharModel:
     return CharModel(counts)
 
 
-def restore(token: str, model: CharModel) -> str:
-    """The likeliest letters behind a token: Viterbi over its lattice, states being the last two symbols."""
+def restore(token: str, model: CharModel, split: bool = False) -> str:
+    """The likeliest letters behind a token: Viterbi over its lattice, states being the last two symbols.
+
+    Separators are dropped; with ``split`` each may end a word instead, where that is likelier.
+    """
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     cost = model.cost
     for i, ch in enumerate(token):
@@ -116,6 +122,8 @@ def restore(token: str, model: CharModel) -> str:
         skip = None
         if ch in SEPARATORS:
             skip = SKIP
+            if split:
+                arcs.append((0, " ", 0.0))
         elif i and ch == token[i - 1]:
             skip = AGAIN
         elif not arcs:
@@ -134,14 +142,23 @@ def restore(token: str, model: CharModel) -> str:
 
 
 def readings(token: str, model: CharModel) -> str:
-    """All words behind a token that are not written in it: its separators dropped."""
+    """All words behind a token that are not written in it: its separators dropped, or read as ends of words."""
     core = token.strip(_EDGE)
     tries = [core, core.strip("!*#+|")]
+    if core[1:2] == " ":
+        # One-letter words beside a word spaced apart.
+        left = core[2:] if core[0] in "ai" else core
+        right = core[:-2] if core[-1] in "ai" else core
+        tries += [left, right, left[:-2] if core[-1] in "ai" else left]
     out: list[str] = []
     for t in dict.fromkeys(tries):
         if len(t) < 3:
             continue
         out.append(restore(t, model))
+        pieces = _CUT.split(t)
+        if len(pieces) > 1:
+            out += restore(t, model, split=True).split()
+            out += [restore(p, model) for p in pieces if len(p) > 2]
     written = set(_WRITTEN.findall(token))
     return " ".join(x for x in dict.fromkeys(out) if x not in written)
 

@@ -119,3 +119,32 @@ def test_repeated_and_null_ids(spark):
 @pytest.mark.parametrize("hidden", ["fovlbrute", "nastygitt", "nnaassttyyggiitt", "n.a.5.t.y.g.1.t", "n--a--s--t--y--g--i--t", "n - a - s - t - y - g - i - t", "n a s t y g i t!", "n4stygit!", "*v1lecur*"])
 def test_every_disguise_is_opened(spark, fitted, hidden):
     assert tx.score(docs(spark, [f"the quiet {hidden} stands"]), *fitted).first().score >= 0.5
+
+
+@pytest.mark.parametrize("text", ["you are a n a s t y g i t", "n a s t y g i t I say", "q u i e t v i l e c u r", "n a s t y g i t v i l e c u r", "so,v1lecur", "quiet,v.1.l.e.c.u.r"])
+def test_separators_may_end_words(spark, fitted, text):
+    assert tx.score(docs(spark, [text, "a q u i e t h o u s e"]), *fitted).where("score >= 0.5").count() == 1
+
+
+@pytest.mark.parametrize("token", ["n4s.t", "so,1d", "a n a", "q u i e t", "--a"])
+def test_boundary_arcs_against_all_paths(fitted, token):
+    model, best = fitted[0], (float("inf"), "")
+    where = [i for i, ch in enumerate(token) if ch in tx.SEPARATORS]
+    options = []
+    for i, ch in enumerate(token):
+        sym = int(tx._SYMBOL[ord(ch)])
+        own = [(sym, ch, 0.0)] if sym else []
+        own += [(ord(to) - 96, to, tx.SWAP) for to in tx.IMITATES.get(ch, "")]
+        own += [(None, "", tx.SKIP), (0, " ", 0.0)] if i in where else []
+        own += [(None, "", tx.AGAIN)] if i and i not in where and ch == token[i - 1] else []
+        options.append(own)
+    for path in itertools.product(*options):
+        x = y = 0
+        total = 0.0
+        for s, _, extra in path:
+            total += extra
+            if s is not None:
+                total += model.cost[x][y][s]
+                x, y = y, s
+        best = min(best, (total + model.cost[x][y][0], "".join(t for _, t, _ in path)))
+    assert tx.restore(token, model, split=True) == best[1]
