@@ -478,8 +478,7 @@ def pca_axes(spark, d):
 
 @query()
 def clusters(spark, d):
-    rows = table(spark, d, "embeddings").orderBy("vec_id").select("vec_id", "embedding")
-    return kernels.stamp_clusters(rows, "embedding").select("vec_id", "cluster_id")
+    return kernels.table_clusters(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 # --------------------------------------------------------------------- joins, sets

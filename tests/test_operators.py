@@ -237,3 +237,15 @@ def test_dead_letters(spark):
     rows = frame(spark, [(1.0,), (float("nan"),), (None,), (float("inf"),)], "v double")
     good, bad = dossier.dead_letters(rows, ["v"])
     assert good.count() == 1 and bad.count() == 3
+
+
+def test_clusters_of_a_table_label_every_vector(spark, tmp_path):
+    from skyloom.plans import probes
+
+    rng = np.random.default_rng(3)
+    z = np.concatenate([rng.normal(c, 0.3, (3400, 4)) for c in (0, 4, 9)] + [rng.uniform(-30, 30, (300, 4))])[rng.permutation(10500)]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)] + [(10500, None)], "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.cluster_id for r in probes.QUERIES["clusters"](spark, str(tmp_path)).collect()}
+    assert len(got) == 10501 and got.pop(10500) == -1
+    want = kernels.greedy_clusters(z, 525)
+    assert want.max() >= 2 and [got[i] for i in range(10500)] == want.tolist()
