@@ -487,8 +487,18 @@ def clusters(spark, d):
 @query("""SELECT p_partkey, o.o_orderkey FROM (SELECT p_partkey, p_retailprice, p_size FROM part WHERE p_partkey <= 50) p
 JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN p_retailprice * 20 - 500 AND p_retailprice * 20 + 500 ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) o ON true""")
 def band_lookup(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 50").select("p_partkey", (F.col("p_retailprice") * 20).alias("x"))
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return _band_of(table(spark, d, "part").where("p_partkey <= 50"), table(spark, d, "orders"))
+
+
+@query()
+def band_lookup_all(spark, d):
+    """``band_lookup`` over every part; the SQL of that query names the first fifty."""
+    return _band_of(table(spark, d, "part"), table(spark, d, "orders"))
+
+
+def _band_of(part, orders):
+    p = part.select("p_partkey", (F.col("p_retailprice") * 20).alias("x"))
+    o = orders.select("o_orderkey", "o_totalprice")
     # A band meets the rows of its own and the neighbouring buckets, as wide as the band.
     near = p.withColumn("k", F.explode(F.sequence(F.floor((F.col("x") - 500) / 1000), F.floor((F.col("x") + 500) / 1000))))
     hits = near.join(o.withColumn("k", F.floor(F.col("o_totalprice") / 1000)), "k").where(F.col("o_totalprice").between(F.col("x") - 500, F.col("x") + 500))

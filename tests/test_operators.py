@@ -249,3 +249,20 @@ def test_clusters_of_a_table_label_every_vector(spark, tmp_path):
     assert len(got) == 10501 and got.pop(10500) == -1
     want = kernels.greedy_clusters(z, 525)
     assert want.max() >= 2 and [got[i] for i in range(10500)] == want.tolist()
+
+
+def test_band_lookup_of_every_part(spark, tmp_path):
+    from skyloom.plans import probes
+
+    rng = np.random.default_rng(4)
+    parts = [(i, float(p)) for i, p in enumerate(rng.integers(900, 1100, 120), 1)]
+    orders = [(i, float(p)) for i, p in enumerate(rng.integers(17000, 23000, 150), 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {}
+    for part, price in parts:
+        near = [(-total, order) for order, total in orders if abs(total - price * 20) <= 500]
+        if near:
+            want[part] = min(near)[1]
+    got = {r.p_partkey: r.o_orderkey for r in probes.QUERIES["band_lookup_all"](spark, str(tmp_path)).collect()}
+    assert got == want and max(got) > 50
