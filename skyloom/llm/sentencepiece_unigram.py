@@ -74,7 +74,7 @@ class DoubleArray:
 
 
 class Vocabulary:
-    """Pieces with log scores; ``bytes_`` are the ids of the 256 byte pieces."""
+    """Pieces with scores (log probabilities, or the merge ranks of a BPE model in their place); ``bytes_`` are the ids of the 256 byte pieces."""
 
     def __init__(self, pieces: list[str], scores: list[float], bytes_: list[int], skip: set[int] | None = None):
         skip = (skip or set()) | set(bytes_)
