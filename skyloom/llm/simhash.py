@@ -359,18 +359,44 @@ class _Group:
         self.size = size[size > 1]
         self.start = np.cumsum(self.size) - self.size
 
-    def plausible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Pairs of sets, as one number each, that their sizes and cells do not rule out."""
+    def close(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of sets their sizes and cells do not rule out."""
         total = self.n[x] + self.n[y]
         good = 9 * np.abs(self.n[x] - self.n[y]) <= total
-        x, y, total = x[good], y[good], total[good]
-        good = 9 * np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(1, dtype=np.int64) <= total
-        return np.unique(np.minimum(x[good], y[good]) * len(self.n) + np.maximum(x[good], y[good]))
+        at = np.flatnonzero(good)
+        good[at] = 9 * np.bitwise_count(self.bits[x[at]] ^ self.bits[y[at]]).sum(1, dtype=np.int64) <= total[at]
+        return good
+
+    def plausible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The close pairs, as one number each."""
+        good = self.close(x, y)
+        x, y = x[good], y[good]
+        return np.unique(np.minimum(x, y) * len(self.n) + np.maximum(x, y))
 
     def pairs(self, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         code = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
         return self.sign[code // max(len(self.n), 1)], self.sign[code % max(len(self.n), 1)]
 
+    def packed(self, use: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The entries that a mask picks as a payload again, and the sets that they name."""
+        here, at = np.unique(self.at[use], return_inverse=True)
+        return pack(self.key[use], at.astype(np.int32), self.sign[here], self.n[here].astype(np.int32), self.bits[here].ravel()), here
+
+    def apart(self, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each set with the sets of a group that may link with it and are not known to; ``label`` may change meanwhile.
+
+        Sets of a group's largest component come up as partners only.
+        """
+        for start, size in zip(self.start, self.size, strict=True):
+            at = self.at[start : start + size]
+            kinds, kind, count = np.unique(label[at], return_inverse=True, return_counts=True)
+            if len(kinds) > 1:
+                for x in at[kind != count.argmax()]:
+                    other = at[label[at] != label[x]]
+                    other = other[self.close(np.full(len(other), x), other)]
+                    if len(other):
+                        yield int(x), other
+
 
 _FOUND = "a long, b long, bucket int, member long, payload binary"
 
@@ -403,38 +429,73 @@ def _proposed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _rows(len(a), a=pa.array(a), b=pa.array(b))
     large = size > SMALL
     if large.any():
-        here, at = np.unique(g.at[large], return_inverse=True)
-        yield _rows(1, bucket=pa.array([bucket], pa.int32()), payload=pa.array([pack(g.key[large], at.astype(np.int32), g.sign[here], g.n[here].astype(np.int32), g.bits[here].ravel())], pa.binary()))
-        yield _rows(len(here), bucket=pa.array(np.full(len(here), bucket, np.int32)), member=pa.array(g.sign[here]))
+        yield from _members(g, large, bucket)
 
 
-def _across(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All plausible pairs of large groups whose sets are not linked yet."""
-    payloads, member, root = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _members(g: _Group, use: np.ndarray, bucket: int) -> Iterator[pa.RecordBatch]:
+    payload, here = g.packed(use)
+    yield _rows(1, bucket=pa.array([bucket], pa.int32()), payload=pa.array([payload], pa.binary()))
+    yield _rows(len(here), bucket=pa.array(np.full(len(here), bucket, np.int32)), member=pa.array(g.sign[here]))
+
+
+def _gathered(it: Iterator[pa.RecordBatch]) -> tuple[_Group, int, np.ndarray, list] | None:
+    """A bucket's groups, the component of each set as an index, and the sets themselves where they came along."""
+    payloads, member, root, sets, bucket = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
     for batch in it:
+        if batch.num_rows:
+            bucket = batch.column("bucket")[0].as_py()
         payloads += [p for p in batch.column("payload").to_pylist() if p is not None]
         one = batch.filter(batch.column("member").is_valid())
         member.append(one.column("member").to_numpy())
         root.append(one.column("root").to_numpy())
+        sets += [np.frombuffer(x.as_buffer(), np.uint64) if x.is_valid else None for x in one.column("shingles")]
     if not payloads:
-        return
+        return None
     g = _Group(payloads)
     member, root = np.concatenate(member), np.concatenate(root)
     order = np.argsort(member)
-    label = root[order][np.searchsorted(member[order], g.sign)]
-    found = []
-    for start, size in zip(g.start, g.size, strict=True):
-        at = g.at[start : start + size]
-        kinds, kind, count = np.unique(label[at], return_inverse=True, return_counts=True)
-        if len(kinds) > 1:
-            # Each set outside the largest component against all of other components.
-            for i in np.flatnonzero(kind != count.argmax()):
-                other = at[kind != kind[i]]
-                found.append(g.plausible(np.full(len(other), at[i]), other))
-        if len(found) > 4096:
-            found = [np.unique(np.concatenate(found))]
-    a, b = g.pairs(found)
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    place = order[np.searchsorted(member[order], g.sign)]
+    _, label = np.unique(root[place], return_inverse=True)
+    return g, bucket, label, [sets[i] for i in place]
+
+
+def _unlinked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of large groups, the sets that may link with a set of another component."""
+    got = _gathered(it)
+    if got:
+        g, bucket, label, _ = got
+        needed = np.zeros(len(g.n), bool)
+        for x, other in g.apart(label):
+            needed[x] = needed[other] = True
+        use = needed[g.at]
+        if use.any():
+            yield from _members(g, use, bucket)
+
+
+def _across(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of similarity 4/5 at least that join components in large groups: a forest, so no more rows than sets."""
+    got = _gathered(it)
+    if not got:
+        return
+    g, _, label, sets = got
+    forest = Forest(len(g.n))
+    first = np.unique(label, return_index=True)[1]
+    forest.link(np.arange(len(label)), first[label])
+    a, b = [], []
+    for x, other in g.apart(forest.label):
+        for i in range(0, len(other), 1024):
+            part = other[i : i + 1024]
+            part = part[forest.label[part] != forest.label[x]]
+            if not len(part):
+                continue
+            size = g.n[part]
+            shared = np.add.reduceat(tk.member(np.concatenate([sets[y] for y in part]), sets[x]), np.cumsum(size) - size, dtype=np.int64)
+            for y in part[9 * shared >= 4 * (size + g.n[x])]:
+                if forest.label[y] != forest.label[x]:
+                    forest.link(np.array([x]), np.array([y]))
+                    a.append(x)
+                    b.append(y)
+    yield pa.RecordBatch.from_arrays([pa.array(g.sign[np.array(a, np.int64)]), pa.array(g.sign[np.array(b, np.int64)])], names=["a", "b"])
 
 
 def _own_sets(shingle: int):
@@ -468,6 +529,9 @@ def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id"
     Exact: sets so alike share one of their first shingles in any common order
     (rare ones first, so that common lines bring few together), size and cells rule
     out only pairs that cannot be so alike, and the sets themselves decide the rest.
+    Pairs of small groups, and neighbours by size in large ones, are rows; what may
+    still join components of a large group is decided where the group lies, which
+    returns a forest. Texts without words have the empty set and are copies of each other.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -482,21 +546,32 @@ def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id"
     nodes = stored(prints.groupBy("sign").agg(F.min("id").alias("low")), "nodes")
     found = stored(exchange(base.mapInArrow(_prefixes(shingle, common, n), "bucket int, payload binary")).mapInArrow(_proposed, _FOUND), "found")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sign")).distinct()
-        places = wanted.join(nodes, "sign").select("sign", "low")
-        sets = stored(base.join(places, base["id"] == places["low"]).select("sign", "text").mapInArrow(_own_sets(shingle), "sign long, shingles binary").dropDuplicates(["sign"]), "sets")
-        one = sets.select(F.col("sign").alias("a"), F.col("shingles").alias("x"))
-        two = sets.select(F.col("sign").alias("b"), F.col("shingles").alias("y"))
-        return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"), "links")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        places = wanted.distinct().join(nodes, "sign").select("sign", "low")
+        mine = base.join(places, base["id"] == places["low"]).select("sign", "text").mapInArrow(_own_sets(shingle), "sign long, shingles binary")
+        return stored(mine.dropDuplicates(["sign"]), "sets")
 
-    links = verified(found.where("a is not null").select("a", "b"))
+    pairs = stored(found.where("a is not null").select("a", "b").distinct(), "pairs")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sign")))
+    one = sets.select(F.col("sign").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("sign").alias("b"), F.col("shingles").alias("y"))
+    links = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"), "links")
     root = components(links)
-    members = found.where("member is not null").select("bucket", "member").join(root, F.col("member") == F.col("node"), "left")
-    members = members.select("bucket", "member", F.coalesce("root", "member").alias("root"), F.lit(None).cast("binary").alias("payload"))
-    groups = found.where("payload is not null").select("bucket", F.lit(None).cast("long").alias("member"), F.lit(None).cast("long").alias("root"), "payload")
-    more = verified(exchange(members.union(groups)).mapInArrow(_across, "a long, b long"))
+
+    def large(rows: DataFrame, sets: DataFrame | None) -> DataFrame:
+        """The members of large groups with their components (and sets), and the groups, in their buckets."""
+        members = rows.where("member is not null").select("bucket", "member").join(root, F.col("member") == F.col("node"), "left")
+        members = members.select("bucket", "member", F.coalesce("root", "member").alias("root"))
+        if sets is None:
+            members = members.withColumn("shingles", F.lit(None).cast("binary"))
+        else:
+            members = members.join(sets, F.col("member") == F.col("sign")).drop("sign")
+        groups = rows.where("payload is not null").select("bucket", *(F.lit(None).cast(t).alias(c) for c, t in (("member", "long"), ("root", "long"), ("shingles", "binary"))), "payload")
+        return exchange(members.withColumn("payload", F.lit(None).cast("binary")).union(groups))
+
+    apart = stored(large(found, None).mapInArrow(_unlinked, _FOUND), "apart")
+    wanted = apart.where("member is not null").select(F.col("member").alias("sign"))
+    more = stored(large(apart, sets_of(wanted)).mapInArrow(_across, "a long, b long"), "links")
     if not more.isEmpty():
         root = components(links.union(more))
     joined = nodes.join(root, nodes["sign"] == root["node"], "left").select("sign", "low", F.coalesce("root", "sign").alias("root"))
