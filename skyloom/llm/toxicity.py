@@ -16,13 +16,15 @@
 Labels are learned from at most ``SAMPLE`` labelled rows, drawn by hash of the id,
 of which near copies (equal minimal hash of five-word runs) count once.
 
+Tokens and runs of letters of any length are decoded as a whole.
+
 Cases: null, empty and wordless texts score 0; without labelled rows every text
 scores 0; ids with more than one label teach the larger; repeated rows score alike.
 """
 
 from __future__ import annotations
 
-import math
+import os
 import re
 from collections.abc import Iterator
 
@@ -52,6 +54,8 @@ IMITATES = {
 SEPARATORS = " .-_*~'`,/\\"
 #: Costs in nats: a disguise, a dropped separator, a dropped repetition.
 SWAP, SKIP, AGAIN = 1.0, 0.3, 0.7
+#: Characters between two looks at what all paths agree on, and the longest token whose reading a task remembers.
+SETTLE, REMEMBER = 64, 64
 
 #: Symbols of the character model: boundary, a to z, any other letter byte.
 _SYMBOL = np.zeros(256, np.int64)
@@ -109,9 +113,10 @@ def restore(token: str, model: CharModel, split: bool = False) -> str:
     """The likeliest letters behind a token: Viterbi over its lattice, states being the last two symbols.
 
     Separators are dropped; with ``split`` each may end a word instead, where that is likelier.
+    What all paths agree on is set aside now and then, so that a long token costs its length.
     """
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    cost = model.cost
+    cost, settled = model.cost, []
     for i, ch in enumerate(token):
         sym = int(_SYMBOL[ord(ch)]) if ord(ch) < 128 else 27
         arcs: list[tuple[int, str, float]] = []
@@ -138,7 +143,10 @@ def restore(token: str, model: CharModel, split: bool = False) -> str:
                 if (y, s) not in new or d < new[y, s][0]:
                     new[y, s] = (d, text + to)
         best = new
-    return min(((c + cost[x][y][0], text) for (x, y), (c, text) in best.items()), default=(0.0, ""))[1]
+        if i % SETTLE == SETTLE - 1:
+            settled.append(os.path.commonprefix([text for _, text in best.values()]))
+            best = {at: (c, text[len(settled[-1]) :]) for at, (c, text) in best.items()}
+    return "".join(settled) + min(((c + cost[x][y][0], text) for (x, y), (c, text) in best.items()), default=(0.0, ""))[1]
 
 
 def readings(token: str, model: CharModel) -> str:
@@ -192,11 +200,9 @@ def hidden(data: np.ndarray, tokens: tk.Words) -> tuple[np.ndarray, np.ndarray,
         bound = np.concatenate([[0], np.cumsum(np.bincount(back))])
         for j, k in enumerate(at[first]):
             raw = data[tokens.starts[k] : tokens.ends[k]].tobytes()
-            parts = [raw] if len(raw) <= 64 else [raw[i : i + 64] for i in range(0, len(raw), 48)]
             texts = np.unique(owner[at[order[bound[j] : bound[j + 1]]]])
-            for x in dict.fromkeys(parts):
-                who.append(texts)
-                which.append(np.full(len(texts), found.setdefault(x.decode("utf-8", "replace"), len(found))))
+            who.append(texts)
+            which.append(np.full(len(texts), found.setdefault(raw.decode("utf-8", "replace"), len(found))))
     # Letters spaced apart: runs of tokens of one letter or disguise each, with separators beside or between them.
     if len(tokens.starts):
         cores = count(core)
@@ -209,10 +215,9 @@ def hidden(data: np.ndarray, tokens: tk.Words) -> tuple[np.ndarray, np.ndarray,
         long = total[end] - total[begin] >= 3
         for a, b in zip(begin[long], end[long], strict=True):
             span = slice(tokens.starts[a], tokens.ends[b - 1])
-            run = data[span][core[span]].tobytes().decode("latin-1")
-            for i in range(0, len(run) - 2, 24):
-                who.append(owner[a : a + 1])
-                which.append(np.array([found.setdefault(" ".join(run[i : i + 32]), len(found))]))
+            run = " ".join(data[span][core[span]].tobytes().decode("latin-1"))
+            who.append(owner[a : a + 1])
+            which.append(np.array([found.setdefault(run, len(found))]))
     return np.concatenate(who), np.concatenate(which), list(found)
 
 
@@ -244,7 +249,9 @@ def _slice_features(data: np.ndarray, offsets: np.ndarray, model: CharModel, kno
         for token in found:
             got = known.get(token)
             if got is None:
-                got = known[token] = readings(token, model)
+                got = readings(token, model)
+                if len(token) <= REMEMBER:
+                    known[token] = got
             words.append(got)
         more, of = features(_restored_words(words))
         # Each text takes the words of its tokens.

@@ -67,6 +67,20 @@ def test_viterbi_against_all_paths(fitted, token):
     assert got == text or brute_restore(token, model)[0] == pytest.approx(total)
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_long_tokens_are_decoded_as_a_whole(fitted, split, monkeypatch):
+    rng = random.Random(3)
+    tokens = ["".join(rng.choices("natsy1g0.-f3uv ", k=rng.randint(60, 400))) for _ in range(30)]
+    got = [tx.restore(t, fitted[0], split) for t in tokens]
+    monkeypatch.setattr(tx, "SETTLE", 10**9)
+    assert got == [tx.restore(t, fitted[0], split) for t in tokens]
+
+
+def test_letters_before_a_spaced_word_do_not_hide_it(spark, fitted):
+    texts = ["q " * k + "f o u l b r u t e" + " q" * (k % 3) for k in range(40)] + ["-" * k + "n4styg1t" + "-x" * k for k in range(1, 90, 8)]
+    assert min(r.score for r in tx.score(docs(spark, texts), *fitted).collect()) >= 0.5
+
+
 def test_character_model_sums_to_one(fitted):
     assert np.allclose(np.exp(-np.array(fitted[0].cost)).sum(2), 1)
 
