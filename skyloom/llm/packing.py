@@ -1,16 +1,24 @@
 """Best-fit packing into bins of several permitted lengths.
 
 Documents are cut into segments of at most the largest length; segments are dealt
-to shards by document and packed there, longest first, each into the open bin it
-fills best. If none has room, the length opens that costs least for each token it
-is likely to hold. Last, every bin shrinks to the smallest length that holds it.
+to shards and packed there, longest first, each into the open bin it fills best. If
+none has room, every length that holds the segment is tried on the sizes still to
+come, largest first, and the one opens that then costs least for each token placed.
+Last, every bin shrinks to the smallest length that holds it.
+
+Lengths that look cheap one by one need not be so together, so a shard is also
+packed with each length alone (longer ones for what does not fit), and the
+cheapest of these plans stays: a shard never costs more than with its best single length.
 
 A bin of length c costs ``c + c * c / QUADRATIC + PER_BIN``: long sequences pay for
 attention, every sequence for its start. A shard sees only its own segments, so
 its memory follows the partition count; each shard leaves at most a few bins part full.
+Shards are drawn by a hash of the row, repeats numbered, so one id that holds many
+rows, or the same row again and again, is spread over all of them.
 
 Cases: null and empty texts are one token, the end; repeated rows are packed each
-for itself; equal lengths go in the order of id and start; an empty table has no bins.
+for itself; equal lengths go in the order of id and start, nulls first; a very long text becomes
+several segments; other columns are not read; an empty table has no bins.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from skyloom.llm import textkit as tk
 from skyloom.llm.work import exchange, partitions
@@ -32,14 +41,57 @@ def cost(capacity: int) -> float:
     return capacity + capacity * capacity / QUADRATIC + PER_BIN
 
 
-def pack_lengths(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> list[tuple[int, list[int]]]:
-    """(length, item indices) of each bin; sizes come longest first and none is over the largest length."""
-    lengths = tuple(sorted(lengths))
+class _Remaining:
+    """The multiset of sizes still to come."""
+
+    def __init__(self, sizes: list[int], largest: int):
+        self.count = [0] * (largest + 1)
+        for size in sizes:
+            self.count[size] += 1
+        self.bits = sum(1 << size for size, n in enumerate(self.count) if n)
+
+    def take(self, size: int) -> None:
+        self.count[size] -= 1
+        if not self.count[size]:
+            self.bits ^= 1 << size
+
+    def fill(self, room: int) -> int:
+        """Tokens that go into ``room``, largest sizes first."""
+        used, limit = 0, room
+        while low := self.bits & ((2 << limit) - 1):
+            size = low.bit_length() - 1
+            n = min(self.count[size], (room - used) // size)
+            used += n * size
+            limit = min(room - used, size - 1)
+        return used
+
+
+def _shrunk(used: int, lengths: tuple[int, ...]) -> int:
+    return next(c for c in lengths if c >= used)
+
+
+def _opened(size: int, remaining: _Remaining, lengths: tuple[int, ...]) -> int:
+    """The length that costs least for each token, if it is filled with what is still to come."""
+    best = None
+    for c in lengths:
+        if c >= size:
+            used = size + remaining.fill(c - size)
+            price = cost(_shrunk(used, lengths)) / used
+            if best is None or price < best[0]:
+                best = price, c
+    if best is None:
+        raise ValueError(f"no length holds {size} tokens")
+    return best[1]
+
+
+def _best_fit(sizes: list[int], lengths: tuple[int, ...], single: int | None) -> list[list[int]]:
+    """The items of each bin; with ``single`` bins open at that length, or the next that holds the item."""
     room: list[list[int]] = [[] for _ in range(lengths[-1] + 1)]
     open_ = 0  # bit r: a bin has r tokens of room
     bins: list[list[int]] = []
-    left = sum(sizes)
+    remaining = _Remaining(sizes, max(sizes, default=0))
     for item, size in enumerate(sizes):
+        remaining.take(size)
         fits = open_ >> size
         if fits:
             r = size + (fits & -fits).bit_length() - 1
@@ -47,21 +99,27 @@ def pack_lengths(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> list[t
             if not room[r]:
                 open_ ^= 1 << r
         else:
-            r = min((c for c in lengths if c >= size), key=lambda c: cost(c) / min(c, left))
+            r = _opened(size, remaining, lengths) if single is None else _shrunk(max(size, single), lengths)
             b = len(bins)
             bins.append([])
         bins[b].append(item)
-        left -= size
         r -= size
-        if r and not room[r]:
-            open_ |= 1 << r
         if r:
+            open_ |= 1 << r
             room[r].append(b)
-    out = []
-    for held in bins:
-        used = sum(sizes[i] for i in held)
-        out.append((next(c for c in lengths if c >= used), held))
-    return out
+    return bins
+
+
+def pack_lengths(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> list[tuple[int, list[int]]]:
+    """(length, item indices) of each bin; sizes come longest first and none is over the largest length."""
+    lengths = tuple(sorted(lengths))
+    best = None
+    for single in (None, *lengths):
+        plan = [(_shrunk(sum(sizes[i] for i in held), lengths), held) for held in _best_fit(sizes, lengths, single)]
+        total = sum(cost(c) for c, _ in plan)
+        if best is None or total < best[0]:
+            best = total, plan
+    return best[1]
 
 
 def _sizes(buckets: int):
@@ -69,8 +127,12 @@ def _sizes(buckets: int):
         for batch in it:
             n = [w.counts + 1 for _, _, w in tk.batches_of_words(batch, "text")]
             n = np.concatenate([np.zeros(0, np.int64), *n])
-            id = batch.column("id").fill_null(0).to_numpy(zero_copy_only=False)
-            bucket = (tk.mix(id.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            row = batch.column("row").to_numpy().view(np.uint64)
+            order = np.argsort(row, kind="stable")
+            first = tk.runs(row[order])
+            nth = np.empty(len(row), np.uint64)
+            nth[order] = (np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))).astype(np.uint64)
+            bucket = (tk.mix(row ^ tk.mix(nth)) % np.uint64(buckets)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("id"), pa.array(n.astype(np.int64))], names=["bucket", "id", "n"])
 
     return run
@@ -111,7 +173,8 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, id: str = "doc_id"
     Tokens are the words of a text and one end.
     """
     n = partitions(docs.sparkSession)
-    sizes = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(_sizes(n), "bucket int, id long, n long")
+    rows = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    sizes = rows.mapInArrow(_sizes(n), "bucket int, id long, n long")
     out = "bin_id long, capacity long, used long, doc_ids array<long>, segments array<struct<doc_id:long,start:long,n_tokens:long>>"
     return exchange(sizes).mapInArrow(_pack(lengths, n), out)
 
