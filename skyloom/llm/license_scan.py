@@ -3,13 +3,17 @@
 A notice of at most ``k`` errors keeps at least one of its ``k + 1`` pieces
 intact (pigeonhole). An Aho-Corasick automaton finds the pieces of all notices
 in one pass; around each hit the regex library's bounded-error matching verifies
-the notice, counts its edits and reports its span.
+the notice at every start, overlapping ones too, counts its edits and reports its
+span. Of spans that overlap the likest stays.
 
 Texts are compared as their words (see ``textkit.NON_ALNUM``), lower case, joined
-by one space, so line breaks and punctuation do not count as errors.
+by one space, so line breaks and punctuation do not count as errors. An error is a
+character, however many bytes it takes.
 
 Cases: a null text is empty; an empty text, or one without notices, has no labels,
-null positions and score 0; repeated rows and ties are scanned each for itself.
+null positions and score 0; repeated rows and ties are scanned each for itself; of a
+very long text only the surroundings of hits are verified; other columns are not read;
+an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -67,7 +71,7 @@ def _automaton():
     words: dict[str, list[tuple[int, int]]] = {}
     for text, label in NOTICES.items():
         errors = len(text) // CHARS_PER_ERROR
-        notices.append(Notice(text, label, errors, regex.compile(rf"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={errors}}}")))
+        notices.append(Notice(text, label, errors, regex.compile(rf"(?e)(?:{regex.escape(text, literal_spaces=True)}){{e<={errors}}}")))
         for at, piece in pieces(text, errors):
             words.setdefault(piece, []).append((len(notices) - 1, at))
     for phrase in PHRASES:
@@ -78,8 +82,8 @@ def _automaton():
     return notices, found
 
 
-def scan(w: tk.Words) -> list[dict]:
-    """What each text of a slice holds: exact phrase places and verified notice spans (both by word)."""
+def scan(w: tk.Words, every: bool = False) -> list[dict]:
+    """What each text of a slice holds: exact phrase places and verified notice spans (both by word); ``every`` keeps overlapping ones."""
     notices, automaton = _automaton()
     data, at = w.spaced()
     text = data.tobytes().decode("latin-1")
@@ -97,9 +101,9 @@ def scan(w: tk.Words) -> list[dict]:
                 if (start == low or text[start - 1] == " ") and (end + 1 == high or text[end + 1] == " "):
                     out[doc]["base"].append((int(np.searchsorted(at, start)) - int(w.first[doc]), PHRASES[piece]))
             else:
-                k = notices[n].errors
-                a = start - offset
-                asked.setdefault((doc, n), []).append((max(low, a - k), min(high, a + len(notices[n].text) + k)))
+                # An error takes four bytes at most.
+                a, far = start - offset, 4 * notices[n].errors
+                asked.setdefault((doc, n), []).append((max(low, a - far), min(high, a + len(notices[n].text) + far)))
     for (doc, n), windows in asked.items():
         windows.sort()
         joined = [list(windows[0])]
@@ -109,17 +113,27 @@ def scan(w: tk.Words) -> list[dict]:
             else:
                 joined.append([a, b])
         for a, b in joined:
-            for m in notices[n].pattern.finditer(text, a, b):
-                lo, hi = m.span()
-                word = int(np.searchsorted(at, lo, "right")) - 1
-                stop = int(np.searchsorted(at, hi - 1, "right"))
+            for lo, hi, errors in _matches(notices[n], data[a:b]):
+                word = int(np.searchsorted(at, a + lo, "right")) - 1
+                stop = int(np.searchsorted(at, a + hi - 1, "right"))
                 first = int(w.first[doc])
-                out[doc]["spans"].append({"label": notices[n].label, "first": word - first, "stop": stop - first, "errors": sum(m.fuzzy_counts), "likeness": 1 - sum(m.fuzzy_counts) / len(notices[n].text)})
+                out[doc]["spans"].append({"notice": notices[n].text, "label": notices[n].label, "first": word - first, "stop": stop - first, "errors": errors, "likeness": 1 - errors / len(notices[n].text)})
     for got in out:
-        got["spans"] = _best(got["spans"])
+        got["spans"] = got["spans"] if every else _best(got["spans"])
     return out
 
 
+def _matches(notice: Notice, data: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first byte, end, errors) of a notice's matches, from every place where one can start."""
+    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(begins):
+        return []
+    # A stretch may begin and end within a character.
+    part = data[begins[0] :].tobytes().decode("utf-8", "ignore")
+    ends = np.append(begins, len(data))
+    return [(int(ends[m.start()]), int(ends[m.end()]), sum(m.fuzzy_counts)) for m in notice.pattern.finditer(part, overlapped=True)]
+
+
 def _best(spans: list[dict]) -> list[dict]:
     """Of spans that overlap, the likest, then the longest, then the first."""
     # Chosen spans do not overlap, so only the neighbours by start can.
@@ -135,12 +149,12 @@ def _best(spans: list[dict]) -> list[dict]:
 
 _OUT = (
     "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double,"
-    " spans array<struct<label:string,first:long,stop:long,errors:long,likeness:double>>"
+    " spans array<struct<notice:string,label:string,first:long,stop:long,errors:long,likeness:double>>"
 )
 
 
 def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("stop", pa.int64()), ("errors", pa.int64()), ("likeness", pa.float64())]))
+    kind = pa.list_(pa.struct([("notice", pa.string()), ("label", pa.string()), ("first", pa.int64()), ("stop", pa.int64()), ("errors", pa.int64()), ("likeness", pa.float64())]))
     for batch in it:
         rows = []
         for _, _, w in tk.batches_of_words(batch, "text", separators=tk.NON_ALNUM, lower=True):
@@ -164,4 +178,4 @@ def find_notices(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     found = find_notices(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.drop("spans").withColumnRenamed("id", "doc_id")
+    return found.withColumnRenamed("id", "doc_id")
