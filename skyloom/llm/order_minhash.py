@@ -1,19 +1,25 @@
 """Order MinHash fingerprints in DataFrame functions alone.
 
 A text is its words; its k-mers are ``K`` consecutive words, numbered by occurrence
-so that repeats differ. Their hashes fall into ``BINS`` ranges; from each range the
-``TUPLE`` smallest are taken, put back into text order and hashed together. Two texts
-agree in a range if the same k-mers come first there in the same order, so moving
+so that repeats differ. Their hashes lie on a circle that ``2 ** BIN_BITS`` marks cut
+into ranges; from each mark on the next ``TUPLE`` hashes are taken, put back into text
+order and hashed together, so a short text, too, has a full tuple at every mark. Two
+texts agree at a mark if the same k-mers come first there in the same order, so moving
 text lowers the likeness as well as changing it does: it follows edit distance.
 
+One hash on a circle with ``2 ** BIN_BITS`` marks stands in for as many hashes
+(``K`` = 3 words, tuples of ``TUPLE`` = 2, 64 marks): that many hashes of every k-mer
+would cost that many times as much.
+
 All per-text steps are array functions on packed longs (40 bits of hash, 23 bits of
 position), so sorting is on primitives, and nothing is exploded or shuffled. The only
-exchange of texts brings neighbours in id order together.
+exchange of texts brings neighbours in id order together, one bucket of ids a task.
 
 Cases: a null text is empty; texts without words have an empty fingerprint, and two of
-those have likeness 1; fewer words than ``K`` make one k-mer; equal texts have equal
-fingerprints; rows that share an id follow one another by text; a null id comes last;
-a single row is its own neighbour; beyond 2**23 words positions count as equal.
+those have likeness 1; fewer words than ``K`` make one k-mer; a single k-mer is a tuple of
+its own; equal texts have equal fingerprints; rows that share an id follow one another by
+text; a null id comes last; a single row is its own neighbour; beyond 2**23 words positions
+count as equal; other columns are not read; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.work import partitions
+from skyloom.llm.work import exchange, partitions
 
 K, TUPLE = 3, 2
 #: log2 of the number of hash ranges.
@@ -64,25 +70,36 @@ def _numbered(kmers: Column) -> Column:
 
 
 def _tuples(hashes: Column, tuple_size: int) -> Column:
-    """Sorted packed hashes -> (range, tuple hash) of each range that has any, packed in order of range."""
+    """Sorted packed hashes -> (mark, tuple hash) of every mark, packed in order of mark."""
+    marks = 1 << BIN_BITS
+    # The hashes that can be in a tuple: the first of each range.
     first = F.filter(hashes, lambda x, i: (i < tuple_size) | (_bin(F.get(hashes, i - tuple_size)) != _bin(x)))
 
     def from_first(low: Column) -> Column:
         begins = F.filter(F.sequence(F.lit(0), F.size(low) - 1), lambda i: (i == 0) | (_bin(F.get(low, i - 1)) != _bin(F.get(low, i))))
 
-        def entry(i: Column) -> Column:
-            own = F.filter(F.slice(low, i + 1, tuple_size), lambda x: _bin(x) == _bin(F.get(low, i)))
+        def value(i: Column) -> Column:
+            own = F.transform(F.array(*[F.lit(j) for j in range(tuple_size)]), lambda j: F.get(low, (i + j) % F.size(low)))
             ordered = F.sort_array(F.transform(own, lambda x: F.shiftleft(_position(x), _HASH).bitwiseOR(F.shiftright(x, _POSITION))))
-            value = F.xxhash64(F.transform(ordered, lambda y: y.bitwiseAND(F.lit((1 << _HASH) - 1).cast("long"))))
-            return F.shiftleft(_bin(F.get(low, i)), 32).bitwiseOR(F.shiftrightunsigned(value, 32))
+            return F.shiftrightunsigned(F.xxhash64(F.transform(ordered, lambda y: y.bitwiseAND(F.lit((1 << _HASH) - 1).cast("long")))), 32)
+
+        def after(b: Column) -> Column:
+            # The marks up to a range from behind the range before it; the last ones go on at the first.
+            return F.when(b == 0, F.lit(0)).otherwise((_bin(F.get(low, F.get(begins, b - 1))) + 1).cast("int"))
+
+        def from_values(values: Column) -> Column:
+            upto = F.transform(begins, lambda i, b: F.array_repeat(F.get(values, b), (_bin(F.get(low, i)) + 1).cast("int") - after(b)))
+            rest = F.lit(marks - 1) - _bin(F.element_at(low, -1)).cast("int")
+            return F.concat(F.flatten(upto), F.array_repeat(F.get(values, F.lit(0)), rest))
 
-        return F.transform(begins, entry)
+        every = let(F.transform(begins, value), from_values)
+        return F.transform(every, lambda x, mark: F.shiftleft(mark.cast("long"), 32).bitwiseOR(x))
 
     return let(first, from_first)
 
 
 def signature(text: Column, k: int = K, tuple_size: int = TUPLE) -> Column:
-    """The fingerprint as an array of longs: the range above 32 bits of the tuple's hash."""
+    """The fingerprint as an array of longs: the mark above 32 bits of the tuple's hash."""
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
     def from_words(h: Column) -> Column:
@@ -96,14 +113,14 @@ def signature(text: Column, k: int = K, tuple_size: int = TUPLE) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of ranges that either text has in which both agree."""
-    range_of = lambda s: F.transform(s, lambda x: F.shiftright(x, 32))
-    either = F.size(F.array_union(range_of(a), range_of(b)))
-    return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """The share of marks at which both agree."""
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / most)
 
 
 def printed(s: Column) -> Column:
-    return F.array_join(F.transform(s, lambda x: F.lower(F.lpad(F.hex(x), 10, "0"))), "")
+    low = F.lit((1 << 32) - 1).cast("long")
+    return F.array_join(F.transform(s, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(low)), 8, "0"))), "")
 
 
 def _bucket(id: Column, bounds: list[int]) -> Column:
@@ -136,7 +153,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follows = firsts.select("bucket", F.coalesce(F.lead("first").over(order), F.first("first").over(whole)).alias("follow"))
     within = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("id"), F.desc("text"))
-    signed = placed.withColumn("sign", signature(F.col("text")))
+    # Texts travel alone and are signed where they arrive.
+    signed = exchange(placed).withColumn("sign", signature(F.col("text")))
     led = signed.withColumn("next", F.lead(F.struct("text", "sign")).over(within))
     joined = led.join(follows, "bucket").withColumn("next", F.coalesce("next", "follow"))
     return joined.select("id", "text", "sign", F.col("next.text").alias("next_text"), F.col("next.sign").alias("next_sign"))

@@ -30,11 +30,11 @@ def brute_tuples(spark, text, k=om.K, size=om.TUPLE):
     occ = sorted((r[1], r[0]) for r in rows.select("i", F.shiftrightunsigned(F.xxhash64("g", "nth"), 24)).collect())
     out = []
     for b in range(1 << om.BIN_BITS):
-        own = sorted([x for x in occ if x[0] >> (40 - om.BIN_BITS) == b][:size], key=lambda x: x[1])
-        if own:
-            h = spark.createDataFrame([([x[0] for x in own],)], "a array<long>").select(F.shiftrightunsigned(F.xxhash64("a"), 32)).first()[0]
-            out.append(b << 32 | h)
-    return out
+        # From the mark on, and on from the start behind the last.
+        around = [x for x in occ if x[0] >> (40 - om.BIN_BITS) >= b] + occ + occ
+        out.append([x[0] for x in sorted(around[:size], key=lambda x: x[1])])
+    rows = spark.createDataFrame(list(enumerate(out)), "b int, a array<long>").coalesce(1)
+    return [r[0] << 32 | r[1] for r in rows.select("b", F.shiftrightunsigned(F.xxhash64("a"), 32)).orderBy("b").collect()]
 
 
 def test_signature_against_brute_force(spark):
@@ -67,6 +67,23 @@ def test_equal_texts_and_order(spark, tmp_path):
     assert got[1].near_next < 0.2
 
 
+def test_order_counts_in_short_texts_too(spark):
+    a = prose(1, 20, 4000).split()
+    rows = spark.createDataFrame([(" ".join(a), " ".join(a[10:] + a[:10]), " ".join(a[::-1]))], "a string, b string, c string")
+    rows = rows.select(*[om.signature(F.col(c)).alias(c) for c in "abc"])
+    near, far = rows.select(om.likeness(F.col("a"), F.col("b")), om.likeness(F.col("a"), F.col("c"))).first()
+    assert 0 < near < 0.74 and far < 0.1
+
+
+def test_one_bucket_is_one_task(spark, tmp_path):
+    spark.createDataFrame([(i, prose(i, 20)) for i in range(200)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = om.op8_order_minhash(spark, str(tmp_path))
+    at = [(r.doc_id, r.p) for r in out.withColumn("p", F.spark_partition_id()).collect()]
+    assert len({p for _, p in at}) == 4
+    runs = [p for _, p in sorted(at)]
+    assert sum(x != y for x, y in zip(runs, runs[1:])) == 3
+
+
 def test_ties_nulls_and_few_rows(spark, tmp_path):
     got = run(spark, tmp_path, [(1, "b c"), (1, "a b"), (None, None), (None, "x")])
     assert len(got) == 4
