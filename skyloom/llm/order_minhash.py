@@ -137,9 +137,9 @@ def _bucket(id: Column, bounds: list[int]) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """(id, text) with sign, and next_text and next_sign of the next row by descending id; the first follows the last.
 
-    Ids are cut at quantiles into as many buckets as there are partitions. Within a
-    bucket the next row is a window away; the last row of a bucket takes the first
-    row of the next one, of which there is one for each bucket.
+    Ids are cut at quantiles into as many buckets as there are partitions. Each bucket
+    gets the first row of the next one as well, behind its own, so the next row is
+    always a window away and texts cross one exchange alone.
     """
     n = partitions(docs.sparkSession)
     cuts = docs.select(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("q")).first()["q"]
@@ -148,16 +148,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     # One row per bucket from here on; its order needs one task, whatever the size of the input.
     firsts = placed.join(F.broadcast(heads), "bucket").where(F.col("id").eqNullSafe(F.col("head")))
     firsts = firsts.groupBy("bucket").agg(F.max("text").alias("text"))
-    firsts = firsts.select("bucket", F.struct("text", signature(F.col("text")).alias("sign")).alias("first"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket"))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follows = firsts.select("bucket", F.coalesce(F.lead("first").over(order), F.first("first").over(whole)).alias("follow"))
-    within = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("id"), F.desc("text"))
+    follows = firsts.select("bucket", F.coalesce(F.lead("text").over(order), F.first("text").over(whole)).alias("text"))
+    own = placed.select("bucket", "id", "text", F.lit(False).alias("follows"))
+    every = own.union(follows.select("bucket", F.lit(None).cast("long"), "text", F.lit(True)))
     # Texts travel alone and are signed where they arrive.
-    signed = exchange(placed).withColumn("sign", signature(F.col("text")))
-    led = signed.withColumn("next", F.lead(F.struct("text", "sign")).over(within))
-    joined = led.join(follows, "bucket").withColumn("next", F.coalesce("next", "follow"))
-    return joined.select("id", "text", "sign", F.col("next.text").alias("next_text"), F.col("next.sign").alias("next_sign"))
+    signed = exchange(every).withColumn("sign", signature(F.col("text")))
+    within = Window.partitionBy("bucket").orderBy("follows", F.desc_nulls_last("id"), F.desc("text"))
+    led = signed.withColumn("next", F.lead(F.struct("text", "sign")).over(within)).where(~F.col("follows"))
+    return led.select("id", "text", "sign", F.col("next.text").alias("next_text"), F.col("next.sign").alias("next_sign"))
 
 
 def texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
