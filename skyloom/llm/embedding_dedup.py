@@ -14,7 +14,10 @@ class it is connected to, so links are counted, never listed.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and
 rows without a label, link with nothing and are their own component; vectors of
-different lengths are not compared; repeated rows are vectors of their own.
+different lengths are not compared; repeated rows are vectors of their own; a vector
+is first divided by a power of two, so very large and very small ones link like others;
+a label is any string; other columns are not read; an empty table has no rows. The driver
+holds ``SAMPLE`` vectors, then ``PIVOTS``, for each label of more than ``BLOCK`` distinct ones.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm import textkit as tk
@@ -34,8 +37,8 @@ from skyloom.llm.work import components, exchange, partitions, stored
 COSINE, BLOCK = 0.98, 2048
 #: Vectors of a tree node that are no longer split: their pairs are one small product.
 LEAF = 32
-#: Vectors that the driver draws pivots from, and pivots of a label, at most.
-SAMPLE, PIVOTS = 4096, 64
+#: Vectors that a label's pivots are drawn from, and pivots of a label, at most.
+SAMPLE, PIVOTS = 256, 64
 #: Slack for rounding, so that bounds never decide what the cosine would decide otherwise.
 SLACK = 1e-9
 
@@ -175,10 +178,12 @@ def _vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = None
             if label is not None and value.is_valid and value.values.null_count == 0 and len(value.values):
                 v = value.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                norm = float(v @ v) if np.isfinite(v).all() else 0.0
-                v = v + 0.0 if np.isfinite(norm) and norm > 0 else None
+                most = float(np.abs(v).max()) if np.isfinite(v).all() else 0.0
+                # The power of two below the largest component goes: exact, and no square leaves the range of doubles.
+                v = np.ldexp(v, 1 - int(np.frexp(most)[1])) + 0.0 if most > 0 else None
             vecs.append(None if v is None else v.tobytes())
-            keys.append(None if v is None else hashlib.sha256(label.encode() + b"\0" + vecs[-1]).digest())
+            name = (label or "").encode()
+            keys.append(None if v is None else hashlib.sha256(len(name).to_bytes(8, "big") + name + vecs[-1]).digest())
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], names=["id", "label", "key", "vec"])
 
 
@@ -194,13 +199,14 @@ def choose_pivots(classes: DataFrame, sample: int = SAMPLE, most: int = PIVOTS,
         return {}
     big = F.broadcast(classes.sparkSession.createDataFrame(list(sizes), "label string, bytes int"))
     drawn = classes.select("label", "vec", F.length("vec").alias("bytes")).join(big, ["label", "bytes"], "left_semi")
+    # Of every label, so that none is left with a point far from all of its own.
+    first = Window.partitionBy("label", "bytes").orderBy(F.xxhash64("vec"), "vec")
     by: dict[tuple[str, int], list[bytes]] = {}
-    for label, vec in drawn.orderBy(F.xxhash64("vec"), "vec").limit(sample).select("label", "vec").collect():
+    for label, vec in drawn.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).select("label", "vec").collect():
         by.setdefault((label, len(vec)), []).append(bytes(vec))
     out = {}
     for group, n in sizes.items():
-        # Any point can be a pivot; a group without a drawn vector takes the first axis.
-        x = _unit(by[group]) if group in by else np.eye(1, group[1] // 8)
+        x = _unit(by[group])
         chosen = [0]
         far = ((x - x[0]) ** 2).sum(1)
         while len(chosen) < min(most, len(x), -(-n // block)):
@@ -255,7 +261,7 @@ def _meetings(pivots, cells: dict[tuple[str, int, int], tuple[int, float]], cosi
                 for c in meets.get((label, size, cell), [cell]):
                     for s in range(parts.get((label, size, c), 1)):
                         low, high = sorted([own, (c, s)])
-                        task.append(f"{label}\0{size}\0{low[0]}.{low[1]}\0{high[0]}.{high[1]}")
+                        task.append(f"{low[0]}.{low[1]}/{high[0]}.{high[1]}/{size}/{label}")
                         side.append(0 if own == low else 1)
                         row.append(i)
             for a in range(0, len(row), 20_000):
@@ -280,10 +286,11 @@ def _join(cosine: float):
             n = np.concatenate([b.column("n").to_numpy() for b in held])
             raw = np.concatenate([np.frombuffer(b"".join(b.column("vec").to_pylist()), np.float64).reshape(b.num_rows, -1) for b in held])
             one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            names = current.split("\0")
-            if names[2] != names[3] and not (len(one) and len(two)):
+            # Labels come last, as they may hold anything.
+            first, second = current.split("/", 2)[:2]
+            if first != second and not (len(one) and len(two)):
                 return
-            if names[2] == names[3]:
+            if first == second:
                 links, label = dual_join(raw, n, None, None, cosine)
                 order = np.arange(len(cid))
             else:

@@ -46,7 +46,10 @@ FROM flags f LEFT JOIN kept USING (doc_id)
 
 _OP10 = f"""
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND list_dot_product(e, e) > 0 AND isfinite(list_dot_product(e, e))),
+m AS (SELECT vec_id, label, e, list_max(list_transform(e, lambda x: abs(x))) AS m FROM v
+      WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT vec_id, label, list_transform(e, lambda x: x / pow(2.0, floor(log2(m)))) AS e FROM m WHERE m > 0),
+n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM s),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
       WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= {COSINE}),
 r(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.id),

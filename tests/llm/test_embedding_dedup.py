@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skyloom.llm import embedding_dedup as ed
 
@@ -78,6 +79,25 @@ def test_vectors_that_link_with_nothing(spark):
     assert got == {i: (2, 1) if i in (1, 2, 10) else (0, i) for i in range(1, 13)}
 
 
+def test_any_label_and_any_size(spark):
+    rows = [(i, [k * x for x in (1.0, 2.0, 3.0)], label) for label in ("a\0b", "a/b", "", "ab") for i, k in enumerate((1.0, 1e200, 1e-170, 5e-324, -1e300))]
+    rows = [(i, v, label) for i, (_, v, label) in enumerate(rows)]
+    got = {r.id: (r.n_links, r.component) for r in ed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {i: (0, i) if i % 5 == 4 else (3, 5 * (i // 5)) for i in range(20)}
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1)], SCHEMA).withColumns({c: F.lit(1) for c in ("id", "key", "cid", "vec", "n", "links")})
+    assert sorted((r.id, r.n_links, r.component) for r in ed.near_vectors(rows).collect()) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_every_large_label_has_pivots_of_its_own(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4).tobytes(), f"l{i % 9}") for i in range(900)]
+    found = ed.choose_pivots(spark.createDataFrame(rows, "cid long, vec binary, label string"), sample=10, block=20)
+    assert len(found) == 9 and all(len(x) == 5 for x in found.values())
+
+
 def test_empty_table_and_query(spark, tmp_path):
     assert ed.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1)], SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
