@@ -6,12 +6,19 @@ up to the next space, that are segmented on their own, each distinct chunk once
 while a task remembers it. All chunks advance together: one numpy step matches one more byte at
 every start, or relaxes the paths from one more position.
 
+Scores are log probabilities. A unigram file has them. A BPE file has merge ranks
+(0, -1, -2, ...) in their place, whose sums mean nothing, so ``load`` turns rank r
+into the log of Zipf's law, 1 / (r + ``ZIPF``) over the sum of all: earlier merges
+are more frequent pieces. Tokenizers are not trained here.
+
 A character that no piece covers costs ``UNKNOWN`` below the lowest score and becomes
 its bytes' pieces. Of equally good paths the one whose last piece is longest stays.
 Decoding joins the pieces' bytes and drops the first space, so it returns every text exactly.
 
 Cases: a null text is empty and has no pieces; a marker in a text itself becomes
-bytes and comes back as it was; repeated rows are encoded alike.
+bytes and comes back as it was; repeated rows are encoded alike; a very long text is a
+slice of its own, whose chunks are still segmented one by one; other columns are not
+read; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +36,8 @@ from skyloom.llm import textkit as tk
 
 MARKER = "▁"
 UNKNOWN = 10.0
+#: Mandelbrot's shift of Zipf's law, for files that have ranks.
+ZIPF = 2.7
 
 
 class DoubleArray:
@@ -74,7 +83,7 @@ class DoubleArray:
 
 
 class Vocabulary:
-    """Pieces with scores (log probabilities, or the merge ranks of a BPE model in their place); ``bytes_`` are the ids of the 256 byte pieces."""
+    """Pieces with log probabilities; ``bytes_`` are the ids of the 256 byte pieces."""
 
     def __init__(self, pieces: list[str], scores: list[float], bytes_: list[int], skip: set[int] | None = None):
         skip = (skip or set()) | set(bytes_)
@@ -94,6 +103,18 @@ class Vocabulary:
             self.surface[i] = b""
 
 
+def log_scores(scores: list[float], use: list[int]) -> list[float]:
+    """Log probabilities of the pieces in use: scores as they are, or by Zipf's law where they are ranks (whole numbers)."""
+    own = np.array([scores[i] for i in use], float)
+    if not len(own) or (own != np.round(own)).any() or (own == own[0]).all():
+        return list(scores)
+    rank = np.empty(len(own))
+    rank[np.argsort(-own, kind="stable")] = np.arange(len(own))
+    out = np.array(scores, float)
+    out[use] = -np.log(rank + ZIPF) - np.log((1 / (rank + ZIPF)).sum())
+    return out.tolist()
+
+
 @cache
 def load(path: str) -> Vocabulary:
     """A vocabulary file with byte fallback; read on the driver alone."""
@@ -106,7 +127,8 @@ def load(path: str) -> Vocabulary:
     bytes_ = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
     if any(not sp.is_byte(i) for i in bytes_):
         raise ValueError(f"{path} has no byte pieces")
-    return Vocabulary(pieces, [sp.get_score(i) for i in range(n)], bytes_, special)
+    use = [i for i in range(n) if i not in special and not sp.is_byte(i)]
+    return Vocabulary(pieces, log_scores([sp.get_score(i) for i in range(n)], use), bytes_, special)
 
 
 def _matches(v: Vocabulary, data: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,9 +1,11 @@
+import math
 import os
 
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skyloom.llm import sentencepiece_unigram as su
 from skyloom.llm import textkit as tk
@@ -103,3 +105,30 @@ def test_double_array_holds_exactly_its_keys():
 def test_markers_inside_pieces_are_refused():
     with pytest.raises(ValueError):
         su.Vocabulary(["a▁b"], [0.0], [])
+
+
+def test_scores_are_log_probabilities():
+    ranks = [0.0, -3.0, -1.0, -1e9, -2.0, 0.0]
+    got = su.log_scores(ranks, [1, 2, 3, 4, 5])
+    assert got[0] == 0 and sum(math.exp(x) for x in got[1:]) == pytest.approx(1)
+    assert got[5] > got[2] > got[4] > got[1] > got[3]
+    assert su.log_scores([-1.5, -2.25, -7.0], [0, 1, 2]) == [-1.5, -2.25, -7.0]
+
+
+@needs_file
+def test_no_less_likely_than_the_merges():
+    import sentencepiece
+
+    v, sp = su.load(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [prose(i, 60) + " The quick brown foxes; naturally, unbelievable things." for i in range(30)]
+    byte = set(v.bytes.tolist())
+    score = lambda ids: sum(v.unknown if i in byte else v.scores[i] for i in ids)
+    for text, own in zip(texts, encode(v, texts)):
+        theirs = sp.encode(text)
+        assert score(own) >= score(theirs) - 1e-6 and len(own) < 1.2 * len(theirs)
+
+
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    if os.path.exists(PATH):
+        rows = docs(spark, ["ab c", None]).withColumns({"id": F.lit(3), "ids": F.lit(1)})
+        assert [r.text for r in su.decoded(su.encode(rows, PATH), PATH).orderBy("id").collect()] == ["ab c", ""]
