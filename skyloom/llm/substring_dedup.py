@@ -1,8 +1,12 @@
 """Substring dedup: drop every word that a repeated fixed-length word window covers.
 
-Every window of ``window`` consecutive words gets a Rabin-Karp hash. Hashes are
-counted by bucket; positions of repeated ones go back to their documents, where
-they merge into maximal removal intervals.
+Every window of ``window`` consecutive words gets two independent Rabin-Karp hashes:
+one names its bucket, the other is counted there; positions of repeated ones go back
+to their documents, where they merge into maximal removal intervals. Windows count
+as equal if bucket and hash are, 64 bits and the logarithm of the partition count:
+of 1e13 windows in 1e5 partitions some 30 pairs are expected to agree by chance.
+Documents are found again by a 64-bit hash of the whole row; rows that share one by
+chance (of 1e11, some 270 pairs) would share what is removed.
 
 Skew: a task first counts its own windows. Hashes it holds more than once are
 settled there and sent on once, so a passage that millions of documents share
@@ -65,19 +69,23 @@ def _blocks(window: int, buckets: int):
     """Per block of input: packed window hashes by bucket, and positions that the block itself shows to repeat."""
     schema = pa.schema([("bucket", pa.int32()), ("reply", pa.bool_()), ("payload", pa.binary())])
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        hashes, keys, positions = (np.concatenate(x) for x in zip(*held, strict=True))
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        hashes, bucket, keys, positions = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(hashes)
-        ordered = hashes[order]
-        start = tk.runs(ordered)
-        size = np.diff(np.append(start, len(ordered)))
+        same = hashes[order[1:]] == hashes[order[:-1]]
+        if (same & (bucket[order[1:]] != bucket[order[:-1]])).any():
+            order = np.lexsort((bucket, hashes))
+            same = (hashes[order[1:]] == hashes[order[:-1]]) & (bucket[order[1:]] == bucket[order[:-1]])
+        start = np.flatnonzero(np.concatenate([[True], ~same]))
+        size = np.diff(np.append(start, len(order)))
         local = np.zeros(len(hashes), bool)
         local[order[np.repeat(size > 1, size)]] = True
-        repeated = ordered[start[size > 1]]
+        first = order[start[size > 1]]
+        repeated = hashes[first]
         out = [(k, True, x) for k, x in _by_document(keys[local], positions[local], buckets)]
         alone = np.flatnonzero(~local)
-        by, bound = tk.split_by((hashes[alone] % np.uint64(buckets)).astype(np.int64), buckets)
-        rep_by, rep_bound = tk.split_by((repeated % np.uint64(buckets)).astype(np.int64), buckets)
+        by, bound = tk.split_by(bucket[alone], buckets)
+        rep_by, rep_bound = tk.split_by(bucket[first], buckets)
         for k in range(buckets):
             own, rep = alone[by[bound[k] : bound[k + 1]]], repeated[rep_by[rep_bound[k] : rep_bound[k + 1]]]
             if len(own) or len(rep):
@@ -92,7 +100,8 @@ def _blocks(window: int, buckets: int):
             for a, b, w in tk.batches_of_words(batch, "text"):
                 hashes, owner, position = w.windows(window)
                 if len(hashes):
-                    held.append((hashes, keys[a:b][owner], position.astype(np.int32)))
+                    bucket = (w.second_windows(window) % np.uint64(buckets)).astype(np.int32)
+                    held.append((hashes, bucket, keys[a:b][owner], position.astype(np.int32)))
                     words += len(hashes)
                 if words >= BLOCK_WORDS:
                     yield from flush(held)

@@ -53,6 +53,9 @@ class _Powers:
 
 _BYTE_POWERS, _WORD_POWERS = _Powers(0x2545F4914F6CDD1D), _Powers(0xD1342543DE82EF95)
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x632BE59BD9B4E019))
+#: Of a second hash, independent of the first.
+_BYTE_POWERS_2, _WORD_POWERS_2 = _Powers(0x9FB21C651E98DF25), _Powers(0xC2B2AE3D27D4EB4F)
+_BYTE_VALUES_2 = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x27D4EB2F165667C5))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -134,16 +137,27 @@ class Words:
     def hashes(self) -> np.ndarray:
         return spans_hash(_BYTE_VALUES[self.data], _BYTE_POWERS, self.starts, self.ends)
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, text and first word (within the text) of every run of ``size`` words of one text."""
-        prefix, down = _rolling(self.hashes(), _WORD_POWERS)
+    def _places(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         per = np.maximum(self.counts - size + 1, 0)
         owner = np.repeat(np.arange(len(per)), per)
         position = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        at = self.first[owner] + position
+        return self.first[owner] + position, owner, position
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, text and first word (within the text) of every run of ``size`` words of one text."""
+        prefix, down = _rolling(self.hashes(), _WORD_POWERS)
+        at, owner, position = self._places(size)
         with np.errstate(over="ignore"):
             return mix((prefix[at + size] - prefix[at]) * down[at]), owner, position
 
+    def second_windows(self, size: int) -> np.ndarray:
+        """A hash of the same runs that is independent of the one of ``windows``."""
+        words = spans_hash(_BYTE_VALUES_2[self.data], _BYTE_POWERS_2, self.starts, self.ends)
+        prefix, down = _rolling(words, _WORD_POWERS_2)
+        at = self._places(size)[0]
+        with np.errstate(over="ignore"):
+            return mix((prefix[at + size] - prefix[at]) * down[at])
+
 
 def batches_of_words(batch: pa.RecordBatch, column: str, **options) -> Iterator[tuple[int, int, Words]]:
     data, offsets = text_buffer(batch.column(column))

@@ -1,9 +1,13 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from skyloom.llm import substring_dedup as sd
+from skyloom.llm import textkit as tk
+from skyloom.llm.work import unpack
 from tests.llm.common import DOCS, ODD, docs, prose, words
 
 
@@ -59,3 +63,14 @@ def test_empty_table_and_clashing_names(spark):
 def test_clean_texts_stay_as_they_are(spark):
     text = "Two  spaces\nand a line."
     assert sd.drop_repeats(docs(spark, [text, None])).orderBy("doc_id").collect()[0].text == text
+
+
+def test_windows_must_agree_in_both_hashes(spark, monkeypatch):
+    """Of windows whose first hashes collide only those of equal words are removed."""
+    whole = tk.Words.windows
+    monkeypatch.setattr(tk.Words, "windows", lambda w, size: (lambda h, *x: (h % np.uint64(50), *x))(*whole(w, size)))
+    texts = [prose(i, 60, 5000) for i in range(6)]
+    frame = pa.record_batch([pa.array(range(8)), pa.array([*texts, texts[0], texts[1]])], names=["key", "text"])
+    found = [r for b in sd._blocks(35, 1 << 20)(iter([frame])) for r in b.to_pylist()]
+    replies = [unpack(r["payload"]) for r in found if r["reply"]]
+    assert {int(k) for key, _, _ in replies for k in key} == {0, 1, 6, 7}
