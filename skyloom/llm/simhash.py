@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import textkit as tk
-from skyloom.llm.work import components, exchange, pack, partitions, stored, unpack
+from skyloom.llm.work import components, discard, exchange, pack, partitions, stored, unpack
 
 SHINGLE, ERRORS, SEED = 4, 4, 42
 #: Near copies: sets of five-word shingles, similarity 4/5.
@@ -571,9 +571,12 @@ def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id"
 
     apart = stored(large(found, None).mapInArrow(_unlinked, _FOUND), "apart")
     wanted = apart.where("member is not null").select(F.col("member").alias("sign"))
-    more = stored(large(apart, sets_of(wanted)).mapInArrow(_across, "a long, b long"), "links")
+    others = sets_of(wanted)
+    more = stored(large(apart, others).mapInArrow(_across, "a long, b long"), "links")
     if not more.isEmpty():
         root = components(links.union(more))
+    for done in (found, pairs, sets, links, apart, others, more):
+        discard(done)
     joined = nodes.join(root, nodes["sign"] == root["node"], "left").select("sign", "low", F.coalesce("root", "sign").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component"))
     labelled = joined.join(lowest, "root").select("sign", "component")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import struct
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import zstandard
@@ -13,28 +16,47 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, one of our own, but on one machine only: executors of a cluster do not see each other's disks.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="skyloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing, _lock = [], threading.Lock()
+
+
+@contextmanager
+def _shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write go at its end; the session's own setting comes back after the last of several writes."""
+    with _lock:
+        _writing.append(_writing[0] if _writing else spark.conf.get(_CLEAN))
+        spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            before = _writing.pop()
+            if not _writing:
+                spark.conf.set(_CLEAN, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skyloom/{name}-{uuid.uuid4().hex}"
-    # The table replaces all that led to it, so the shuffle files of the write can go at its end.
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean)
-    spark.conf.set(clean, "true")
-    try:
+    # The table replaces all that led to it.
+    with _shuffle_files_go(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(clean, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._skyloom_path = path
     return back
