@@ -76,11 +76,13 @@ def _tuples(hashes: Column, tuple_size: int) -> Column:
     first = F.filter(hashes, lambda x, i: (i < tuple_size) | (_bin(F.get(hashes, i - tuple_size)) != _bin(x)))
 
     def from_first(low: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(0), F.size(low) - 1), lambda i: (i == 0) | (_bin(F.get(low, i - 1)) != _bin(F.get(low, i))))
+        new = lambda i: (i == 0) | (_bin(F.get(low, i - 1)) != _bin(F.get(low, i)))
+        return let(F.filter(F.sequence(F.lit(0), F.size(low) - 1), new), lambda begins: from_begins(low, begins))
 
+    def from_begins(low: Column, begins: Column) -> Column:
         def value(i: Column) -> Column:
-            own = F.transform(F.array(*[F.lit(j) for j in range(tuple_size)]), lambda j: F.get(low, (i + j) % F.size(low)))
-            ordered = F.sort_array(F.transform(own, lambda x: F.shiftleft(_position(x), _HASH).bitwiseOR(F.shiftright(x, _POSITION))))
+            own = [F.get(low, (i + j) % F.size(low)) for j in range(tuple_size)]
+            ordered = F.sort_array(F.array(*[F.shiftleft(_position(x), _HASH).bitwiseOR(F.shiftright(x, _POSITION)) for x in own]))
             return F.shiftrightunsigned(F.xxhash64(F.transform(ordered, lambda y: y.bitwiseAND(F.lit((1 << _HASH) - 1).cast("long")))), 32)
 
         def after(b: Column) -> Column:
