@@ -36,7 +36,7 @@ def inspect(store: TieredStore, v: Viewport, clusters: bool = True) -> dict:
         parts = rows.where("latent is not null").select(F.posexplode("latent").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
         mean = [r["x"] for r in parts.orderBy("i").collect()]
         if clusters:
-            rows = stamp_clusters(rows, "latent", limit=v.limit)
+            rows = stamp_clusters(rows, "latent", v.limit)
         rows = rows.drop("latent")
     return {"tier": tier, "rows": rows, "global_latent": mean, "band_gains": {b: gains[b] for b in BAND_PERIOD}}
 

@@ -44,9 +44,13 @@ def rarity_table(hist: DataFrame, vocabulary: int = LEAVES) -> DataFrame:
 
 
 def score_rows(df: DataFrame, hist: DataFrame, token: str, vocabulary: int = LEAVES) -> DataFrame:
-    """Each row's rarity; tokens that were never counted get the floor. Vocabularies are bounded, so the table is broadcast."""
+    """Each row's rarity; tokens that were never counted get the floor.
+
+    Every counted token counts, whatever its number, as in ``rarity_table``; ``check_range``
+    refuses tokens outside a vocabulary. The planner broadcasts the histogram if it is small.
+    """
     totals = hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_total"))
-    joined = df.join(F.broadcast(hist.select(token, F.col("n").alias("_n")).where(F.col(token).between(0, vocabulary - 1))), token, "left").crossJoin(F.broadcast(totals))
+    joined = df.join(hist.select(token, F.col("n").alias("_n")), token, "left").crossJoin(F.broadcast(totals))
     return joined.withColumn("rarity", rarity(F.col("_n"), F.col("_total"), F.lit(vocabulary))).drop("_n", "_total")
 
 

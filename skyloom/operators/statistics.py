@@ -11,49 +11,86 @@ from pyspark.sql import functions as F
 MAD_SCALE = 1.4826
 
 
-def quantile(df: DataFrame, value: Column, q: float, few: int = 100_000, bins: int = 4096) -> float | None:
-    """The exact quantile (linear between neighbours) by repeated histograms: no task sorts the column or gathers it.
+def quantiles(df: DataFrame, asked: dict[str, tuple[Column, list[float]]], few: int = 100_000, bins: int = 4096) -> dict[str, list[float | None]]:
+    """Exact quantiles (linear between neighbours) of several columns by repeated histograms: no task sorts a column or gathers it.
 
-    Each pass counts ``bins`` equal ranges and keeps the one that holds the rank; a
-    pass costs a scan. What is left, ``few`` values at most or one repeated value, decides.
+    asked: name -> (column, shares). Each pass over the data counts ``bins`` equal ranges
+    of every interval that still holds more than ``few`` values, for all columns and
+    ranks at once, and keeps the ranges that hold a rank; a last pass counts the distinct
+    values of what is left. Order: -Infinity, numbers, Infinity, NaN; nulls do not count.
     """
-    x = df.select(value.cast("double").alias("x")).where("x is not null")
-    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n:
-        return None
-    rank = q * (n - 1)
-    out = []
-    for k in sorted({int(rank), min(int(rank) + 1, n - 1)}):
-        a, b, below, left = low, high, 0, n
-        while left > few and a < b:
-            width = (b - a) / bins
-            if a + width == a:
-                break
-            place = F.least(F.floor((F.col("x") - a) / width), F.lit(bins - 1))
-            counts = x.where(F.col("x").between(a, b)).groupBy(place.alias("p")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("p").collect()
-            for row in counts:
-                if below + row["n"] > k:
-                    a, b, left = row["a"], row["b"], row["n"]
-                    break
-                below += row["n"]
-        if a == b:
-            out.append(a)
-        else:
-            kept = x.where(F.col("x").between(a, b)).groupBy("x").count().orderBy("x").collect()
-            for row in kept:
-                if below + row["count"] > k:
-                    out.append(row["x"])
-                    break
-                below += row["count"]
-    return out[0] if len(out) == 1 else out[0] + (rank - int(rank)) * (out[1] - out[0])
+    x = df.select(*[c.cast("double").alias(name) for name, (c, _) in asked.items()])
+    endless = float("inf")
+    finite = lambda n: F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(F.col(n)) != endless)
+    stats = x.agg(
+        *[F.count(n).alias(f"n_{n}") for n in asked],
+        *[F.count_if(F.col(n) == -endless).alias(f"low_{n}") for n in asked],
+        *[F.count_if(F.col(n) == endless).alias(f"high_{n}") for n in asked],
+        *[F.count_if(finite(n)).alias(f"some_{n}") for n in asked],
+        *[F.min(F.when(finite(n), F.col(n))).alias(f"a_{n}") for n in asked],
+        *[F.max(F.when(finite(n), F.col(n))).alias(f"b_{n}") for n in asked],
+    ).first()
+    found: dict[tuple[str, int], float] = {}
+    #: (name, least, greatest, values below, values within) -> ranks
+    spans: dict[tuple[str, float, float, int, int], list[int]] = {}
+    for name, (_, shares) in asked.items():
+        n, low, some = stats[f"n_{name}"], stats[f"low_{name}"], stats[f"some_{name}"]
+        for k in sorted({y for q in shares if n for y in (int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1))}):
+            if low <= k < low + some:
+                spans.setdefault((name, stats[f"a_{name}"], stats[f"b_{name}"], low, some), []).append(k)
+            else:
+                found[name, k] = -endless if k < low else endless if k < low + some + stats[f"high_{name}"] else float("nan")
+
+    def each(own: list[tuple], value) -> DataFrame:
+        """One row for each interval that a row's values lie in: its number, value(interval, x) and x."""
+        cells = [F.when(F.col(s[0]).between(s[1], s[2]), F.struct(F.lit(i).alias("i"), value(s, F.col(s[0])).alias("p"), F.col(s[0]).alias("x"))) for i, s in enumerate(own)]
+        return x.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+
+    while spans:
+        for s in [s for s in spans if s[1] == s[2]]:
+            found |= {(s[0], k): s[1] for k in spans.pop(s)}
+        width = lambda s: s[2] / bins - s[1] / bins
+        wide = [s for s in spans if s[4] > few and s[1] + width(s) != s[1]]
+        if wide:
+            place = lambda s, v: F.least(F.greatest(F.floor(v / F.lit(width(s)) - F.lit(s[1] / width(s))), F.lit(0)), F.lit(bins - 1))
+            rows = each(wide, place).groupBy("i", "p").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect()
+        elif spans:
+            rows = each(list(spans), lambda s, v: v).groupBy("i", "p").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect()
+        own = wide or list(spans)
+        for i, s in enumerate(own):
+            ranks, below = spans.pop(s), s[3]
+            for r in sorted((r for r in rows if r["i"] == i), key=lambda r: r["a"]):
+                inside = [k for k in ranks if below <= k < below + r["n"]]
+                if inside:
+                    spans[s[0], r["a"], r["b"], below, r["n"]] = inside
+                below += r["n"]
+    out: dict[str, list[float | None]] = {}
+    for name, (_, shares) in asked.items():
+        n = stats[f"n_{name}"]
+        out[name] = []
+        for q in shares:
+            at = q * (n - 1)
+            low, high = (found[name, int(at)], found[name, min(int(at) + 1, n - 1)]) if n else (None, None)
+            out[name].append(low if not n or low == high or at == int(at) else low + (at - int(at)) * (high - low))
+    return out
+
+
+def quantile(df: DataFrame, value: Column, q: float, few: int = 100_000, bins: int = 4096) -> float | None:
+    """One exact quantile of one column."""
+    return quantiles(df, {"x": (value, [q])}, few, bins)["x"][0]
+
+
+def robust_thresholds(df: DataFrame, values: list[str], sigma: float) -> list[float | None]:
+    """median + sigma * 1.4826 * MAD of each column: one search for the medians, one for the deviations."""
+    middles = quantiles(df, {f"x{i}": (F.col(v), [0.5]) for i, v in enumerate(values)})
+    middles = [middles[f"x{i}"][0] for i in range(len(values))]
+    spreads = quantiles(df, {f"x{i}": (F.abs(F.col(v) - F.lit(middles[i])), [0.5]) for i, v in enumerate(values) if middles[i] is not None}) if any(m is not None for m in middles) else {}
+    return [None if m is None else m + sigma * MAD_SCALE * spreads[f"x{i}"][0] for i, m in enumerate(middles)]
 
 
 def robust_threshold(df: DataFrame, value: str, sigma: float) -> DataFrame:
-    """One row: median + sigma * 1.4826 * MAD."""
-    middle = quantile(df, F.col(value), 0.5)
-    spread = None if middle is None else quantile(df, F.abs(F.col(value) - middle), 0.5)
-    threshold = None if middle is None else middle + sigma * MAD_SCALE * spread
-    return df.sparkSession.createDataFrame([(threshold,)], "threshold double")
+    """One row: the robust threshold of a column."""
+    return df.sparkSession.createDataFrame([tuple(robust_thresholds(df, [value], sigma))], "threshold double")
 
 
 def zscore(value: str) -> Column:
@@ -65,12 +102,11 @@ def zscore(value: str) -> Column:
 
 def singularities(df: DataFrame, potential: str, shear: str, sigma: float, limit: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """Rows beyond both robust thresholds, by the sum of their z-scores over all rows."""
-    p = robust_threshold(df, potential, sigma).withColumnRenamed("threshold", "_tp")
-    s = robust_threshold(df, shear, sigma).withColumnRenamed("threshold", "_ts")
+    bounds = df.sparkSession.createDataFrame([tuple(robust_thresholds(df, [potential, shear], sigma))], "_tp double, _ts double")
     stats = df.agg(
         *[f(c).alias(f"_{n}{i}") for i, c in enumerate((potential, shear)) for n, f in (("m", F.avg), ("d", F.stddev_pop))]
     )
-    wide = df.crossJoin(F.broadcast(p.crossJoin(s).crossJoin(stats)))
+    wide = df.crossJoin(F.broadcast(bounds.crossJoin(stats)))
     z = lambda c, i: (F.col(c) - F.col(f"_m{i}")) / F.when(F.col(f"_d{i}") == 0, 1.0).otherwise(F.col(f"_d{i}"))
     found = wide.where((F.col(potential) > F.col("_tp")) & (F.col(shear) > F.col("_ts"))).withColumn("score", z(potential, 0) + z(shear, 1))
     found = found.select(*df.columns, "score").orderBy(F.desc("score"), *ties)

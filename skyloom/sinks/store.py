@@ -15,8 +15,10 @@ from skyloom.session import PROJECTION_VERSION, check_projection
 from skyloom.sources.tables import read_or_empty
 
 TIERS = ("tier1", "tier2", "tier3")
-# The magic number of a wire frame, and its version.
-MAGIC, VERSION = 0x5248434B, 2
+#: The magic number of a wire frame of this layout ("SKYL", little-endian), and its version.
+MAGIC, VERSION = 0x4C594B53, 2
+#: Rows of a file, at most.
+ROWS_PER_FILE = 4_000_000
 
 
 class TieredStore:
@@ -32,11 +34,21 @@ class TieredStore:
     def present(self) -> set[str]:
         return {t for t in TIERS for fs, p in [self._fs(f"{self.root}/{t}")] if fs.exists(p)}
 
-    def write(self, tier: str, df: DataFrame) -> None:
-        """Whole centuries are replaced, so a repeated run changes nothing. Files are sorted for narrow statistics."""
+    def write(self, tier: str, df: DataFrame, block: str | None = None) -> None:
+        """Adds rows to a tier. A named block replaces the block of that name and leaves all others, so blocks of a
+        century add up and a repeated run changes nothing; without a name the centuries written are replaced whole.
+
+        Rows are dealt by range of century, cell and day, so that no century is one task, in files of bounded
+        length whose statistics are narrow.
+        """
         out = df.withColumn("century", century_of(F.col("jd")))
+        parts = ["century"]
+        if block is not None:
+            out, parts = out.withColumn("block", F.lit(block)), ["century", "block"]
         order = [c for c in ("h3", "jd") if c in out.columns]
-        out.repartition("century").sortWithinPartitions("century", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("century").parquet(f"{self.root}/{tier}")
+        dealt = out.repartitionByRange("century", *order).sortWithinPartitions("century", *order)
+        writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE)
+        writer.partitionBy(*parts).parquet(f"{self.root}/{tier}")
         self.stamp()
 
     def stamp(self) -> None:
@@ -46,17 +58,17 @@ class TieredStore:
         check_projection(read_or_empty(self.spark, f"{self.root}/meta", "projection_version int"), override)
         return self.spark.read.parquet(f"{self.root}/{tier}")
 
-    def build(self, rows: DataFrame, rarity_min: float = 0.0) -> None:
+    def build(self, rows: DataFrame, rarity_min: float = 0.0, block: str | None = None) -> None:
         """All tiers from tier-1 rows (jd, frame, node, lat, lng, h3, leaf, potential, shear, rarity).
 
-        Buckets count from the first frame. The daily tier keeps every row; the others only what reaches ``rarity_min``.
+        Buckets count from the first frame of the rows, so blocks begin at whole days. The daily tier keeps every row; the others only what reaches ``rarity_min``.
         """
         first = rows.agg(F.min("frame")).first()[0] or 0
         place = ["node", "lat", "lng", "h3"]
-        self.write("tier1", rows.where(F.col("rarity") >= rarity_min))
+        self.write("tier1", rows.where(F.col("rarity") >= rarity_min), block)
         hours = hourly(rows.withColumn("bucket", frame_bucket(F.col("frame"), first, FRAMES_PER_HOUR)), [*place, "bucket"]).drop("bucket")
-        self.write("tier2", hours.where(F.col("rarity") >= rarity_min))
-        self.write("tier3", daily(rows.withColumn("bucket", frame_bucket(F.col("frame"), first, FRAMES_PER_DAY)), [*place, "bucket"]).drop("bucket"))
+        self.write("tier2", hours.where(F.col("rarity") >= rarity_min), block)
+        self.write("tier3", daily(rows.withColumn("bucket", frame_bucket(F.col("frame"), first, FRAMES_PER_DAY)), [*place, "bucket"]).drop("bucket"), block)
 
     def query(self, v: Viewport) -> tuple[str, DataFrame]:
         """The tier that serves a viewport, and its rows."""

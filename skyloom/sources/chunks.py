@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Chunks of one folder.
+PER_FOLDER = 1024
+
+
 def to_bf16(x: np.ndarray) -> np.ndarray:
     """The upper halves of float32, rounded to the nearest, ties to even; NaN stays NaN."""
     bits = np.ascontiguousarray(x, np.float32).view(np.uint32)
@@ -68,10 +72,19 @@ def unpacked(chunks: DataFrame) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(frame, state) of all chunk files below a path."""
-    return unpacked(spark.read.format("binaryFile").option("pathGlobFilter", "*.chunk").load(path))
+    """(frame, state) of what ``write_chunks`` wrote."""
+    return unpacked(spark.read.parquet(path))
 
 
 def write_chunks(df: DataFrame, path: str, size: int) -> None:
-    """Chunks as Parquet rows: Spark's commit protocol makes them appear all or not at all."""
-    packed(df, size).write.mode("overwrite").partitionBy("start").parquet(path)
+    """Chunks as Parquet rows: Spark's commit protocol makes them appear all or not at all.
+
+    A folder holds ``PER_FOLDER`` chunks; those that are written again replace the folder.
+    """
+    rows = packed(df, size).withColumn("part", F.floor(F.col("start") / (size * PER_FOLDER)).cast("long"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def read_chunk_files(spark: SparkSession, path: str) -> DataFrame:
+    """(frame, state) of all single chunk files (``encode_chunk``) below a path."""
+    return unpacked(spark.read.format("binaryFile").option("pathGlobFilter", "*.chunk").load(path))

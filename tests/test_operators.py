@@ -93,6 +93,41 @@ def test_quantiles_against_numpy(spark, few):
     assert statistics.quantile(frame(spark, [], "v double"), F.col("v"), 0.5) is None
 
 
+@pytest.mark.parametrize("few", [3, 100_000])
+def test_quantiles_of_values_that_are_not_finite(spark, few):
+    inf, nan = float("inf"), float("nan")
+    rows = [(float(i), float(-i)) for i in range(17)] + [(inf, -inf), (inf, nan), (None, nan), (1e308, -1e308), (-1e308, 1e308)]
+    got = statistics.quantiles(frame(spark, rows, "a double, b double"), {"a": (F.col("a"), [0.0, 0.5, 0.9, 1.0]), "b": (F.col("b"), [0.0, 0.5, 1.0])}, few, 4)
+    a, b = sorted(x for x, _ in rows if x is not None), [-inf, -1e308, *(float(-i) for i in range(16, -1, -1)), 1e308, nan, nan]
+    assert got["a"] == [a[0], a[10], a[18], inf]
+    assert got["b"][:2] == [-inf, b[10]] or got["b"][1] == pytest.approx((b[10] + b[11]) / 2)
+    assert math.isnan(got["b"][2])
+
+
+def test_rarity_counts_every_token(spark):
+    hist = frame(spark, [(5, 3), (9000, 2)], "t int, n long")
+    got = {r.t: r.rarity for r in rarity.score_rows(frame(spark, [(5,), (9000,), (7,)], "t int"), hist, "t").collect()}
+    want = {r.t: r.rarity for r in rarity.rarity_table(hist).collect()}
+    assert got[5] == want[5] and got[9000] == want[9000] < got[7]
+
+
+def test_graph_components_against_label_propagation(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    n = 300
+    token, pair = rng.integers(0, 3, n), rng.integers(0, n, (500, 2))
+    chain = np.stack([np.arange(100), np.arange(1, 101)], 1)
+    token[:101] = 1
+    pair = np.concatenate([pair, chain])
+    nodes = frame(spark, [(int(i), int(t)) for i, t in enumerate(token)], "node long, token long")
+    edges = frame(spark, [(int(a), int(b)) for a, b in pair], "src long, dst long")
+    label = kernels.label_components(token, pair[:, 0], pair[:, 1])
+    got = {r.token: (r.n_components, r.largest_fraction) for r in kernels.graph_components(nodes, edges, str(tmp_path)).collect()}
+    for t in range(3):
+        sizes = np.bincount(label[token == t])
+        sizes = sizes[sizes > 0]
+        assert got[t] == (len(sizes), pytest.approx(sizes.max() / sizes.sum()))
+
+
 def test_fano_counts_gaps(spark):
     counts = frame(spark, [("a", 0, 4), ("a", 2, 4)], "token string, bin int, n int")
     dense = statistics.completed(counts, counts.select("token").distinct(), spark.range(4).select(F.col("id").cast("int").alias("bin")), "n")
@@ -182,7 +217,7 @@ def test_clusters(spark):
     found = kernels.greedy_clusters(z, 20)
     assert set(found[:60]) & set(found[60:]) <= {-1} and len(set(found) - {-1}) >= 2
     rows = frame(spark, [(i, v.tolist() if i % 7 else None) for i, v in enumerate(z)], "id int, vec array<double>")
-    got = kernels.stamp_clusters(rows, "vec").collect()
+    got = kernels.stamp_clusters(rows, "vec", 10000).collect()
     assert len(got) == 120 and all(r.cluster_id == -1 for r in got if r.vec is None) and {0, 1} <= {r.cluster_id for r in got}
 
 
@@ -264,5 +299,5 @@ def test_band_lookup_of_every_part(spark, tmp_path):
         near = [(-total, order) for order, total in orders if abs(total - price * 20) <= 500]
         if near:
             want[part] = min(near)[1]
-    got = {r.p_partkey: r.o_orderkey for r in probes.QUERIES["band_lookup_all"](spark, str(tmp_path)).collect()}
+    got = {r.p_partkey: r.o_orderkey for r in probes.QUERIES["band_lookup"](spark, str(tmp_path)).collect()}
     assert got == want and max(got) > 50

@@ -149,6 +149,18 @@ def test_chunks_round_trip(spark, tmp_path):
     assert np.allclose([r.state for r in back], walk, atol=0.01)
     for r in packed.collect():
         (tmp_path / f"{r.start:08d}.chunk").write_bytes(bytes(r.content))
-    assert chunks.read_chunks(spark, str(tmp_path)).count() == 24
+    assert chunks.read_chunk_files(spark, str(tmp_path)).count() == 24
     chunks.write_chunks(df, f"{tmp_path}/out", 8)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+    assert [(r.frame, r.state) for r in chunks.read_chunks(spark, f"{tmp_path}/out").orderBy("frame").collect()] == [(r.frame, r.state) for r in back]
+
+
+def test_blocks_of_a_century_add_up(spark, tmp_path):
+    s = TieredStore(spark, str(tmp_path))
+    rows = [spark.createDataFrame([(2451545.0 + d, d * 3600, n, 0.0, 0.0, 1, 7, 1.0, 0.5, 0.9) for d in days for n in range(3)], "jd double, frame long, node int, lat double, lng double, h3 long, leaf int, potential double, shear double, rarity double") for days in ((0, 1), (2, 3, 4))]
+    s.build(rows[0], block="a")
+    s.build(rows[1], block="b")
+    s.build(rows[1], block="b")
+    assert [s.read(t).count() for t in ("tier1", "tier2", "tier3")] == [15, 15, 15]
+    s.build(rows[0].where("node = 0"), block="a")
+    assert s.read("tier1").count() == 11
