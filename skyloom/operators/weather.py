@@ -51,13 +51,13 @@ def band_energies(active: DataFrame, key: str = "jd") -> DataFrame:
 
 
 def dominant_aspects(pair: DataFrame, key: str = "jd", top: int = 5, least: float = 0.4) -> DataFrame:
-    """The strongest aspects of each instant, ties in order of bodies and aspects."""
+    """The strongest aspects of each instant; strengths that agree to nine digits go in order of bodies and aspects."""
     names = [*A.CONSTRUCTIVE, *A.DESTRUCTIVE]
     angle = {**A.CONSTRUCTIVE, **A.DESTRUCTIVE}
     each = F.array(*[F.struct(F.lit(n).alias("aspect"), F.lit(i).alias("order"), A.kernel(F.col("sep"), F.lit(angle[n])).alias("k")) for i, n in enumerate(names)])
     found = pair.where("w > 0").select(key, "a", "b", "sep", "w", F.explode(each).alias("x")).where(F.col("x.k") > least)
     found = found.select(key, "a", "b", F.col("x.aspect").alias("aspect"), "sep", (F.col("x.k") * F.col("w")).alias("strength"), F.col("x.order").alias("order"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("strength"), "a", "b", "order"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("strength", 9)), "a", "b", "order"))
     kind = F.when(F.col("aspect").isin(list(A.CONSTRUCTIVE)), "constructive").otherwise("destructive")
     return found.withColumn("rank", rank).where(F.col("rank") <= top).withColumn("kind", kind).drop("order")
 

@@ -288,14 +288,6 @@ def feature_correlations(spark, d):
     return statistics.column_correlations(items, ["discount", "quantity", "tax"], "y").withColumn("corr", F.round("corr", 6))
 
 
-@query()
-def ridge_attr(spark, d):
-    items = table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    row = statistics.moments(items, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice").first()
-    shares = statistics.attribution(statistics.ridge(row, 3), ["quantity", "discount", "tax"])
-    return spark.createDataFrame(sorted(shares.items()), "feature string, share double")
-
-
 # -------------------------------------------------------------------- aspects
 
 _ANGLE = "s_acctbal - 360 * floor(s_acctbal / 360)"
@@ -429,9 +421,9 @@ def nearest_code(spark, d):
     return relation.nearest_code(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), _codes(spark, d))
 
 
-@query(f"{_UNIT}, m AS (SELECT src AS id, sum(s) FILTER (src <> dst) / (count(*) - 1) AS a FROM c GROUP BY src) SELECT id, round(a, 9) AS mean_cosine FROM m")
+@query(f"{_UNIT}, m AS (SELECT src AS id, sum(s) FILTER (src <> dst) / (count(*) - 1) AS a FROM c GROUP BY src) SELECT id, round(a, 9) AS mean_cosine, round(100 - 100.0 * row_number() OVER (ORDER BY a, id) / count(*) OVER (), 6) AS percentile FROM m")
 def cosine_isolation(spark, d):
-    return relation.isolation(_vectors(spark, d)).select("id", F.round("mean_cosine", 9).alias("mean_cosine"))
+    return relation.isolation(_vectors(spark, d)).select("id", F.round("mean_cosine", 9).alias("mean_cosine"), F.round("percentile", 6).alias("percentile"))
 
 
 @query("SELECT vec_id AS id, round(sqrt(sum(x * x)), 6) AS magnitude, round(var_pop(x), 9) AS dim_variance FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY vec_id")
@@ -464,14 +456,6 @@ def similar_topk(spark, d):
     return scored.orderBy(F.desc("s"), "id").limit(12).select("id", F.round("s", 6).alias("score"))
 
 
-@query()
-def components(spark, d):
-    v = _vectors(spark, d)
-    edges = relation.k_nearest(v, v, 6, drop_self=True)
-    nodes = v.select(F.lit(0).alias("frame"), F.col("id").alias("node"), F.col("label").alias("token"))
-    return kernels.token_components(nodes, edges)
-
-
 @query()
 def pca_axes(spark, d):
     return kernels.principal_axes(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -25,6 +27,17 @@ def session(app: str = "skyloom", master: str | None = None, **extra: str) -> Sp
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share; a temporary folder where that is unset and the session is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="skyloom-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def check_projection(meta: DataFrame, override: bool = False) -> int:
     """The projection version of a store; an error if it is not the engine's, unless overridden."""
     row = meta.select("projection_version").first()

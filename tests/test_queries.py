@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from skyloom.plans import probes
+from skyloom.plans import engine, probes, skies  # noqa: F401
 
 ROOT = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no driver tables")
