@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import textkit as tk
 from skyloom.llm.language_id import split
-from skyloom.llm.work import exchange, pack, partitions, stored, unpack
+from skyloom.llm.work import exchange, pack, partitions, stored, tidy, unpack
 
 HEAD_BITS, HOT_BITS = 18, 10
 CUTOFF, TRIM = 5, 0.01
@@ -345,7 +345,7 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFram
     spark = docs.sparkSession
     n = partitions(spark)
     base = docs.select(docs[text].alias("text"))
-    unigrams = stored(exchange(base.mapInArrow(_count_words(n), _PACKED)).mapInArrow(_merge_words, "word long, n long"), "unigrams")
+    unigrams = stored(exchange(base.mapInArrow(tidy(_count_words(n)), _PACKED)).mapInArrow(tidy(_merge_words), "word long, n long"), "unigrams")
     sums = [F.sum((F.col("n") == r).cast("long")).alias(f"n{r}") for r in range(1, CUTOFF + 2)]
     kept_small = [F.coalesce(x, F.lit(0)) for x in sums]
     row = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0)), F.sum((F.col("n") > CUTOFF).cast("long")), *kept_small).first()
@@ -360,9 +360,9 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFram
     frequent = np.flatnonzero((counts << HOT_BITS >= tokens) | (np.arange(len(counts)) < FIRST))
     hot[frequent] = np.arange(len(frequent))
     matrix = np.zeros((len(frequent),) * 2, np.int64)
-    for cell, c in base.mapInArrow(_hot_pairs(words, hot), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+    for cell, c in base.mapInArrow(tidy(_hot_pairs(words, hot)), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
         matrix.flat[cell] = c
-    counted = exchange(base.mapInArrow(_count_pairs(words, hot, n), _PACKED)).mapInArrow(_merge_pairs, _PACKED + ", n_r array<long>")
+    counted = exchange(base.mapInArrow(tidy(_count_pairs(words, hot, n)), _PACKED)).mapInArrow(tidy(_merge_pairs), _PACKED + ", n_r array<long>")
     pairs = stored(counted, "pairs")
     found = pairs.agg(*[F.coalesce(F.sum(F.col("n_r")[r]), F.lit(0)) for r in range(CUTOFF + 1)]).first()
     of = np.bincount(np.minimum(matrix.ravel(), CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2]
@@ -371,8 +371,8 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFram
     c = matrix[a, b]
     dense = _histories(frequent[a], c, kept(c, m.bigram), 10 ** m.log_word(counts[frequent[b]]), n)
     pairs = pairs.drop("n_r")
-    spread = pairs.mapInArrow(_spread(m, n), _PACKED).union(spark.createDataFrame([(k, x, bytearray(y)) for k, x, y in dense], _PACKED))
-    backoff = stored(exchange(spread).mapInArrow(_back_off, _PACKED), "backoff")
+    spread = pairs.mapInArrow(tidy(_spread(m, n)), _PACKED).union(spark.createDataFrame([(k, x, bytearray(y)) for k, x, y in dense], _PACKED))
+    backoff = stored(exchange(spread).mapInArrow(tidy(_back_off), _PACKED), "backoff")
     return m, pairs, backoff
 
 
@@ -562,12 +562,12 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame, DataFrame], id: str =
     m, pairs, backoff = fitted
     n = partitions(docs.sparkSession)
     base = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    asked = base.mapInArrow(_ask(m, n), _PACKED).union(pairs)
-    answers = stored(exchange(asked).mapInArrow(_look_up(m, n), _PACKED), "answers")
+    asked = base.mapInArrow(tidy(_ask(m, n)), _PACKED).union(pairs)
+    answers = stored(exchange(asked).mapInArrow(tidy(_look_up(m, n)), _PACKED), "answers")
     unseen = answers.where("kind = 'open'").union(backoff)
-    settled = exchange(unseen).mapInArrow(_settle(n), _PACKED)
+    settled = exchange(unseen).mapInArrow(tidy(_settle(n)), _PACKED)
     shares = answers.where("kind <> 'open'").union(settled)
-    return exchange(shares).mapInArrow(_total, "id long, n_tokens long, n_known long, base_score double, score double")
+    return exchange(shares).mapInArrow(tidy(_total), "id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def op1_katz(spark, sf_dir: str) -> DataFrame:

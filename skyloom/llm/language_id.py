@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyloom.llm.work import tidy
+
 PROFILE, ORDERS = 300, 3
 UNKNOWN = "und"
 
@@ -96,7 +98,7 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", size: int = PROFILE) -> dict[str, list[int]]:
     """The profile of each language; the driver gets ``size`` n-grams of each."""
     known = docs.select(docs[lang].cast("string").alias("lang"), docs[text].alias("text")).where("lang is not null and text is not null")
-    counts = known.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
     out: dict[str, list[int]] = {}
@@ -145,7 +147,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
 
     others = [docs[c] for c in docs.columns if c != text] or [F.lit(0).alias("none")]
     base = docs.select(F.struct(*others).alias("rest"), docs[text].alias("text"))
-    return base.mapInArrow(run, T.StructType([*base.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return base.mapInArrow(tidy(run), T.StructType([*base.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def split(id: Column, folds: int, fold: int) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import textkit as tk
-from skyloom.llm.work import components, discard, exchange, pack, partitions, stored, unpack
+from skyloom.llm.work import components, discard, exchange, pack, partitions, stored, tidy, unpack
 
 SHINGLE, ERRORS, SEED = 4, 4, 42
 #: Near copies: sets of five-word shingles, similarity 4/5.
@@ -72,7 +72,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp): the fingerprint of each row, as a long."""
-    return docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(_fingerprints(shingle), "id long, fp long")
+    return docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(tidy(_fingerprints(shingle)), "id long, fp long")
 
 
 def _cuts(errors: int) -> list[int]:
@@ -232,8 +232,8 @@ def near_groups(prints: DataFrame, errors: int = ERRORS) -> DataFrame:
     """(id, fp) -> (id, fp, component): the smallest id that links of ``errors`` bits or fewer reach."""
     spark = prints.sparkSession
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("low")), "fingerprints")
-    keyed = nodes.select("fp").mapInArrow(_keyed(errors, partitions(spark)), "bucket int, key long, fp long")
-    edges = exchange(keyed).mapInArrow(_linked(errors), "a long, b long")
+    keyed = nodes.select("fp").mapInArrow(tidy(_keyed(errors, partitions(spark))), "bucket int, key long, fp long")
+    edges = exchange(keyed).mapInArrow(tidy(_linked(errors)), "a long, b long")
     root = components(edges)
     joined = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component"))
@@ -536,26 +536,26 @@ def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id"
     spark = docs.sparkSession
     n = partitions(spark)
     base = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).where("id is not null")
-    signed = stored(base.mapInArrow(_signed(shingle), "id long, sign long, chunk int, counts binary"), "signed")
+    signed = stored(base.mapInArrow(tidy(_signed(shingle)), "id long, sign long, chunk int, counts binary"), "signed")
     counts = exchange(signed.where("chunk is not null").select((F.col("chunk") % n).alias("bucket"), "chunk", "counts"))
     weight = np.zeros((CHUNKS, CELLS // CHUNKS), np.int64)
-    for chunk, total in counts.mapInArrow(_summed, "chunk int, counts binary").collect():
+    for chunk, total in counts.mapInArrow(tidy(_summed), "chunk int, counts binary").collect():
         weight[chunk] = unpack(total)[0]
     common = spark.sparkContext.broadcast(weight.ravel())
     prints = signed.where("chunk is null").select("id", "sign")
     nodes = stored(prints.groupBy("sign").agg(F.min("id").alias("low")), "nodes")
-    found = stored(exchange(base.mapInArrow(_prefixes(shingle, common, n), "bucket int, payload binary")).mapInArrow(_proposed, _FOUND), "found")
+    found = stored(exchange(base.mapInArrow(tidy(_prefixes(shingle, common, n)), "bucket int, payload binary")).mapInArrow(tidy(_proposed), _FOUND), "found")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         places = wanted.distinct().join(nodes, "sign").select("sign", "low")
-        mine = base.join(places, base["id"] == places["low"]).select("sign", "text").mapInArrow(_own_sets(shingle), "sign long, shingles binary")
+        mine = base.join(places, base["id"] == places["low"]).select("sign", "text").mapInArrow(tidy(_own_sets(shingle)), "sign long, shingles binary")
         return stored(mine.dropDuplicates(["sign"]), "sets")
 
     pairs = stored(found.where("a is not null").select("a", "b").distinct(), "pairs")
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sign")))
     one = sets.select(F.col("sign").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("sign").alias("b"), F.col("shingles").alias("y"))
-    links = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"), "links")
+    links = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(tidy(_alike), "a long, b long"), "links")
     root = components(links)
 
     def large(rows: DataFrame, sets: DataFrame | None) -> DataFrame:
@@ -569,10 +569,10 @@ def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id"
         groups = rows.where("payload is not null").select("bucket", *(F.lit(None).cast(t).alias(c) for c, t in (("member", "long"), ("root", "long"), ("shingles", "binary"))), "payload")
         return exchange(members.withColumn("payload", F.lit(None).cast("binary")).union(groups))
 
-    apart = stored(large(found, None).mapInArrow(_unlinked, _FOUND), "apart")
+    apart = stored(large(found, None).mapInArrow(tidy(_unlinked), _FOUND), "apart")
     wanted = apart.where("member is not null").select(F.col("member").alias("sign"))
     others = sets_of(wanted)
-    more = stored(large(apart, others).mapInArrow(_across, "a long, b long"), "links")
+    more = stored(large(apart, others).mapInArrow(tidy(_across), "a long, b long"), "links")
     if not more.isEmpty():
         root = components(links.union(more))
     for done in (found, pairs, sets, links, apart, others, more):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyloom.llm import textkit as tk
-from skyloom.llm.work import exchange, pack, partitions, unpack
+from skyloom.llm.work import exchange, pack, partitions, tidy, unpack
 
 WINDOW = 35
 #: Words that a task holds before it counts and ships their windows.
@@ -220,8 +220,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> D
         docs[text].alias("text"),
     ).withColumn("key", F.xxhash64("rest", "text"))
     n = partitions(spark)
-    blocks = exchange(base.select("key", "text").mapInArrow(_blocks(window, n), _BLOCK))
-    repeats = exchange(blocks.mapInArrow(_count(n), _REPLY)).mapInArrow(_merge, _FOUND)
+    blocks = exchange(base.select("key", "text").mapInArrow(tidy(_blocks(window, n)), _BLOCK))
+    repeats = exchange(blocks.mapInArrow(tidy(_count(n)), _REPLY)).mapInArrow(tidy(_merge), _FOUND)
     joined = base.join(repeats, "key", "left").select("rest", "text", "starts", "stops")
     out = T.StructType(
         [
@@ -229,7 +229,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> D
             *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>, kept_words string"),
         ]
     )
-    return joined.mapInArrow(_removals(window), out)
+    return joined.mapInArrow(tidy(_removals(window)), out)
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from skyloom.llm import textkit as tk
 from skyloom.llm.language_id import split
+from skyloom.llm.work import tidy
 
 #: Labelled rows that teach the evidence, at most.
 SAMPLE = 12_000
@@ -102,7 +103,7 @@ class CharModel:
 
 def learn_characters(docs: DataFrame, text: str = "text") -> CharModel:
     """The driver gets ``N_SYMBOLS ** 3`` counts at most."""
-    rows = docs.select(docs[text].alias("text")).mapInArrow(_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(docs[text].alias("text")).mapInArrow(tidy(_trigrams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(N_SYMBOLS**3, np.int64)
     for gram, n in rows:
         counts[gram] = n
@@ -315,10 +316,10 @@ def learn_evidence(docs: DataFrame, labels: DataFrame, model: CharModel, sample:
     last = known.orderBy("draw").limit(sample).agg(F.max("draw")).first()[0]
     chosen = known.where(F.lit(False) if last is None else F.col("draw") <= last).select("id", "toxic")
     drawn = docs.select(docs[id].alias("id"), docs[text].alias("text")).join(F.broadcast(chosen), "id").select("text", "toxic")
-    once = drawn.mapInArrow(_signatures, "text string, toxic int, sign long").groupBy("sign", "toxic").agg(F.min("text").alias("text"))
+    once = drawn.mapInArrow(tidy(_signatures), "text string, toxic int, sign long").groupBy("sign", "toxic").agg(F.min("text").alias("text"))
     stems = [f"stem{x}" for x in STEMS]
     schema = "word long, " + ", ".join(f"{x} long" for x in stems) + ", n long, bad long"
-    counts = once.select("text", "toxic").mapInArrow(_evidence(model), schema).groupBy("word", *stems).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counts = once.select("text", "toxic").mapInArrow(tidy(_evidence(model)), schema).groupBy("word", *stems).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     words = counts.select(F.col("word").alias("feature"), "n", F.col("bad").cast("double").alias("bad"), F.lit(Z).alias("z"))
     # A beginning is judged by its words, each one observation: a single word says nothing about others like it.
     each = counts.select(F.explode(F.array(*stems)).alias("feature"), (F.col("bad") / F.col("n")).alias("bad")).where("feature <> 0")
@@ -331,7 +332,7 @@ def learn_evidence(docs: DataFrame, labels: DataFrame, model: CharModel, sample:
     hashes = np.array([r["feature"] for r in kept], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     found = hashes[order], np.array([r["low"] for r in kept], float)[order]
-    best = once.where("toxic = 1").select("text").mapInArrow(_strongest(model, found), "feature long").groupBy("feature").count().where(F.col("count") >= EXPLAINS)
+    best = once.where("toxic = 1").select("text").mapInArrow(tidy(_strongest(model, found)), "feature long").groupBy("feature").count().where(F.col("count") >= EXPLAINS)
     needed = np.isin(found[0], np.array([r["feature"] for r in best.collect()], np.int64).view(np.uint64))
     return found[0][needed], found[1][needed]
 
@@ -378,7 +379,7 @@ def score(docs: DataFrame, model: CharModel, evidence: tuple[np.ndarray, np.ndar
 
     others = [docs[c] for c in docs.columns if c != text] or [F.lit(0).alias("none")]
     base = docs.select(F.struct(*others).alias("rest"), docs[text].alias("text"))
-    return base.mapInArrow(run, T.StructType([*base.schema, T.StructField("score", T.DoubleType())]))
+    return base.mapInArrow(tidy(run), T.StructType([*base.schema, T.StructField("score", T.DoubleType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[CharModel, tuple[np.ndarray, np.ndarray]]:
