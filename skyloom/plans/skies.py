@@ -510,7 +510,7 @@ def _log(spark, d):
 
 @query(f"""WITH {_LOG}, x AS (SELECT *, CAST(floor(jd - 588465.5) AS BIGINT) AS day_index FROM l), f AS (SELECT day_index, min(frame_ord) AS m FROM x GROUP BY 1)
 SELECT x.day_index, token_id, count(*) AS volume FROM x JOIN f ON f.day_index = x.day_index AND frame_ord = m GROUP BY 1, 2""")
-def opening_volume(spark, d):
+def first_frame_volume(spark, d):
     return dossier.daily_volume(_log(spark, d))
 
 
