@@ -18,6 +18,8 @@ from skyloom.functions.angles import dot, norm
 
 #: Rows of a searched side that are shipped to the tasks at once; beyond, they are joined by blocks.
 BLOCK_ROWS = 65536
+#: Rows of either side of one matrix product.
+TILE = 2048
 
 
 def normalised(df: DataFrame, vec: str = "vec") -> DataFrame:
@@ -26,15 +28,22 @@ def normalised(df: DataFrame, vec: str = "vec") -> DataFrame:
     return df.withColumn(vec, scaled[0])
 
 
+def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Equally long lists as rows."""
+    parts = vectors.chunks if isinstance(vectors, pa.ChunkedArray) else [vectors]
+    flat = np.concatenate([p.flatten().to_numpy(zero_copy_only=False) for p in parts])
+    return flat.reshape(len(vectors), -1)
+
+
 def k_nearest(queries: DataFrame, points: DataFrame, k: int, largest: bool = True, drop_self: bool = False) -> DataFrame:
     """(src, slot, dst, score): the k points of greatest (or least) dot product with each query, ties by id.
 
-    Both frames are (id, vec). Both are cut into blocks of ``BLOCK_ROWS``; a task
-    holds one block of each, keeps k points for each query by matrix products, and
+    Both frames are (id, vec); ids of points are distinct, rows without a vector have no part. Both are cut into blocks of ``BLOCK_ROWS``; a task
+    holds one block of each, keeps k points for each query by products of ``TILE`` rows a side, and
     the blocks' bests meet by query: rows grow with queries times blocks, never with pairs.
     """
-    point = points.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    asked = queries.select(F.col("id").cast("long").alias("src"), F.col("vec").cast("array<double>").alias("vec"))
+    point = points.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
+    asked = queries.select(F.col("id").cast("long").alias("src"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
     n_blocks, n_shards = max(1, -(-points.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_ROWS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -46,27 +55,36 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, largest: bool = Tru
         schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ids = right.column("id").to_numpy()
-        x = np.array(right.column("vec").to_pylist(), float).reshape(len(ids), -1)
-        src, dst, score = [], [], []
-        for batch in left.to_batches(2048):
-            q = np.array(batch.column("vec").to_pylist(), float).reshape(batch.num_rows, -1)
-            names = batch.column("src").to_numpy()
-            s = q @ x.T
-            order = s if not largest else -s
-            for i in range(len(names)):
-                row = order[i]
-                some = np.arange(len(ids))
-                if len(ids) > k + 1:
-                    some = np.flatnonzero(row <= np.partition(row, k)[k])
-                some = some[np.lexsort((ids[some], row[some]))]
+        right = right.sort_by("id")
+        ids, x = right.column("id").to_numpy(), _matrix(right.column("vec"))
+        out = []
+        for batch in left.to_batches(TILE):
+            names, q = batch.column("src").to_numpy(), _matrix(batch.column("vec"))
+            row, dst, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            least = np.full(len(names), -np.inf)
+            for at in range(0, len(ids), TILE):
+                own = ids[at : at + TILE]
+                s = q @ x[at : at + TILE].T
+                if not largest:
+                    np.negative(s, out=s)
                 if drop_self:
-                    some = some[ids[some] != names[i]]
-                some = some[:k]
-                src.append(np.full(len(some), names[i]))
-                dst.append(ids[some])
-                score.append(s[i, some])
-        return pa.table([np.concatenate(src), np.concatenate(dst), np.concatenate(score)], schema=schema)
+                    place = np.minimum(np.searchsorted(own, names), len(own) - 1)
+                    itself = np.flatnonzero(own[place] == names)
+                    s[itself, place[itself]] = -np.inf
+                # Ties with the k-th best stay until ids decide.
+                bar = np.maximum(least, np.partition(s, len(own) - k, axis=1)[:, len(own) - k]) if len(own) > k else least
+                i, j = np.nonzero((s >= bar[:, None]) & (s > -np.inf))
+                row, dst, score = np.concatenate([row, i]), np.concatenate([dst, own[j]]), np.concatenate([score, s[i, j]])
+                order = np.lexsort((dst, -score, row))
+                row, dst, score = row[order], dst[order], score[order]
+                first = np.searchsorted(row, np.arange(len(names)))
+                kept = np.arange(len(row)) - first[row] < k
+                row, dst, score = row[kept], dst[kept], score[kept]
+                count = np.bincount(row, minlength=len(names))
+                full = np.flatnonzero(count == k)
+                least[full] = score[np.cumsum(count)[full] - 1]
+            out.append(pa.table([names[row], dst, score if largest else -score], schema=schema))
+        return pa.concat_tables(out)
 
     near = paired.applyInArrow(best, "src long, dst long, score double")
     order = F.desc("score") if largest else F.asc("score")

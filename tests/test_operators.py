@@ -301,3 +301,20 @@ def test_band_lookup_of_every_part(spark, tmp_path):
             want[part] = min(near)[1]
     got = {r.p_partkey: r.o_orderkey for r in probes.QUERIES["band_lookup"](spark, str(tmp_path)).collect()}
     assert got == want and max(got) > 50
+
+
+@pytest.mark.parametrize("tile", [3, 7, 2048])
+@pytest.mark.parametrize("largest", [True, False])
+def test_tiled_neighbours_against_all_pairs(spark, monkeypatch, tile, largest):
+    monkeypatch.setattr(relation, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    x = rng.integers(-2, 3, (40, 3)).astype(float)  # many ties
+    rows = frame(spark, [(7 * i % 41, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id long, vec array<double>")
+    for drop in (False, True):
+        got = {}
+        for r in relation.k_nearest(rows, rows, 4, largest, drop).orderBy("src", "slot").collect():
+            got.setdefault(r.src, []).append((r.dst, r.score))
+        for i, v in enumerate(x):
+            every = sorted(((7 * j % 41, float(v @ w)) for j, w in enumerate(x) if not (drop and i == j)), key=lambda p: (-p[1] if largest else p[1], p[0]))
+            assert got[7 * i % 41] == every[:4]
+        assert 99 not in got
