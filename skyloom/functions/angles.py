@@ -120,6 +120,11 @@ def midheaven(ramc, eps) -> Column:
     return F.pmod(F.atan2(F.sin(col(ramc)), F.cos(col(ramc)) * F.cos(col(eps))), F.lit(TWO_PI))
 
 
+def vertex(ramc, eps, lat) -> Column:
+    """Where the prime vertical meets the ecliptic in the west: what rises half a turn on, at the complement of the latitude."""
+    return ascendant(col(ramc) + math.pi, eps, math.pi / 2 - col(lat))
+
+
 def polar_fade(lat_deg, start: float = 60.0, stop: float = 88.0) -> Column:
     """1 up to ``start`` degrees of latitude, 0 from ``stop`` on, half a cosine between."""
     t = clamp((F.abs(col(lat_deg)) - start) / (stop - start), 0.0, 1.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,28 @@ def pair_indices(n: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(n) for j in range(i + 1, n)]
 
 
+def fourier(values: Column, bands: int, raw: bool = True) -> Column:
+    """Each number of an array (itself first, if ``raw``), then sine and cosine of pi times it, doubled band by band; without bands the array as it is."""
+    if bands <= 0:
+        return values
+    turn = lambda x, k: (1 << k) * math.pi * x
+    wide = lambda x: F.array(*([x] if raw else []), *[f(turn(x, k)) for k in range(bands) for f in (F.sin, F.cos)])
+    return F.flatten(F.transform(values, lambda x: wide(x.cast("double"))))
+
+
+def chroma_disk(x, y, most: float) -> Column:
+    """struct(a, b): two numbers of any size drawn into a disk of radius ``most``, directions kept."""
+    x, y = col(x), col(y)
+    scale = most / F.sqrt(1 + x * x + y * y)
+    return F.struct((x * scale).alias("a"), (y * scale).alias("b"))
+
+
+def chroma_polar(x, hue, most: float) -> Column:
+    """struct(a, b): a number squashed to a chroma below ``most``, at a hue."""
+    chroma = most / (1 + F.exp(-col(x)))
+    return F.struct((chroma * F.cos(col(hue))).alias("a"), (chroma * F.sin(col(hue))).alias("b"))
+
+
 def horizon_gate(up, k: float = 8.0) -> Column:
     """How visible a body is by its zenith component."""
     return 1.0 / (1.0 + F.exp(-k * col(up)))

@@ -137,6 +137,23 @@ def updated_codes(assigned: DataFrame, codes: DataFrame, decay: float = 0.99, ep
     return grouped.withColumn("smooth", smooth).select("code", "size", F.transform("s", lambda x: x["s"] / F.col("smooth")).alias("vec"))
 
 
+def reseeded_codes(codes: DataFrame, bank: DataFrame, least: float = 0.01, seed: int = 0) -> DataFrame:
+    """``codes`` (code, size, vec) with those that hold less than a share ``least`` of all restarted at vectors of ``bank`` (id, vec).
+
+    A restarted code has size 1. The vectors are drawn by hash of the id, each at most once, so a
+    repeated run draws the same; if the bank holds fewer, the other codes stay. Codebooks are bounded.
+    """
+    share = F.col("size") / F.greatest(F.sum("size").over(Window.partitionBy()), F.lit(1.0))
+    marked = codes.withColumn("_dead", share < least)
+    dead = marked.where("_dead").withColumn("_n", F.row_number().over(Window.orderBy("code"))).select("code", "_n")
+    drawn = bank.where("vec is not null").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(codes.count())
+    drawn = drawn.withColumn("_n", F.row_number().over(Window.orderBy(F.xxhash64("id", F.lit(seed)), "id"))).select("_n", F.col("vec").cast("array<double>").alias("_vec"))
+    new = dead.join(drawn, "_n").select("code", "_vec")
+    joined = codes.join(new, "code", "left")
+    size = F.when(F.col("_vec").isNull(), F.col("size")).otherwise(1.0)
+    return joined.select("code", size.alias("size"), F.coalesce("_vec", F.col("vec").cast("array<double>")).alias("vec"))
+
+
 def isolation(codes: DataFrame) -> DataFrame:
     """(id, mean_cosine, percentile): mean cosine to all other codes; the most isolated is near 100.
 

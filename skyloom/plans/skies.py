@@ -447,6 +447,17 @@ def sky_features(spark, d):
     )
 
 
+@query("""WITH v AS (SELECT p_partkey, (p_partkey % 64)::DOUBLE / 64 AS x, p_size::DOUBLE / 32 AS y FROM part)
+SELECT p_partkey, round(list_sum(list_transform(f, lambda z: abs(z))), 6) AS total, round(f[6], 6) AS sixth, round(0.25 * x / sqrt(1 + x * x + y * y), 9) AS a, round(0.25 / (1 + exp(-x)) * cos(y), 9) AS polar FROM
+(SELECT *, [x, sin(pi() * x), cos(pi() * x), sin(2 * pi() * x), cos(2 * pi() * x), y, sin(pi() * y), cos(pi() * y), sin(2 * pi() * y), cos(2 * pi() * y)] AS f FROM v)""")
+def positional_features(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", ((F.col("p_partkey") % 64).cast("double") / 64).alias("x"), (F.col("p_size").cast("double") / 32).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    rows = rows.withColumn("f", features.fourier(F.array(x, y), 2))
+    total = F.aggregate("f", F.lit(0.0), lambda s, z: s + F.abs(z))
+    return rows.select("p_partkey", F.round(total, 6).alias("total"), F.round(F.col("f")[5], 6).alias("sixth"), F.round(features.chroma_disk(x, y, 0.25)["a"], 9).alias("a"), F.round(features.chroma_polar(x, y, 0.25)["a"], 9).alias("polar"))
+
+
 # ------------------------------------------------------------------ codebooks, rarity
 
 

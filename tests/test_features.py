@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom import cli
-from skyloom.functions import features
+from skyloom.functions import angles, features
 from skyloom.functions.angles import great_circle_deg
 from skyloom.operators import transducer as td
 from skyloom.plans import registry
@@ -106,3 +106,22 @@ def test_command_line(spark, capsys):
     cli.main(["map", "2024-04-08", "--nodes", "20"])
     out = capsys.readouterr().out.strip().splitlines()
     assert len(out) == 1 + 2 + 20 and '"is_eclipse":true' in out[0]
+
+
+def test_fourier_keeps_the_order_of_components(spark):
+    row = spark.range(1).select(features.fourier(F.array(F.lit(0.5), F.lit(0.25)), 1).alias("f"), features.fourier(F.array(F.lit(0.5)), 2, raw=False).alias("g"), features.fourier(F.array(F.lit(2.0)), 0).alias("h")).first()
+    assert [round(x, 6) for x in row.f] == [0.5, 1.0, 0.0, 0.25, round(0.5**0.5, 6), round(0.5**0.5, 6)]
+    assert [round(x, 6) for x in row.g] == [1.0, 0.0, 0.0, -1.0] and row.h == [2.0]
+
+
+def test_the_vertex_is_in_the_west(spark):
+    """It lies on the ecliptic and on the prime vertical: its azimuth is due west."""
+
+    eps, lat = math.radians(23.44), math.radians(48.0)
+    for ramc in (0.3, 1.9, 3.3, 5.0):
+        lon = spark.range(1).select(angles.vertex(ramc, eps, lat)).first()[0]
+        ra, dec = math.atan2(math.sin(lon) * math.cos(eps), math.cos(lon)), math.asin(math.sin(eps) * math.sin(lon))
+        h = ramc - ra
+        north = math.sin(dec) * math.cos(lat) - math.cos(dec) * math.sin(lat) * math.cos(h)
+        east = -math.cos(dec) * math.sin(h)
+        assert abs(north) < 1e-9 and east < 0

@@ -318,3 +318,13 @@ def test_tiled_neighbours_against_all_pairs(spark, monkeypatch, tile, largest):
             every = sorted(((7 * j % 41, float(v @ w)) for j, w in enumerate(x) if not (drop and i == j)), key=lambda p: (-p[1] if largest else p[1], p[0]))
             assert got[7 * i % 41] == every[:4]
         assert 99 not in got
+
+
+def test_dead_codes_restart(spark):
+    codes = frame(spark, [(0, 90.0, [1.0, 0.0]), (1, 0.1, [0.0, 1.0]), (2, 0.0, [2.0, 2.0]), (3, 9.9, [3.0, 3.0])], "code int, size double, vec array<double>")
+    bank = frame(spark, [(i, [10.0 + i, 0.0]) for i in range(5)] + [(9, None)], "id long, vec array<double>")
+    got = {r.code: (r.size, r.vec) for r in relation.reseeded_codes(codes, bank).collect()}
+    assert got[0] == (90.0, [1.0, 0.0]) and got[3] == (9.9, [3.0, 3.0])
+    assert got[1][0] == got[2][0] == 1.0 and got[1][1][0] >= 10 and got[2][1][0] >= 10 and got[1][1] != got[2][1]
+    few = {r.code: r.size for r in relation.reseeded_codes(codes, bank.where("id = 2")).collect()}
+    assert sorted(few.values()) == [0.0, 1.0, 9.9, 90.0]
