@@ -1,7 +1,12 @@
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__
 import corpus_pipeline
 from skyloom.llm import substring_dedup, simhash
-from tests.llm.common import docs, prose
+from tests.llm.common import DOCS, ODD, docs, prose
 from tests.llm.test_toxicity import corpus
 
 
@@ -51,3 +56,47 @@ def test_every_query_sees_the_whole_table(spark, tmp_path):
         if name.startswith("op") and name.split("_")[0] not in ("op2", "op10"):
             got = query(spark, str(tmp_path))
             assert got.select("doc_id").distinct().count() == 31, name
+
+
+#: Names that the operators use for columns of their own.
+CLASHING = ("rest", "score", "bucket", "id", "u", "v", "component", "row", "sign", "kept_words", "lang_pred", "_gone", "none")
+
+
+def odd_documents(spark):
+    """Null, empty, blank, short, very long and repeated texts, a row of nulls, and extra columns."""
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate([*ODD, prose(1, 150), prose(1, 150), prose(2, 150)])]
+    rows += [rows[-1], (None, None, None, None, None), (None, prose(3, 150), None, None, None)]
+    frame = spark.createDataFrame(rows, DOCS)
+    return frame.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHING))
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, tmp_path, name, stage):
+    frame = odd_documents(spark)
+    spark.createDataFrame([(i, 3, 0) for i in range(9)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = stage(spark, frame, str(tmp_path))
+    rows = got.collect()
+    every = [r.doc_id for r in frame.collect()]
+    if name == "packing":
+        starts = [s for b in rows for s in b.segments if s.start == 0]
+        assert Counter(s.doc_id for s in starts) == Counter(every)
+        assert all(b.used == sum(s.n_tokens for s in b.segments) <= b.capacity for b in rows)
+        return
+    assert got.columns == frame.columns
+    assert all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+    kept = Counter(r.doc_id for r in rows)
+    no_letters = {0: 1, 1: 1, 2: 1, None: 1}
+    near = {2: 1, 1: 1, 7: 1}
+    gone = {"toxicity": {}, "language": no_letters, "near_duplicates": near, "substrings": {}}[name]
+    assert kept == Counter(every) - Counter(gone)
+    texts = [r.text for r in rows if r.doc_id == 5]
+    assert len(texts) == 1 and (texts[0] == ODD[5] or name == "substrings")
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_an_empty_table(spark, tmp_path, name, stage):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = odd_documents(spark).where("false")
+    got = stage(spark, frame, str(tmp_path))
+    assert got.collect() == []
+    assert name == "packing" or got.columns == frame.columns
