@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from skyloom.llm.embedding_dedup import COSINE, op10_embedding_dedup
+from skyloom.llm.errata_trie import op11_spelling_variants
 from skyloom.llm.katz import op1_katz
 from skyloom.llm.language_id import op5_language_id
 from skyloom.llm.license_scan import op4_license_scan
 from skyloom.llm.order_minhash import op8_order_minhash
 from skyloom.llm.packing import op2_best_fit_packing
+from skyloom.llm.part_codes import ENTRIES, PARTS, ROUNDS, SCALE, op13_vector_codes
+from skyloom.llm.quality import op12_quality
 from skyloom.llm.sentencepiece_unigram import op7_sentencepiece
 from skyloom.llm.simhash import op9_simhash
 from skyloom.llm.substring_dedup import WINDOW, op3_substring_dedup
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_simhash": op9_simhash,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_quality": op12_quality,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _OP3 = rf"""
@@ -58,4 +64,37 @@ SELECT v.vec_id, coalesce(k, 0) AS n_links, c AS component_id, c = v.vec_id AS k
 FROM v JOIN c ON c.id = v.vec_id LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY a) x ON x.a = v.vec_id
 """
 
-ORACLES = {"op3_substring_dedup": _OP3, "op10_embedding_dedup": _OP10}
+
+
+def _op13() -> str:
+    """Rounds of assignment and update, written out one after the other."""
+    step = """
+far{r} AS (SELECT s.vec_id, s.p, b.e, list_sum(list_transform(list_zip(s.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT AS f
+           FROM parts s JOIN book{r} b ON b.p = s.p),
+near{r} AS (SELECT vec_id, p, arg_min(e, f * {entries} + e) AS e, min(f) AS f FROM far{r} GROUP BY vec_id, p)"""
+    update = """
+new{r} AS (SELECT n.p, n.e, list(q ORDER BY d) AS x
+           FROM (SELECT p, e, d, (s - ((s % c) + c) % c) // c AS q
+                 FROM (SELECT n.p, n.e, d, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS c
+                       FROM near{r} n JOIN flat f ON f.vec_id = n.vec_id AND f.p = n.p GROUP BY n.p, n.e, d)) n GROUP BY n.p, n.e),
+book{next} AS (SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM book{r} b LEFT JOIN new{r} n ON n.p = b.p AND n.e = b.e)"""
+    chain = []
+    for r in range(ROUNDS + 1):
+        chain.append(step.format(r=r, entries=ENTRIES))
+        if r < ROUNDS:
+            chain.append(update.format(r=r, next=r + 1))
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor({SCALE} * x)::BIGINT::HUGEINT) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, list_slice(x, p * (len(x) // {PARTS}) + 1, (p + 1) * (len(x) // {PARTS})) AS x FROM v, range({PARTS}) t(p)),
+flat AS (SELECT vec_id, p, unnest(x) AS x, generate_subscripts(x, 1) AS d FROM parts),
+seed AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT {ENTRIES}),
+book0 AS (SELECT p, e, x FROM parts JOIN seed USING (vec_id)),{",".join(chain)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', e::BIGINT), '' ORDER BY p) AS code, sum(f)::BIGINT AS error FROM near{ROUNDS} GROUP BY vec_id),
+hash AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM book{ROUNDS})
+SELECT v.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM v JOIN coded USING (vec_id), hash
+"""
+
+
+ORACLES = {"op3_substring_dedup": _OP3, "op10_embedding_dedup": _OP10, "op13_vector_codes": _op13()}
