@@ -6,7 +6,8 @@ context vector is the sum of the index vectors of all slots within ``REACH`` wor
 all texts in whole numbers, so it is the same for any order of rows and merges. The table of context vectors has
 SLOTS x WIDTH numbers, whatever the corpus.
 
-A document is the mean of its words' unit vectors, the mean of their squares, the mean's length, and whether it has words at all.
+A document is the mean of its words' unit vectors, the mean of their squares, the mean's length, the mean cosines between
+a word and those up to ``REACH`` places on (of stuttering texts they are near 1), and whether it has words at all.
 A network with one hidden layer turns that into a logit; it learns from at most ``SAMPLE`` labelled documents, a part of
 which is kept back to choose the temperature that makes its probabilities honest.
 """
@@ -31,7 +32,7 @@ SLOTS, WIDTH, NONZERO, REACH = 1 << 14, 64, 4, 2
 SAMPLE, KEPT_BACK = 12_000, 5
 HIDDEN, TURNS, RATE, DECAY = 32, 400, 0.01, 1e-3
 THRESHOLD = 0.3
-FEATURES = 2 * WIDTH + 2
+FEATURES = 2 * WIDTH + REACH + 2
 #: A block of words whose unit vectors are in memory at once.
 _AT_ONCE = 1 << 17
 
@@ -117,21 +118,30 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 def pool(slot: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Features (texts x FEATURES) of texts of words; long texts are summed block by block."""
     n = len(first) - 1
-    total = np.zeros((n, 2 * WIDTH))
+    total = np.zeros((n, 2 * WIDTH + REACH))
     at = 0
     while at < len(slot):
         to = min(at + _AT_ONCE, len(slot))
-        got = vectors[slot[at:to]]
+        ahead = vectors[slot[at : to + REACH]]
+        got = ahead[: to - at]
         a, b = np.searchsorted(first, at, "right") - 1, np.searchsorted(first, to, "left")
         inside = np.unique(np.clip(first[a:b], at, None))
         owner = np.searchsorted(first, inside, "right") - 1
         total[owner, :WIDTH] += np.add.reduceat(got, inside - at, axis=0)
-        total[owner, WIDTH:] += np.add.reduceat(got * got, inside - at, axis=0)
+        total[owner, WIDTH : 2 * WIDTH] += np.add.reduceat(got * got, inside - at, axis=0)
+        left = np.repeat(first[owner + 1], np.diff(np.append(inside, to))) - np.arange(at, to)
+        for apart in range(1, REACH + 1):
+            alike = np.zeros(to - at)
+            then = ahead[apart : apart + to - at]
+            alike[: len(then)] = np.einsum("ij,ij->i", got[: len(then)], then)
+            alike[left <= apart] = 0
+            total[owner, 2 * WIDTH + apart - 1] += np.add.reduceat(alike, inside - at)
         at = to
     count = np.diff(first)[:, None]
     mean = total / np.maximum(count, 1)
     length = np.sqrt((mean[:, :WIDTH] ** 2).sum(axis=1, keepdims=True))
-    return np.hstack([mean[:, :WIDTH], mean[:, WIDTH:] * WIDTH, length, count == 0])
+    near = total[:, 2 * WIDTH :] / np.maximum(count - np.arange(1, REACH + 1), 1)
+    return np.hstack([mean[:, :WIDTH], mean[:, WIDTH : 2 * WIDTH] * WIDTH, near, length, count == 0])
 
 
 @dataclass
