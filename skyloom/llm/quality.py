@@ -28,6 +28,8 @@ from skyloom.llm.language_id import split
 from skyloom.llm.work import exchange, pack, partitions, tidy, unpack
 
 SLOTS, WIDTH, NONZERO, REACH = 1 << 14, 64, 4, 2
+#: Packed rows that a task sends at most.
+BUCKETS = 128
 #: Labelled documents to learn from, at most; one of KEPT_BACK sets the temperature.
 SAMPLE, KEPT_BACK = 12_000, 5
 HIDDEN, TURNS, RATE, DECAY = 32, 400, 0.01, 1e-3
@@ -103,7 +105,7 @@ def _add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Unit context vectors (SLOTS x WIDTH) over all texts of ``docs``; a slot without neighbours has zeros."""
-    n = min(partitions(docs.sparkSession), SLOTS)
+    n = min(partitions(docs.sparkSession), BUCKETS)
     schema = "bucket int, payload binary"
     sums = exchange(docs.select(docs[text]).mapInArrow(tidy(_contexts(n)), schema)).mapInArrow(tidy(_add), schema)
     table = np.zeros((SLOTS, WIDTH))
