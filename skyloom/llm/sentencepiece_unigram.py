@@ -104,7 +104,7 @@ class Vocabulary:
 
 
 def log_scores(scores: list[float], use: list[int]) -> list[float]:
-    """Log probabilities of the pieces in use: scores as they are, or by Zipf's law where they are ranks (whole numbers)."""
+    """Log probabilities of the pieces of a file that is not a unigram model: by Zipf's law from merge ranks (whole numbers), else the scores as they are."""
     own = np.array([scores[i] for i in use], float)
     if not len(own) or (own != np.round(own)).any() or (own == own[0]).all():
         return list(scores)
@@ -115,6 +115,14 @@ def log_scores(scores: list[float], use: list[int]) -> list[float]:
     return out.tolist()
 
 
+def is_unigram(model: bytes) -> bool:
+    """Whether a model file says that its scores are log probabilities of a unigram model, whatever numbers they are."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    kind = proto.ModelProto.FromString(model).trainer_spec.model_type
+    return kind == proto.TrainerSpec.UNIGRAM
+
+
 @cache
 def load(path: str) -> Vocabulary:
     """A vocabulary file with byte fallback; read on the driver alone."""
@@ -128,7 +136,8 @@ def load(path: str) -> Vocabulary:
     if any(not sp.is_byte(i) for i in bytes_):
         raise ValueError(f"{path} has no byte pieces")
     use = [i for i in range(n) if i not in special and not sp.is_byte(i)]
-    return Vocabulary(pieces, log_scores([sp.get_score(i) for i in range(n)], use), bytes_, special)
+    scores = [sp.get_score(i) for i in range(n)]
+    return Vocabulary(pieces, scores if is_unigram(sp.serialized_model_proto()) else log_scores(scores, use), bytes_, special)
 
 
 def _matches(v: Vocabulary, data: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

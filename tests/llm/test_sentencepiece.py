@@ -132,3 +132,18 @@ def test_extra_columns_with_clashing_names(spark, tmp_path):
     if os.path.exists(PATH):
         rows = docs(spark, ["ab c", None]).withColumns({"id": F.lit(3), "ids": F.lit(1)})
         assert [r.text for r in su.decoded(su.encode(rows, PATH), PATH).orderBy("id").collect()] == ["ab c", ""]
+
+
+@pytest.mark.parametrize("unigram", [True, False])
+def test_scores_of_a_unigram_file_are_used_whatever_they_are(tmp_path, unigram):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    model.trainer_spec.model_type = proto.TrainerSpec.UNIGRAM if unigram else proto.TrainerSpec.BPE
+    model.trainer_spec.byte_fallback = True
+    kinds = proto.ModelProto.SentencePiece
+    for piece, score, kind in [("<unk>", 0, kinds.UNKNOWN), *((f"<0x{b:02X}>", 0, kinds.BYTE) for b in range(256)), ("a", -1, kinds.NORMAL), ("b", -2, kinds.NORMAL), ("ab", -2, kinds.NORMAL), ("c", -7, kinds.NORMAL)]:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    (tmp_path / "m.model").write_bytes(model.SerializeToString())
+    got = su.load(str(tmp_path / "m.model")).scores[-4:].tolist()
+    assert (got == [-1, -2, -2, -7]) == unigram
