@@ -35,6 +35,8 @@ from skyloom.llm.simhash import Forest
 from skyloom.llm.work import components, exchange, partitions, stored
 
 COSINE, BLOCK = 0.98, 2048
+#: Ids are below this.
+NAMELESS = 1 << 62
 #: Vectors of a tree node that are no longer split: their pairs are one small product.
 LEAF = 32
 #: Vectors that a label's pivots are drawn from, and pivots of a label, at most.
@@ -319,13 +321,18 @@ def _join(cosine: float):
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, id: str = "vec_id", vec: str = "embedding", label: str = "label") -> DataFrame:
-    """One row per row of ``vectors``: id, n_links (other vectors linked), component (smallest id reachable)."""
+    """One row per row of ``vectors``: id, n_links (other vectors linked), component (smallest id reachable).
+
+    A vector without an id is a vector like others: it counts, links and connects, but gives a component no name; a component
+    without any id is null. Ids are below 2**62.
+    """
     spark = vectors.sparkSession
     n = partitions(spark)
     base = vectors.select(vectors[id].cast("long").alias("id"), vectors[label].cast("string").alias("label"), vectors[vec].cast("array<double>").alias("vec"))
     keyed = base.mapInArrow(_vectors, "id long, label string, key binary, vec binary")
-    valid = keyed.where("key is not null and id is not null")
-    classes = stored(valid.groupBy("key").agg(F.min("id").alias("cid"), F.min("label").alias("label"), F.count("*").alias("n"), F.min("vec").alias("vec")), "vectors")
+    # A class of vectors without ids goes by a hash, beyond all ids.
+    name = F.coalesce(F.min("id"), F.lit(NAMELESS) + F.min(F.xxhash64("key")).bitwiseAND(NAMELESS - 1))
+    classes = stored(keyed.where("key is not null").groupBy("key").agg(name.alias("cid"), F.min("label").alias("label"), F.count("*").alias("n"), F.min("vec").alias("vec")), "vectors")
     pivots = choose_pivots(classes, block=block)
     placed = stored(classes.select("cid", "label", "n", "vec").mapInArrow(_cells(pivots), "cid long, label string, n long, vec binary, cell int, far double"), "cells")
     # One row per pivot: a label has PIVOTS at most, and only if it fills more than one block.
@@ -339,8 +346,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
         .join(links, "cid", "left")
         .join(root, F.col("cid") == root["node"], "left")
         .select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("component"))
+        .withColumn("component", F.when(F.col("component") < NAMELESS, F.col("component")))
+        .withColumn("linked", F.lit(True))
     )
-    return keyed.select("id", "key").join(classified, "key", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
+    return keyed.select("id", "key").join(classified, "key", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("linked"), F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -103,3 +103,12 @@ def test_empty_table_and_query(spark, tmp_path):
     spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1)], SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted(tuple(r) for r in ed.op10_embedding_dedup(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect())
     assert got == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_vectors_without_an_id_count_and_connect(spark):
+    a, b, c = [1.0, 0.0], [1.0, 0.15], [1.0, 0.3]
+    rows = [(5, a, 1), (None, a, 1), (9, a, 1), (None, b, 1), (7, c, 1), (None, [0.0, 1.0], 1), (None, [0.0, 2.0], 1), (None, None, 1), (None, a, 2)]
+    got = sorted(((r.id, r.n_links, r.component) for r in ed.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    # a links with b, b with c; two vectors without ids link with each other alone.
+    want = [(5, 3, 5), (None, 3, 5), (9, 3, 5), (None, 4, 5), (7, 1, 5), (None, 1, None), (None, 1, None), (None, 0, None), (None, 0, None)]
+    assert got == sorted(want, key=str)
