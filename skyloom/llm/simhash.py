@@ -257,13 +257,17 @@ def shingle_sets(w: tk.Words, shingle: int = NEAR_SHINGLE) -> tuple[np.ndarray,
     return hashes, owner, np.bincount(owner, minlength=len(w.counts))
 
 
-def _signs(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """One hash of each set; an empty set has 0."""
+#: Salt of the second hash of a set.
+PROOF = 0x9AE16A3B2F90404F
+
+
+def _signs(hashes: np.ndarray, n: np.ndarray, salt: int = 0) -> np.ndarray:
+    """One hash of each set; an empty set has 0. Another salt gives an independent hash."""
     out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
         with np.errstate(over="ignore"):
-            out[full] = tk.mix(np.add.reduceat(tk.mix(hashes), (np.cumsum(n) - n)[full]) + n[full].astype(np.uint64))
+            out[full] = tk.mix(np.add.reduceat(tk.mix(hashes ^ _U(salt)), (np.cumsum(n) - n)[full]) + n[full].astype(np.uint64))
     return out.view(np.int64)
 
 
@@ -280,19 +284,20 @@ def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int, np.nd
 
 
 def _signed(shingle: int):
-    """(id, sign) of each row, and once a task how many texts have a shingle in each of ``CELLS`` cells, in chunks."""
+    """(id, sign, proof) of each row, and once a task how many texts have a shingle in each of ``CELLS`` cells, in chunks."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, total = ["id", "sign", "chunk", "counts"], np.zeros(CELLS, np.uint32)
+        names, total = ["id", "sign", "proof", "chunk", "counts"], np.zeros(CELLS, np.uint32)
         for batch in it:
-            signs = [np.zeros(0, np.int64)]
+            signs, proofs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, _, h, _, n in _sets(batch, shingle):
                 signs.append(_signs(h, n))
+                proofs.append(_signs(h, n, PROOF))
                 total += np.bincount((h & _U(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(signs)), *none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(signs)), pa.array(np.concatenate(proofs)), *none], names=names)
         none = pa.nulls(CHUNKS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(range(CHUNKS), pa.int32()), pa.array([pack(x) for x in total.reshape(CHUNKS, -1)], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array([pack(x) for x in total.reshape(CHUNKS, -1)], pa.binary())], names=names)
 
     return run
 
@@ -523,6 +528,12 @@ def _alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _proven(prints: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(id, component) of rows (id, sign, proof) by the components of signs (sign, proven, component); a row of another proof is by itself."""
+    own = F.when(F.col("proof") == F.col("proven"), F.col("component")).otherwise(F.col("id"))
+    return prints.join(labelled, "sign").groupBy("id").agg(F.min(own).alias("component"))
+
+
 def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, component) of rows linked by sets of shingles of similarity 4/5 at least: the smallest id that links reach.
 
@@ -532,18 +543,23 @@ def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id"
     Pairs of small groups, and neighbours by size in large ones, are rows; what may
     still join components of a large group is decided where the group lies, which
     returns a forest. Texts without words have the empty set and are copies of each other.
+
+    A set is known by a 64-bit hash (its sign), and equal sets by a second, independent one as well: a row whose second
+    hash is not that of the first row with its sign is another text and stays by itself. So unrelated texts are
+    taken for copies only if all 128 bits agree.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     base = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).where("id is not null")
-    signed = stored(base.mapInArrow(tidy(_signed(shingle)), "id long, sign long, chunk int, counts binary"), "signed")
+    signed = stored(base.mapInArrow(tidy(_signed(shingle)), "id long, sign long, proof long, chunk int, counts binary"), "signed")
     counts = exchange(signed.where("chunk is not null").select((F.col("chunk") % n).alias("bucket"), "chunk", "counts"))
     weight = np.zeros((CHUNKS, CELLS // CHUNKS), np.int64)
     for chunk, total in counts.mapInArrow(tidy(_summed), "chunk int, counts binary").collect():
         weight[chunk] = unpack(total)[0]
     common = spark.sparkContext.broadcast(weight.ravel())
-    prints = signed.where("chunk is null").select("id", "sign")
-    nodes = stored(prints.groupBy("sign").agg(F.min("id").alias("low")), "nodes")
+    prints = signed.where("chunk is null").select("id", "sign", "proof")
+    first = F.min(F.struct("id", "proof"))
+    nodes = stored(prints.groupBy("sign").agg(first["id"].alias("low"), first["proof"].alias("proven")), "nodes")
     found = stored(exchange(base.mapInArrow(tidy(_prefixes(shingle, common, n)), "bucket int, payload binary")).mapInArrow(tidy(_proposed), _FOUND), "found")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -577,10 +593,10 @@ def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id"
         root = components(links.union(more))
     for done in (found, pairs, sets, links, apart, others, more):
         discard(done)
-    joined = nodes.join(root, nodes["sign"] == root["node"], "left").select("sign", "low", F.coalesce("root", "sign").alias("root"))
+    joined = nodes.join(root, nodes["sign"] == root["node"], "left").select("sign", "low", "proven", F.coalesce("root", "sign").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component"))
-    labelled = joined.join(lowest, "root").select("sign", "component")
-    return prints.join(labelled, "sign").groupBy("id").agg(F.min("component").alias("component"))
+    labelled = joined.join(lowest, "root").select("sign", "proven", "component")
+    return _proven(prints, labelled)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -133,3 +133,16 @@ def test_near_copies_against_all_pairs(spark):
     got = {r.id: r.component for r in sh.near_copies(docs(spark, texts)).collect()}
     assert got == {i: int(x) for i, x in enumerate(want)}
     assert len(set(want[:120])) > 60 and len(set(want[120:170])) == 50
+
+
+def test_equal_signs_of_different_sets_are_no_copies(spark):
+    prints = spark.createDataFrame([(1, 7, 70), (2, 7, 70), (3, 7, 71), (4, 8, 80), (5, 7, 72), (5, 8, 80)], "id long, sign long, proof long")
+    labelled = spark.createDataFrame([(7, 70, 1), (8, 80, 1)], "sign long, proven long, component long")
+    assert {r.id: r.component for r in sh._proven(prints, labelled).collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 1}
+
+
+def test_second_hash_of_a_set_is_another():
+    hashes, n = np.arange(1, 3001, dtype=np.uint64), np.full(1000, 3)
+    one, two = sh._signs(hashes, n), sh._signs(hashes, n, sh.PROOF)
+    assert len(set(one)) == len(set(two)) == 1000 and not set(one) & set(two)
+    assert sh._signs(hashes[:0], np.array([0]), sh.PROOF).tolist() == [0]
