@@ -9,7 +9,7 @@ from skyloom.functions.angles import dot
 from skyloom.functions.aspects import BAND_PERIOD, band_gains, significance_percentile, temporal_stride
 from skyloom.functions.calendar import FRAMES_PER_DAY, jd_or_datetime
 from skyloom.operators import twin, weather
-from skyloom.operators.kernels import stamp_clusters
+from skyloom.operators.density import density_clusters
 from skyloom.operators.viewport import Viewport, at_point
 from skyloom.sinks.store import TieredStore
 from skyloom.sources.ephemeris import global_state
@@ -36,7 +36,7 @@ def inspect(store: TieredStore, v: Viewport, clusters: bool = True) -> dict:
         parts = rows.where("latent is not null").select(F.posexplode("latent").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
         mean = [r["x"] for r in parts.orderBy("i").collect()]
         if clusters:
-            rows = stamp_clusters(rows, "latent", v.limit)
+            rows = density_clusters(rows, "latent", id="node").orderBy(F.desc("rarity"), "jd", "node")
         rows = rows.drop("latent")
     return {"tier": tier, "rows": rows, "global_latent": mean, "band_gains": {b: gains[b] for b in BAND_PERIOD}}
 

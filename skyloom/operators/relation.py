@@ -38,7 +38,7 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def k_nearest(queries: DataFrame, points: DataFrame, k: int, largest: bool = True, drop_self: bool = False) -> DataFrame:
     """(src, slot, dst, score): the k points of greatest (or least) dot product with each query, ties by id.
 
-    Both frames are (id, vec); ids of points are distinct, rows without a vector have no part. Both are cut into blocks of ``BLOCK_ROWS``; a task
+    Both frames are (id, vec); ids of points are distinct, rows without a vector have no part, nor have pairs whose product is no number or -Infinity. Both are cut into blocks of ``BLOCK_ROWS``; a task
     holds one block of each, keeps k points for each query by products of ``TILE`` rows a side, and
     the blocks' bests meet by query: rows grow with queries times blocks, never with pairs.
     """
@@ -67,6 +67,8 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, largest: bool = Tru
                 s = q @ x[at : at + TILE].T
                 if not largest:
                     np.negative(s, out=s)
+                # Vectors that are not finite have no place in an order.
+                s[np.isnan(s)] = -np.inf
                 if drop_self:
                     place = np.minimum(np.searchsorted(own, names), len(own) - 1)
                     itself = np.flatnonzero(own[place] == names)

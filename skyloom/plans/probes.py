@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import aspects, calendar, cells, light, tokens, zodiac
 from skyloom.functions.angles import dot, great_circle_deg, norm, separation_deg
-from skyloom.operators import kernels, rarity, relation, rollup, sequence, statistics, twin, viewport
+from skyloom.operators import density, kernels, rarity, relation, rollup, sequence, statistics, twin, viewport
 from skyloom.sources import mesh as meshes
 from skyloom.sources.positions import sidereal
 from skyloom.sources.tables import table
@@ -463,7 +463,8 @@ def pca_axes(spark, d):
 
 @query()
 def clusters(spark, d):
-    return kernels.table_clusters(table(spark, d, "embeddings"), "vec_id", "embedding")
+    """Density clusters of all vectors; no SQL says this, a brute-force test does."""
+    return density.density_clusters(table(spark, d, "embeddings"), "embedding", id="vec_id").select("vec_id", "cluster_id")
 
 
 # --------------------------------------------------------------------- joins, sets

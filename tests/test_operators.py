@@ -211,16 +211,6 @@ def test_components_of_a_frame(spark):
     assert split.tolist() == [0, 1, 2, 2]
 
 
-def test_clusters(spark):
-    rng = np.random.default_rng(5)
-    z = np.concatenate([rng.normal(size=(60, 8)) * 0.1, 10 + rng.normal(size=(60, 8)) * 0.1])
-    found = kernels.greedy_clusters(z, 20)
-    assert set(found[:60]) & set(found[60:]) <= {-1} and len(set(found) - {-1}) >= 2
-    rows = frame(spark, [(i, v.tolist() if i % 7 else None) for i, v in enumerate(z)], "id int, vec array<double>")
-    got = kernels.stamp_clusters(rows, "vec", 10000).collect()
-    assert len(got) == 120 and all(r.cluster_id == -1 for r in got if r.vec is None) and {0, 1} <= {r.cluster_id for r in got}
-
-
 def test_principal_axes(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 4)) * [5, 1, 0.5, 0.1]
@@ -274,18 +264,6 @@ def test_dead_letters(spark):
     assert good.count() == 1 and bad.count() == 3
 
 
-def test_clusters_of_a_table_label_every_vector(spark, tmp_path):
-    from skyloom.plans import probes
-
-    rng = np.random.default_rng(3)
-    z = np.concatenate([rng.normal(c, 0.3, (3400, 4)) for c in (0, 4, 9)] + [rng.uniform(-30, 30, (300, 4))])[rng.permutation(10500)]
-    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)] + [(10500, None)], "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r.vec_id: r.cluster_id for r in probes.QUERIES["clusters"](spark, str(tmp_path)).collect()}
-    assert len(got) == 10501 and got.pop(10500) == -1
-    want = kernels.greedy_clusters(z, 525)
-    assert want.max() >= 2 and [got[i] for i in range(10500)] == want.tolist()
-
-
 def test_band_lookup_of_every_part(spark, tmp_path):
     from skyloom.plans import probes
 
@@ -320,6 +298,19 @@ def test_tiled_neighbours_against_all_pairs(spark, monkeypatch, tile, largest):
         assert 99 not in got
 
 
+def test_neighbours_beside_vectors_that_are_not_finite(spark, monkeypatch):
+    monkeypatch.setattr(relation, "TILE", 4)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12, 3))
+    good = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    bad = frame(spark, [(20 + i, [float("nan"), 1.0, 1.0]) for i in range(5)] + [(30, [float("inf"), float("-inf"), 0.0])], "id long, vec array<double>")
+    for largest in (True, False):
+        want = sorted(map(tuple, relation.k_nearest(good, good, 2, largest).collect()))
+        got = sorted(map(tuple, relation.k_nearest(good, good.union(bad.where("id < 30")), 2, largest).collect()))
+        assert got == want and len(want) == 24
+    assert relation.k_nearest(bad, good, 2).where("src < 30").count() == 0
+
+
 def test_dead_codes_restart(spark):
     codes = frame(spark, [(0, 90.0, [1.0, 0.0]), (1, 0.1, [0.0, 1.0]), (2, 0.0, [2.0, 2.0]), (3, 9.9, [3.0, 3.0])], "code int, size double, vec array<double>")
     bank = frame(spark, [(i, [10.0 + i, 0.0]) for i in range(5)] + [(9, None)], "id long, vec array<double>")
