@@ -81,12 +81,15 @@ def wire_frames(spark, d):
     return spark.createDataFrame([(r.node, float(round(float(x), 2))) for r, x in zip(got, back["potential"], strict=True)], "node long, potential double")
 
 
-@query("SELECT i AS frame, j AS place, (i * 3 % 17 + j)::DOUBLE AS x FROM range(400) a(i), range(4) b(j)")
+@query("SELECT p_partkey AS frame, unnest(range(3)) AS place, unnest([p_size, p_partkey % 17, length(p_name)])::DOUBLE AS x FROM part")
 def chunk_frames(spark, d):
-    """Frames written as chunks and read again; whole numbers this small survive bfloat16."""
-    rows = spark.range(400).select(F.col("id").alias("frame"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: (F.col("id") * 3 % 17 + j).cast("float")).alias("state"))
+    """A part's numbers as a frame, written as chunks in two halves, the first one twice, and read again; differences this small survive bfloat16."""
+    state = F.array(*[F.col(c).cast("float") for c in ("p_size", "m", "l")])
+    rows = table(spark, d, "part").withColumns({"m": F.col("p_partkey") % 17, "l": F.length("p_name")}).select(F.col("p_partkey").alias("frame"), state.alias("state"))
     path = _folder(spark, "chunks")
-    chunks.write_chunks(rows, path, 64)
+    early = F.floor(F.col("frame") / 64) % 2 == 0
+    for half in (rows.where(early), rows.where(~early), rows.where(early)):
+        chunks.write_chunks(half, path, 64)
     return chunks.read_chunks(spark, path).select("frame", F.posexplode("state").alias("place", "x")).select("frame", F.col("place").cast("long").alias("place"), F.col("x").cast("double").alias("x"))
 
 

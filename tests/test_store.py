@@ -151,10 +151,56 @@ def test_chunks_round_trip(spark, tmp_path):
         (tmp_path / f"{r.start:08d}.chunk").write_bytes(bytes(r.content))
     assert chunks.read_chunk_files(spark, str(tmp_path)).count() == 24
     chunks.write_chunks(df, f"{tmp_path}/out", 8)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+    assert list(chunks.manifest(f"{tmp_path}/out")) == [0, 8, 16]
     assert [(r.frame, r.state) for r in chunks.read_chunks(spark, f"{tmp_path}/out").orderBy("frame").collect()] == [(r.frame, r.state) for r in back]
 
 
+def _numbers(spark, first, last, plus=0):
+    return spark.range(first, last).selectExpr("id AS frame", f"array(CAST(id % 50 + {plus} AS FLOAT), CAST(id % 7 AS FLOAT)) AS state")
+
+
+def test_chunk_writes_add_up_and_replace_themselves_alone(spark, tmp_path):
+    path = str(tmp_path / "store")
+    value = lambda **w: {r.frame: r.state[0] for r in chunks.read_chunks(spark, path).collect()}
+    chunks.write_chunks(_numbers(spark, 0, 640), path, 8)
+    chunks.write_chunks(_numbers(spark, 640, 1280), path, 8)
+    assert value() == {i: float(i % 50) for i in range(1280)}
+    chunks.write_chunks(_numbers(spark, 80, 96, plus=3), path, 8)
+    assert value() == {i: float(i % 50 + (3 if 80 <= i < 96 else 0)) for i in range(1280)}
+    chunks.write_chunks(_numbers(spark, 0, 10), path, 8, overwrite=True)
+    assert value() == {i: float(i) for i in range(10)}
+
+
+def test_chunk_log_starts_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chunks, "LOG_SPAN", 3)
+    writer = lambda i: chunks._ChunkWriter(str(tmp_path), False)
+    for i in range(8):
+        writer(i).commit([chunks._Written([{"start": i % 5, "frames": 1, "file": f"f{i}"}]), None])
+    assert {k: v["file"] for k, v in chunks.manifest(str(tmp_path)).items()} == {0: "f5", 1: "f6", 2: "f7", 3: "f3", 4: "f4"}
+
+
+def test_failed_chunk_writes_leave_nothing_to_see(spark, tmp_path):
+    path = str(tmp_path / "store")
+    chunks.write_chunks(_numbers(spark, 0, 32), path, 8)
+    before = chunks.manifest(path)
+    broken = _numbers(spark, 32, 96).withColumn("state", F.when(F.col("frame") == 90, F.expr("array(CAST(raise_error('lost') AS FLOAT))")).otherwise(F.col("state")))
+    with pytest.raises(Exception, match="lost"):
+        chunks.write_chunks(broken, path, 8)
+    assert chunks.manifest(path) == before and chunks.read_chunks(spark, path).count() == 32
+
+
+def test_chunk_filters_choose_files(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    chunks.write_chunks(_numbers(spark, 0, 800), path, 8)
+    every = chunks.read_chunks(spark, path)
+    for where, n, files in (("frame >= 780", 20, 3), ("frame BETWEEN 15 AND 17", 3, 2), ("frame = 100", 1, 1), ("frame IN (3, 500)", 2, 2), ("frame > 5 AND frame < 4", 0, 0), ("frame IS NULL", 0, 100)):
+        found = every.where(where)
+        assert found.count() == n
+        reader = chunks._ChunkReader(path)
+        assert found.rdd.getNumPartitions() == max(files, 1), where
+    assert reader.partitions() and len(reader.partitions()) == 100
+
+
 def test_blocks_of_a_century_add_up(spark, tmp_path):
     s = TieredStore(spark, str(tmp_path))
     rows = [spark.createDataFrame([(2451545.0 + d, d * 3600, n, 0.0, 0.0, 1, 7, 1.0, 0.5, 0.9) for d in days for n in range(3)], "jd double, frame long, node int, lat double, lng double, h3 long, leaf int, potential double, shear double, rarity double") for days in ((0, 1), (2, 3, 4))]
