@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.calendar import day_index
+from skyloom.operators import along
 from skyloom.operators.relation import conditional
-from skyloom.operators.sequence import persistence, runs, top_per_group, transitions
+from skyloom.operators.sequence import persistence, top_per_group
 from skyloom.operators.statistics import completed, correlations, dominant_period, fano
 
 TOP_K, EPOCH_DAYS = 8, 50 * 365.25
@@ -56,7 +57,8 @@ def build(spark: SparkSession, log: DataFrame, edges: DataFrame, antipodes: Data
     volume = daily_volume(log)
     days, tokens = volume.select("day_index").distinct(), volume.select("token_id").distinct()
     counts = log.groupBy("token_id").agg(F.count("*").alias("activations"), F.countDistinct("frame_ord").alias("frames_present"))
-    stay = persistence(runs(log, "node_id", ["frame_ord"], "token_id"), "token_id").withColumnsRenamed({"mean_run": "dwell_frames_mean", "max_run": "dwell_frames_max"})
+    by_day = log.withColumn("_day", F.floor("jd"))
+    stay = persistence(along.runs(by_day, "node_id", "_day", ["frame_ord"], "token_id"), "token_id").withColumnsRenamed({"mean_run": "dwell_frames_mean", "max_run": "dwell_frames_max"})
     period = dominant_period(volume, "token_id", "day_index", "volume")
     epochs = volume.withColumn("epoch", F.floor(F.col("day_index") / EPOCH_DAYS)).groupBy("token_id", "epoch").agg(F.sum("volume").alias("v"))
     ages = spark.range(1).crossJoin(epochs.agg(F.min("epoch").alias("a"), F.max("epoch").alias("b"))).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("epoch"))
@@ -73,7 +75,7 @@ def build(spark: SparkSession, log: DataFrame, edges: DataFrame, antipodes: Data
         for p in profiles:
             dossier = dossier.join(p, "token_id", "left")
         return {"tokens": dossier.withColumns({c: F.lit(None).cast("double") for c in RELATION_COLUMNS}), **out}
-    moves = top_per_group(transitions(log, "node_id", ["frame_ord"], "token_id"), "prev", TOP_K, F.desc("n"), "token_id")
+    moves = top_per_group(along.transitions(by_day, "node_id", "_day", ["frame_ord"], "token_id"), "prev", TOP_K, F.desc("n"), "token_id")
     corr = correlations(completed(volume, days, tokens, "volume"), "day_index", "token_id", "volume")
     both = corr.select(F.col("a").alias("token_id"), F.col("b").alias("other"), "corr").union(corr.select("b", "a", "corr"))
     against = top_per_group(both.where("corr < 0"), "token_id", TOP_K, F.asc("corr"), "other")

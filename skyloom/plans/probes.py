@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import aspects, calendar, cells, light, tokens, zodiac
 from skyloom.functions.angles import dot, great_circle_deg, norm, separation_deg
-from skyloom.operators import density, kernels, rarity, relation, rollup, sequence, statistics, twin, viewport
+from skyloom.operators import along, density, kernels, rarity, relation, rollup, sequence, statistics, twin, viewport
 from skyloom.sources import mesh as meshes
 from skyloom.sources.positions import sidereal
 from skyloom.sources.tables import table
@@ -145,13 +145,19 @@ def bucket_ragged(spark, d):
 
 # --------------------------------------------------------------------- sequences
 
+
+def _by_day(spark, d):
+    """The events with their day, which cuts each user's axis into blocks."""
+    return table(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
+
+
 _RUNS = """WITH a AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events),
 r AS (SELECT user_id, event_type, count(*) AS run_len FROM a GROUP BY user_id, event_type, g)"""
 
 
 @query(f"{_RUNS} SELECT event_type, round(avg(run_len), 9) AS mean_run, count(*) AS n_runs, max(run_len) AS max_run, round(avg(run_len) * ln(2), 9) AS half_life FROM r GROUP BY event_type")
 def persistence_rle(spark, d):
-    found = sequence.runs(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
+    found = along.runs(_by_day(spark, d), "user_id", "day", ["ts", "event_id"], "event_type")
     return sequence.persistence(found, "event_type").withColumns({c: F.round(c, 9) for c in ("mean_run", "half_life")})
 
 
@@ -159,7 +165,7 @@ def persistence_rle(spark, d):
 c AS (SELECT prev, event_type, count(*) AS n FROM p WHERE prev IS NOT NULL AND prev <> event_type GROUP BY prev, event_type)
 SELECT prev, event_type, n, round(n / sum(n) OVER (PARTITION BY prev)::DOUBLE, 9) AS probability FROM c""")
 def markov_transitions(spark, d):
-    return sequence.transitions(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").withColumn("probability", F.round("probability", 9))
+    return along.transitions(_by_day(spark, d), "user_id", "day", ["ts", "event_id"], "event_type").withColumn("probability", F.round("probability", 9))
 
 
 @query("""WITH p AS (SELECT lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, role FROM conversations), c AS (SELECT prev, role, count(*) AS n FROM p WHERE prev IS NOT NULL AND prev <> role GROUP BY prev, role),
@@ -172,23 +178,25 @@ def role_transitions(spark, d):
 @query("""WITH o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), w AS (SELECT *, lag(value) OVER u AS l, lead(value) OVER u AS n, lag(i) OVER u AS li, lead(i) OVER u AS ni FROM o WINDOW u AS (PARTITION BY user_id ORDER BY i))
 SELECT event_id, round((coalesce(n, value) - coalesce(l, value)) / nullif(coalesce(ni, i) - coalesce(li, i), 0), 6) AS shear FROM w""")
 def temporal_shear(spark, d):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, d, "events").withColumn("i", F.row_number().over(order))
-    along = Window.partitionBy("user_id").orderBy("i")
-    return rows.select("event_id", F.round(sequence.gradient(F.col("value"), F.col("i"), along), 6).alias("shear"))
+    rows = along.with_halo(_by_day(spark, d), "user_id", "day", ["ts", "event_id"])
+    day = Window.partitionBy("user_id", "day")
+    rows = rows.withColumn("i", F.row_number().over(day.orderBy("ts", "event_id")))
+    return rows.withColumn("shear", F.round(sequence.gradient(F.col("value"), F.col("i"), day.orderBy("i")), 6)).where("_own").select("event_id", "shear")
 
 
 @query("SELECT event_id, round(value - coalesce(lag(value) OVER w, 0), 6) AS step, round(value, 6) AS back FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def delta_roundtrip(spark, d):
-    along = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    steps = table(spark, d, "events").withColumn("step", sequence.delta(F.col("value"), along))
-    return steps.select("event_id", F.round("step", 6).alias("step"), F.round(sequence.undelta(F.col("step"), along), 6).alias("back"))
+    order = ["ts", "event_id"]
+    rows = along.with_halo(_by_day(spark, d), "user_id", "day", order)
+    steps = rows.withColumn("step", sequence.delta(F.col("value"), Window.partitionBy("user_id", "day").orderBy(*order))).where("_own")
+    return along.running_sum(steps, "user_id", "day", order, "step", "back").select("event_id", F.round("step", 6).alias("step"), F.round("back", 6).alias("back"))
 
 
 @query("SELECT event_id, round(lead(value) OVER w - 2 * value + lag(value) OVER w, 6) AS bend FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def second_difference(spark, d):
-    along = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("event_id", F.round(sequence.second_difference(F.col("value"), along), 6).alias("bend"))
+    rows = along.with_halo(_by_day(spark, d), "user_id", "day", ["ts", "event_id"])
+    bend = sequence.second_difference(F.col("value"), Window.partitionBy("user_id", "day").orderBy("ts", "event_id"))
+    return rows.withColumn("bend", F.round(bend, 6)).where("_own").select("event_id", "bend")
 
 
 @query("SELECT user_id, CAST(day AS VARCHAR) AS day, event_id, value FROM (SELECT user_id, CAST(ts AS DATE) AS day, event_id, value, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
@@ -201,8 +209,7 @@ def first_per_day(spark, d):
 w AS (SELECT user_id, unnest(range(0, last // 8 + 1)) AS win, last FROM n)
 SELECT w.user_id, win AS "window", round(sum(value), 6) AS total FROM w JOIN i ON i.user_id = w.user_id AND i BETWEEN win * 8 AND win * 8 + 15 WHERE win * 8 + 15 <= last GROUP BY 1, 2""")
 def sliding_windows(spark, d):
-    along = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, d, "events").withColumn("i", F.row_number().over(along) - 1)
+    rows = along.position(_by_day(spark, d), "user_id", "day", ["ts", "event_id"], "i")
     return sequence.sliding(rows, "i", 16, 8, ["user_id"]).groupBy("user_id", "window").agg(F.round(F.sum("value"), 6).alias("total"))
 
 

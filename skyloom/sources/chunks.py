@@ -21,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 #: Commits after which the log starts anew with everything.
 LOG_SPAN = 32
+#: Chunks that a reading task opens one after the other.
+PER_TASK = 32
 
 
 def to_bf16(x: np.ndarray) -> np.ndarray:
@@ -101,7 +103,7 @@ class ChunkStore(DataSource):
         return _ChunkWriter(self.options["path"], overwrite)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _ChunkReader(self.options["path"])
+        return _ChunkReader(self.options["path"], int(self.options.get("chunks_per_task", PER_TASK)))
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -174,13 +176,13 @@ class _ChunkWriter(DataSourceWriter):
 
 
 @dataclass
-class _Chunk(InputPartition):
-    file: str
+class _Files(InputPartition):
+    names: list
 
 
 class _ChunkReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.low, self.high, self.among = path, None, None, None
+    def __init__(self, path: str, per_task: int = PER_TASK):
+        self.path, self.per_task, self.low, self.high, self.among = path, per_task, None, None, None
 
     def pushFilters(self, filters: list) -> Iterator:
         """Bounds on frame choose files; Spark still applies every filter to the rows."""
@@ -195,21 +197,25 @@ class _ChunkReader(DataSourceReader):
                     self.among = sorted(x for x in f.value if x is not None)
             yield f
 
-    def partitions(self) -> list[_Chunk]:
+    def partitions(self) -> list[_Files]:
+        names = self.files()
+        return [_Files(names[i : i + self.per_task]) for i in range(0, len(names), self.per_task)]
+
+    def files(self) -> list[str]:
+        """Of the chunks that may hold frames asked for, in order."""
         out = []
         for c in manifest(self.path).values():
             first, last = c["start"], c["start"] + c["frames"] - 1
             within = (self.low is None or last >= self.low) and (self.high is None or first <= self.high)
             if within and (self.among is None or any(first <= x <= last for x in self.among)):
-                out.append(_Chunk(c["file"]))
+                out.append(c["file"])
         return out
 
-    def read(self, partition: _Chunk | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # nothing to read
-            return
+    def read(self, partition: _Files | None) -> Iterator[pa.RecordBatch]:
         files, root = _open(self.path)
-        with files.open_input_stream(f"{root}/{partition.file}") as f:
-            yield _frames_of(f.read())
+        for name in partition.names if partition else []:
+            with files.open_input_stream(f"{root}/{name}") as f:
+                yield _frames_of(f.read())
 
 
 def register(spark: SparkSession) -> None:

@@ -192,13 +192,13 @@ def test_failed_chunk_writes_leave_nothing_to_see(spark, tmp_path):
 def test_chunk_filters_choose_files(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     chunks.write_chunks(_numbers(spark, 0, 800), path, 8)
-    every = chunks.read_chunks(spark, path)
+    every = spark.read.format("skyloom_chunks").option("chunks_per_task", 1).load(path)
     for where, n, files in (("frame >= 780", 20, 3), ("frame BETWEEN 15 AND 17", 3, 2), ("frame = 100", 1, 1), ("frame IN (3, 500)", 2, 2), ("frame > 5 AND frame < 4", 0, 0), ("frame IS NULL", 0, 100)):
         found = every.where(where)
         assert found.count() == n
-        reader = chunks._ChunkReader(path)
         assert found.rdd.getNumPartitions() == max(files, 1), where
-    assert reader.partitions() and len(reader.partitions()) == 100
+    reader = chunks._ChunkReader(path, 30)
+    assert len(reader.files()) == 100 and [len(p.names) for p in reader.partitions()] == [30, 30, 30, 10]
 
 
 def test_blocks_of_a_century_add_up(spark, tmp_path):
