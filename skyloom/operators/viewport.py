@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.calendar import century_of
-from skyloom.functions.cells import cover
+from skyloom.functions.cells import cover, side_deg
 
 # Routing bounds in frames, and the cell lists that are still written out.
 POINTS, HOURLY, DAILY = 1000, 150, 3600
@@ -59,7 +59,10 @@ def route(span_days: float, velocity: float, present: set[str]) -> str:
 
 
 def in_region(v: Viewport, resolution: int = 4, cell: str = "h3") -> Column:
-    """Membership in the region's cells if they are few, else plain bounds; across the antimeridian, two of either."""
+    """Membership in the region's cells if they are few, else plain bounds; across the antimeridian, two of either.
+
+    Cells are taken whole, so up to ``MAX_CELLS`` of them a viewport also has the rows of its border cells that lie outside its bounds; this is the rule of the store's queries.
+    """
     cells = cover(v.min_lat, v.min_lng, v.max_lat, v.max_lng, resolution)
     if len(cells) <= MAX_CELLS:
         return F.col(cell).isin(cells)
@@ -77,6 +80,17 @@ def predicate(v: Viewport, centuries: tuple[int, int], **region) -> Column:
     )
 
 
+def near_bounds(v: Viewport, resolution: int = 4) -> Column:
+    """Bounds that every row of the region keeps, border cells included; files are skipped by them. Rows without a place pass."""
+    s = side_deg(resolution)
+    out = F.col("lat").isNull() | F.col("lat").between(v.min_lat - s, v.max_lat + s)
+    if v.min_lng > v.max_lng:
+        out &= F.col("lng").isNull() | (F.col("lng") >= v.min_lng - s) | (F.col("lng") <= v.max_lng + s)
+    elif v.min_lng - s >= -180 and v.max_lng + s <= 180:
+        out &= F.col("lng").isNull() | F.col("lng").between(v.min_lng - s, v.max_lng + s)
+    return out
+
+
 def year_of(jd: float) -> int:
     """The proleptic Gregorian year of a Julian Day, on the driver."""
     z = int((jd + 0.5) // 1) + 32044
@@ -87,9 +101,16 @@ def year_of(jd: float) -> int:
     return 100 * b + d - 4800 + ((5 * e + 2) // 153) // 10
 
 
+def centuries(v: Viewport) -> tuple[int, int]:
+    """The first and last century that a viewport touches."""
+    return year_of(v.start) // 100, year_of(v.end) // 100
+
+
 def viewport(tier: DataFrame, v: Viewport, **region) -> DataFrame:
     """The rarest rows of a region and time, ties by jd and node; only the tier's own columns that are there."""
-    rows = tier.where(predicate(v, (year_of(v.start) // 100, year_of(v.end) // 100), **region))
+    rows = tier.where(predicate(v, centuries(v), **region))
+    if {"lat", "lng"} <= set(tier.columns):
+        rows = rows.where(near_bounds(v, region.get("resolution", 4)))
     return rows.orderBy(F.desc("rarity"), "jd", "node").limit(v.limit)
 
 

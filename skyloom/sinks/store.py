@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.calendar import FRAMES_PER_DAY, FRAMES_PER_HOUR, century_of
 from skyloom.operators.rollup import daily, frame_bucket, hourly
-from skyloom.operators.viewport import Viewport, route, viewport
+from skyloom.operators.viewport import Viewport, centuries, route, viewport
 from skyloom.session import PROJECTION_VERSION, check_projection
+from skyloom.sinks import layout
 from skyloom.sources.tables import read_or_empty
 
 TIERS = ("tier1", "tier2", "tier3")
@@ -38,25 +40,44 @@ class TieredStore:
         """Adds rows to a tier. A named block replaces the block of that name and leaves all others, so blocks of a
         century add up and a repeated run changes nothing; without a name the centuries written are replaced whole.
 
-        Rows are dealt by range of century, cell and day, so that no century is one task, in files of bounded
-        length whose statistics are narrow.
+        Rows are dealt by range, so that no century is one task, in files of bounded length, pages of ``layout.PAGE`` rows
+        and the order of ``layout``, whose manifest lies beside the tier.
         """
         out = df.withColumn("century", century_of(F.col("jd")))
         parts = ["century"]
         if block is not None:
             out, parts = out.withColumn("block", F.lit(block)), ["century", "block"]
+        placed = layout.NEEDED <= set(out.columns)
         order = [c for c in ("h3", "jd") if c in out.columns]
-        dealt = out.repartitionByRange("century", *order).sortWithinPartitions("century", *order)
-        writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE)
-        writer.partitionBy(*parts).parquet(f"{self.root}/{tier}")
+        dealt = layout.arranged(out, "century") if placed else out.repartitionByRange("century", *order).sortWithinPartitions("century", *order)
+        self._put(dealt, tier, parts)
+        if placed:
+            # Of the partitions just written alone; what a block replaces, its bricks replace.
+            touched = [tuple(r) for r in out.select(*parts).distinct().collect()]
+            written = self.spark.read.parquet(f"{self.root}/{tier}").where(F.col("century").isin([t[0] for t in touched]))
+            if block is not None:
+                written = written.where(F.col("block") == block)
+            self._put(layout.bricks(written, parts).repartitionByRange("century", "rarity_min").sortWithinPartitions("century", F.desc("rarity_min")), f"manifest/{tier}", parts)
         self.stamp()
 
+    def _put(self, df: DataFrame, name: str, parts: list[str]) -> None:
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE)
+        writer.option("parquet.page.row.count.limit", layout.PAGE).partitionBy(*parts).parquet(f"{self.root}/{name}")
+
     def stamp(self) -> None:
         self.spark.createDataFrame([(PROJECTION_VERSION,)], "projection_version int").write.mode("overwrite").parquet(f"{self.root}/meta")
 
     def read(self, tier: str, override: bool = False) -> DataFrame:
         check_projection(read_or_empty(self.spark, f"{self.root}/meta", "projection_version int"), override)
-        return self.spark.read.parquet(f"{self.root}/{tier}")
+        return self.spark.read.parquet(f"{self.root}/{tier}").drop("brick")
+
+    def narrowed(self, tier: str, v: Viewport) -> Viewport:
+        """The viewport with the least rarity that its answers can have, as the tier's manifest tells it."""
+        fs, path = self._fs(f"{self.root}/manifest/{tier}")
+        if not fs.exists(path):
+            return v
+        least = layout.least_rarity(self.spark.read.parquet(f"{self.root}/manifest/{tier}"), v, centuries(v))
+        return replace(v, rarity_min=least)
 
     def build(self, rows: DataFrame, rarity_min: float = 0.0, block: str | None = None) -> None:
         """All tiers from tier-1 rows (jd, frame, node, lat, lng, h3, leaf, potential, shear, rarity).
@@ -73,7 +94,7 @@ class TieredStore:
     def query(self, v: Viewport) -> tuple[str, DataFrame]:
         """The tier that serves a viewport, and its rows."""
         tier = route(v.end - v.start, v.velocity, self.present())
-        return tier, viewport(self.read(tier), v)
+        return tier, viewport(self.read(tier), self.narrowed(tier, v))
 
 
 def wire_frame(rows: list, latent: bool = False) -> bytes:

@@ -89,6 +89,65 @@ def test_viewport_order_pruning_and_limits(store, rows):
         Viewport(1.0, 2.0, limit=0)
 
 
+def _scanned(df):
+    """Rows that the scans of a collected frame gave."""
+    out, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else []
+        kids = inner or [node.children().apply(i) for i in range(node.children().size())]
+        todo += kids
+        got = node.metrics().get("numOutputRows") if not kids else None
+        out += got.get().value() if got is not None and got.isDefined() else 0
+    return out
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """120,000 rows of 20 days on a lattice of places, in two blocks."""
+    h = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
+    base = spark.range(120_000).withColumns({"r": h, "day": F.pmod(F.hash("id"), F.lit(1_728_000)) / 86_400.0})
+    lat, lng = (F.pmod(F.col("id") * 7, F.lit(170)) - 85).cast("double"), (F.pmod(F.col("id") * 13, F.lit(350)) - 175).cast("double")
+    rows = base.select((F.col("day") + 2460310.5).alias("jd"), F.floor(F.col("day") * 3600).alias("frame"), F.col("id").alias("node"), lat.alias("lat"), lng.alias("lng"), cell_of(lat, lng).alias("h3"), F.lit(1).alias("leaf"), F.col("r").alias("potential"), F.col("r").alias("shear"), F.col("r").alias("rarity")).cache()
+    s = TieredStore(spark, f"file://{tmp_path_factory.mktemp('many')}")
+    s.write("tier1", rows.where("day < 10"), "first")
+    s.write("tier1", rows.where("day >= 10"), "second")
+    return s, rows
+
+
+@pytest.mark.parametrize(
+    "v, most",
+    [
+        (Viewport(2460310.5, 2460330.5, limit=300), 2000),
+        (Viewport(2460312.0, 2460313.0, limit=300), 6000),
+        (Viewport(2460312.0, 2460312.01, limit=300), 12000),
+        (Viewport(2460311.0, 2460329.0, -40.0, 170.0, 40.0, -150.0, 0.2, 200), 120000),
+        (Viewport(2460311.0, 2460329.0, 10.0, 10.0, 20.0, 30.0, limit=1000), 60000),
+        (Viewport(2460311.0, 2460329.0, rarity_min=0.9999, limit=1000), 3000),
+    ],
+)
+def test_a_viewport_reads_few_rows_and_loses_none(many, v, most):
+    s, rows = many
+    got = viewport(s.read("tier1"), s.narrowed("tier1", v))
+    found = [(r.rarity, r.jd, r.node) for r in got.collect()]
+    want = [(r.rarity, r.jd, r.node) for r in viewport(rows.withColumn("century", F.lit(20)), v).collect()]
+    assert found == want
+    assert _scanned(got) <= most
+
+
+def test_the_manifest_follows_its_blocks(spark, tmp_path):
+    s = TieredStore(spark, f"file://{tmp_path}")
+    made = lambda n, r: spark.range(n).selectExpr("2451545.0 + id / 100 AS jd", "id AS frame", "id AS node", "0.0D AS lat", "0.0D AS lng", "1L AS h3", f"{r}D + id / 1e6 AS rarity")
+    s.write("tier1", made(2000, 0.5), "a")
+    s.write("tier1", made(1000, 0.1), "b")
+    s.write("tier1", made(10, 0.7), "a")
+    kept = spark.read.parquet(f"{s.root}/manifest/tier1")
+    assert kept.agg(F.sum("n")).first()[0] == s.read("tier1").count() == 1010
+    v = Viewport(2451545.0, 2451600.0, limit=10)
+    assert s.narrowed("tier1", v).rarity_min == 0.7 and s.narrowed("tier1", Viewport(2451545.0, 2451600.0, limit=5000)).rarity_min == 0.0
+    assert "brick" not in s.read("tier1").columns
+
+
 def test_point_and_superset(store, rows):
     one = rows.first()
     best = at_point(store.read("tier1"), one.lat, one.lng, one.jd).first()
