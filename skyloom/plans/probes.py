@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import aspects, calendar, cells, light, tokens, zodiac
 from skyloom.functions.angles import dot, great_circle_deg, norm, separation_deg
 from skyloom.operators import along, density, kernels, rarity, relation, rollup, sequence, statistics, twin, viewport
+from skyloom.sinks.store import pending
 from skyloom.sources import mesh as meshes
 from skyloom.sources.positions import sidereal
 from skyloom.sources.tables import table
@@ -496,9 +497,11 @@ def profile_merge(spark, d):
     return relation.spine(e.select("user_id").distinct(), [bought, ordered], "user_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT o_orderkey // 16 AS chunk FROM orders WHERE o_orderkey // 16 NOT IN (SELECT l_orderkey // 16 FROM lineitem WHERE l_quantity >= 49)")
 def pending_chunks(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Chunks of sixteen orders that the ledger, those with a line of 49 pieces or more, does not have."""
+    chunk = lambda c: F.floor(F.col(c) / 16).alias("chunk")
+    return pending(table(spark, d, "orders").select(chunk("o_orderkey")).distinct(), table(spark, d, "lineitem").where("l_quantity >= 49").select(chunk("l_orderkey")))
 
 
 @query("SELECT n_name, r_name, s_suppkey, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 0")
