@@ -100,15 +100,16 @@ _SWEPT = ["value", "hour", "node"]
 
 @query("""WITH x AS (SELECT event_type, value::DOUBLE AS value, hour(ts)::DOUBLE AS hour, (user_id % 7)::DOUBLE AS node, 1 + user_id % 3 AS w FROM events WHERE isfinite(value)),
 p AS (SELECT event_type, count(*) AS n, sum(w)::DOUBLE AS w, [sum(w * value), sum(w * hour), sum(w * node)] AS s, [sum(w * value * value), sum(w * value * hour), sum(w * value * node), sum(w * hour * hour), sum(w * hour * node), sum(w * node * node)] AS p FROM x GROUP BY event_type)
-SELECT event_type, n, w, i, round(m / w, 6) AS mean FROM (SELECT event_type, n, w, generate_subscripts(s || p, 1) - 1 AS i, unnest(s || p) AS m FROM p)""")
+SELECT event_type, n, w, i, round(m, 4) AS total FROM (SELECT event_type, n, w, generate_subscripts(s || p, 1) - 1 AS i, unnest(s || p) AS m FROM p)""")
 def sweep_moments(spark, d):
     """Weighted moments of the events by type, swept week by week; the sweep stops after the first weeks and is started again."""
     rows = table(spark, d, "events").select("event_type", "value", F.hour("ts").alias("hour"), (F.col("user_id") % 7).alias("node"), (1 + F.col("user_id") % 3).alias("w"), F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 7).alias("week"))
     swept = sweep.Sweep(spark, _folder(spark, "sweep"), ["event_type"], _SWEPT, "w")
     swept.run(rows.where("week < 2"), "week")
     swept.run(rows, "week")
-    mean = F.posexplode(F.transform(F.concat("s", "p"), lambda x: x / F.col("w"))).alias("i", "mean")
-    return swept.result().select("event_type", "n", "w", mean).select("event_type", "n", "w", F.col("i").cast("long").alias("i"), F.round("mean", 6).alias("mean"))
+    # Values have two decimals, so products have four: rounding meets no ties.
+    each = swept.result().select("event_type", "n", "w", F.posexplode(F.concat("s", "p")).alias("i", "total"))
+    return each.select("event_type", "n", "w", F.col("i").cast("long").alias("i"), F.round("total", 4).alias("total"))
 
 
 # ----------------------------------------------------------------------------- streams
