@@ -15,7 +15,7 @@ from skyloom.session import shared_folder
 from skyloom.sinks.store import TieredStore, read_wire_frame, wire_frame
 from skyloom.sources import chunks
 from skyloom.sources.tables import table
-from skyloom.streaming import rollups
+from skyloom.streaming import ordered, rollups
 
 
 def _folder(spark, name: str) -> str:
@@ -150,6 +150,49 @@ def stream_runs(spark, d):
     return _drained(spark, rollups.run_lengths(_events(spark, d)), "append").groupBy("event_type", "run_len").agg(F.count("*").alias("n"))
 
 
+#: Rows that lie behind the last watermark: their millisecond is over two hours before the last event's.
+_BEHIND = "b AS (SELECT * FROM events WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events) - 7200000)"
+
+
+@query(f"""WITH {_BEHIND}, a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM b),
+r AS (SELECT user_id, event_type, g, count(*) AS run_len, max(ts) AS last FROM a GROUP BY 1, 2, 3), z AS (SELECT *, last = max(last) OVER (PARTITION BY user_id) AS open FROM r)
+SELECT user_id, event_type, run_len, count(*) AS n FROM z WHERE NOT open GROUP BY 1, 2, 3""")
+def stream_ordered_runs(spark, d):
+    """Runs that ended behind the watermark, whatever the order in which events came."""
+    rows = _drained(spark, ordered.run_lengths(_events(spark, d)), "append")
+    return rows.groupBy("user_id", "event_type", "run_len").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_BEHIND} SELECT user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap, round(value - lag(value) OVER w, 4) AS change FROM b WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def stream_steps(spark, d):
+    """Each event with what has passed since its user's event before."""
+    rows = _drained(spark, ordered.steps(_events(spark, d)), "append")
+    return rows.select("user_id", F.col("tie").alias("event_id"), "gap", F.round("change", 4).alias("change"))
+
+
+@query("""SELECT a.user_id, a.event_id AS click, b.event_id AS purchase, epoch_us(b.ts) - epoch_us(a.ts) AS gap FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase'
+AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR""")
+def stream_join(spark, d):
+    """Clicks and the purchases of the same user within six hours: two streams, both with watermarks."""
+    clicks, purchases = (_events(spark, d).where(F.col("event_type") == kind) for kind in ("click", "purchase"))
+    rows = _drained(spark, rollups.interval_join(clicks, purchases, "user_id", 6 * 3600), "append")
+    return rows.select("user_id", F.col("event_id").alias("click"), F.col("event_id_right").alias("purchase"), (F.unix_micros("ts_right") - F.unix_micros("ts")).alias("gap"))
+
+
+@query("""WITH c AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2), k AS (SELECT event_type, sum(n) AS q FROM c GROUP BY 1), s AS (SELECT sum(q) AS total, count(*) AS kinds FROM k),
+d AS (SELECT day, sum(n) AS n, count(*) AS n_tokens FROM c GROUP BY 1),
+g AS (SELECT d.day, d.n, d.n_tokens, (coalesce(c.n, 0) + 0.5) / (d.n + s.kinds / 2) AS p, (k.q + 0.5) / (s.total + s.kinds / 2) AS q FROM d CROSS JOIN k CROSS JOIN s LEFT JOIN c ON c.day = d.day AND c.event_type = k.event_type)
+SELECT CAST(day AS VARCHAR) AS day, CAST(n AS BIGINT) AS n, n_tokens, round(sum(p * log2(p / q)), 8) AS bits FROM g GROUP BY 1, 2, 3""")
+def stream_day_scores(spark, d):
+    """Every day's mix of event types against that of all days, from counts that each batch adds to a table."""
+    folder = _folder(spark, "scores")
+    stream = _events(spark, d).withColumn("day", F.to_date("ts"))
+    write = rollups.merge_into(folder, "day", "event_type")
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    rows = rollups.snapshot_scores(rollups.merged(spark, folder, "day", "event_type"), "day", "event_type")
+    return rows.select(F.col("day").cast("string").alias("day"), "n", "n_tokens", F.round("bits", 8).alias("bits"))
+
+
 # --------------------------------------------------------------------------- SQL names
 
 

@@ -1,16 +1,19 @@
-"""Streams: windowed roll-ups, running histograms, sessions, and run lengths kept per node."""
+"""Streams: windowed roll-ups, running histograms, sessions, interval joins, scores of snapshots, and run lengths kept per node."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream; ts as a timestamp, which watermarks need."""
+def event_stream(spark: SparkSession, path: str, schema, files: int = 1, name: str | None = None) -> DataFrame:
+    """A folder of Parquet files as a stream; ts as a timestamp, which watermarks need. With ``name``, a column of that name says which file."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    if name:
+        raw = raw.withColumn(name, F.col("_metadata.file_name"))
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -33,20 +36,67 @@ def running_histogram(events: DataFrame, token: str) -> DataFrame:
     return events.groupBy(token).agg(F.count("*").alias("n"))
 
 
-def merge_into(table: str, token: str):
+def interval_join(left: DataFrame, right: DataFrame, key: str, within: int, late: str = "2 hours") -> DataFrame:
+    """Pairs of a left row and a right row of the same key that comes 0 to ``within`` seconds after it, both ends included.
+
+    Right columns get the suffix ``_right``. Both sides have watermarks, so state older than ``late`` and the
+    interval goes. The key is joined with the slot of ``within`` seconds: a key with a third of all rows
+    spreads over its slots, and a left row waits in its own slot and the next, where alone its partners can lie.
+    Null keys and null times have no partner.
+    """
+
+    def slot(ts: str):
+        return F.floor(F.unix_micros(ts) / (within * 1_000_000))
+
+    first = left.where(F.col("ts").isNotNull() & F.col(key).isNotNull()).withWatermark("ts", late)
+    first = first.withColumn("_slot", F.explode(F.array(slot("ts"), slot("ts") + 1)))
+    second = right.where(F.col("ts").isNotNull() & F.col(key).isNotNull())
+    second = second.select([F.col(c).alias(f"{c}_right") for c in right.columns]).withWatermark("ts_right", late)
+    second = second.withColumn("_slot_right", slot("ts_right"))
+    near = F.expr(f"ts_right >= ts AND ts_right <= ts + INTERVAL {within} SECONDS")
+    both = first.join(second, (F.col(key) == F.col(f"{key}_right")) & (F.col("_slot") == F.col("_slot_right")) & near)
+    return both.drop("_slot", "_slot_right")
+
+
+def merge_into(table: str, *tokens: str):
     """A foreachBatch function that adds each batch's counts to a Parquet table, once per batch id.
 
     Each batch has a folder of its own, which a repeated batch overwrites; readers add the folders up.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy(token).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        batch.groupBy(*tokens).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     return write
 
 
-def merged(spark: SparkSession, table: str, token: str) -> DataFrame:
-    return spark.read.parquet(table).groupBy(token).agg(F.sum("n").alias("n"))
+def merged(spark: SparkSession, table: str, *tokens: str) -> DataFrame:
+    return spark.read.parquet(table).groupBy(*tokens).agg(F.sum("n").alias("n"))
+
+
+def snapshot_scores(counts: DataFrame, snapshot: str, token: str, baseline: DataFrame | None = None) -> DataFrame:
+    """Bits by which each snapshot's tokens depart from the baseline's: sum of p * log2(p / q).
+
+    ``counts`` and ``baseline`` have token and n; without a baseline, all snapshots together are it. Both are
+    smoothed by a half count a token that either knows, so that the score is finite. Counts of a snapshot that
+    came in several batches add up before they are scored. A null snapshot or token is one of its own.
+    """
+    by = counts.groupBy(snapshot, token).agg(F.sum("n").alias("n"))
+    base = (baseline if baseline is not None else counts).select(token, F.col("n").cast("double").alias("_q"))
+    known = base.union(by.select(token, F.lit(0.0))).groupBy(token).agg(F.sum("_q").alias("_q"))
+    sums = known.agg(F.sum("_q").alias("_all"), F.count("*").alias("_kinds"))
+    known = known.crossJoin(sums).select(F.col(token).alias("_token"), ((F.col("_q") + 0.5) / (F.col("_all") + F.col("_kinds") / 2)).alias("_q"), "_kinds")
+    totals = by.groupBy(snapshot).agg(F.sum("n").alias("_n"), F.count("*").alias("_seen"))
+    # Absent tokens all have p = 0.5 / (n + kinds / 2); their part is a sum over the baseline less the present ones.
+    logs = known.agg(F.sum(F.log2("_q")).alias("_logs"), F.first("_kinds").alias("_k"))
+    present = by.join(known, by[token].eqNullSafe(F.col("_token"))).groupBy(snapshot).agg(
+        F.sum((F.col("n") + 0.5) * F.log2(F.col("n") + 0.5) - F.col("n") * F.log2("_q")).alias("_own"), F.count("*").alias("_here")
+    )
+    rows = totals.withColumnRenamed(snapshot, "_s").join(present, F.col("_s").eqNullSafe(present[snapshot])).crossJoin(logs)
+    size = F.col("_n") + F.col("_k") / 2
+    # sum p log2 p = (own logs + absent * 0.5 * log2 0.5) / size - log2 size, and sum p log2 q likewise.
+    bits = (F.col("_own") - (F.col("_k") - F.col("_here")) / 2 - F.col("_logs") / 2) / size - F.log2(size)
+    return rows.select(snapshot, F.col("_n").alias("n"), F.col("_seen").alias("n_tokens"), bits.alias("bits"))
 
 
 def run_lengths(events: DataFrame, node: str = "user_id", token: str = "event_type") -> DataFrame:
@@ -75,8 +125,42 @@ def run_lengths(events: DataFrame, node: str = "user_id", token: str = "event_ty
     return events.groupBy(node).applyInPandasWithState(step, f"{node} {kind[node]}, {token} {kind[token]}, run_len long", f"{token} {kind[token]}, n long", "append", "NoTimeout")
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Everything that is there now, as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+@contextmanager
+def _state_on_disk(spark: SparkSession):
+    """RocksDB for the state of the queries that start inside: it lies beside the heap, and timers need it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Everything that is there now, as a table in the folder ``<checkpoint>-<name>``; nothing passes the driver.
+
+    Each batch has a folder of its own, which a repeated batch overwrites. The table is all batches in append mode,
+    the last one in complete mode, and the last row of each of ``keys`` in update mode. A stream without rows gives
+    an empty table. Calling again goes on behind what was read.
+    """
+    spark, out = stream.sparkSession, f"{checkpoint}-{name}"
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{out}/_batch=-1")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+
+    with _state_on_disk(spark):
+        query = stream.writeStream.queryName(name).foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(f"{stream.schema.toDDL()}, _batch LONG" if stream.columns else "_batch LONG").parquet(out)
+    if mode == "complete":
+        last = spark.read.schema("_batch LONG").parquet(out).agg(F.max("_batch").alias("_last"))
+        rows = rows.join(F.broadcast(last), F.col("_batch") == F.col("_last")).drop("_last")
+    elif mode == "update":
+        rest = [c for c in stream.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row")).select(*keys, "_row.*")
+    return rows.drop("_batch")
