@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from skyloom.functions.cells import cell_of
-from skyloom.operators import kernels, relation, statistics, sweep, transducer
+from skyloom.operators import curriculum, kernels, relation, statistics, sweep, transducer
 from skyloom.operators.viewport import Viewport
 from skyloom.plans import registry
 from skyloom.plans.probes import _UNIT, _vectors, query
@@ -193,6 +194,46 @@ def stream_day_scores(spark, d):
     return rows.select(F.col("day").cast("string").alias("day"), "n", "n_tokens", F.round("bits", 8).alias("bits"))
 
 
+# -------------------------------------------------------------------- training windows
+
+#: January 2024 in microseconds since 1970, the span of the events.
+_JANUARY = (1704067200000000, 1706745600000000)
+_FRAMES = "SELECT w.*, f.frame, f.n, f.total FROM w LEFT JOIN (SELECT w.win, (e.at - w.begin) // {stride} AS frame, count(*) AS n, sum(e.value) AS total FROM w JOIN (SELECT epoch_us(ts) AS at, value FROM events) e ON e.at >= w.begin AND e.at < w.begin + {size} GROUP BY 1, 2) f ON f.win = w.win"
+_SUMMED = 'SELECT win AS "window", worker, begin, CAST(count(n) AS INT) AS n_frames, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, CAST(coalesce(sum(n * frame), 0) AS BIGINT) AS moment, round(coalesce(sum(total), 0), 4) AS total FROM s GROUP BY 1, 2, 3'
+
+
+def _summed(rows):
+    def over(field):
+        return F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + field(f))
+
+    total = F.aggregate("frames", F.lit(0.0), lambda a, f: a + F.coalesce(f["total"], F.lit(0.0)))
+    return rows.select(
+        "window", "worker", "begin", F.size("frames").alias("n_frames"), over(lambda f: f["n"]).alias("n"), over(lambda f: f["n"] * f["frame"]).alias("moment"), F.round(total, 4).alias("total")
+    )
+
+
+def _sampled(spark, d, plan):
+    return _summed(curriculum.samples(table(spark, d, "events"), plan, F.unix_micros(F.col("ts").cast("timestamp")), F.col("value")))
+
+
+_SWEEP = curriculum.Plan(curriculum.phase_of(7), 7, *_JANUARY, length=12, hop=6, workers=4)
+# The schedule's 5,000 bursts are for a span of millennia; a month gets 40.
+_BURSTS = curriculum.Plan(replace(curriculum.phase_of(20), bursts=40), 20, *_JANUARY, length=3600, hop=3600, workers=4, seed=1)
+
+
+@query(f"""WITH w AS (SELECT i AS win, i % 4 AS worker, {_JANUARY[0]} + i * 43200000000 AS begin FROM range(0, 61) r(i)), s AS ({_FRAMES.format(stride=7200000000, size=86400000000)}) {_SUMMED}""")
+def curriculum_sweep(spark, d):
+    """Epoch 7: windows of twelve frames of two hours over all events."""
+    return _sampled(spark, d, _SWEEP)
+
+
+@query(f"""WITH b AS (SELECT i AS burst, {_JANUARY[0]} + CAST(floor(('0x' || substr(md5('1:20:' || i), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * ({_JANUARY[1] - _JANUARY[0]} - 604800000000)) AS BIGINT) AS anchor FROM range(0, 40) r(i)),
+w AS (SELECT burst * 7 + j AS win, burst % 4 AS worker, anchor + j * 86400000000 AS begin FROM b, range(0, 7) q(j)), s AS ({_FRAMES.format(stride=24000000, size=86400000000)}) {_SUMMED}""")
+def curriculum_bursts(spark, d):
+    """Epoch 20: weeks at drawn places, cut into windows of 3600 frames of 24 seconds."""
+    return _sampled(spark, d, _BURSTS)
+
+
 # --------------------------------------------------------------------------- SQL names
 
 
