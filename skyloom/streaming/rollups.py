@@ -125,19 +125,27 @@ def run_lengths(events: DataFrame, node: str = "user_id", token: str = "event_ty
     return events.groupBy(node).applyInPandasWithState(step, f"{node} {kind[node]}, {token} {kind[token]}, run_len long", f"{token} {kind[token]}, n long", "append", "NoTimeout")
 
 
+#: State in RocksDB, which lies beside the heap and which timers need; a join's four kinds of state share one store a partition, not four.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
+
+
 @contextmanager
 def _state_on_disk(spark: SparkSession):
-    """RocksDB for the state of the queries that start inside: it lies beside the heap, and timers need it."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The settings of ``STATE`` for the queries that start inside."""
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
