@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.cells import cell_of
+from skyloom.sources.triangles import node_points
 
 EARTH_KM = 6371.0
 
@@ -61,8 +62,9 @@ def icosphere_points(levels: int) -> list[tuple[float, float, float]]:
 
 
 def icosphere(spark: SparkSession, levels: int) -> DataFrame:
-    rows = [(i, math.asin(max(-1.0, min(1.0, z))), math.atan2(y, x)) for i, (x, y, z) in enumerate(icosphere_points(levels))]
-    return _with_geometry(spark.createDataFrame(rows, "node int, lat double, lon double"))
+    """The same points, each made from its number in Spark; nodes are numbered as in ``triangles``."""
+    lat, lon = F.asin(F.least(F.greatest("z", F.lit(-1.0)), F.lit(1.0))), F.atan2("y", "x")
+    return _with_geometry(node_points(spark, levels).select("node", lat.alias("lat"), lon.alias("lon")))
 
 
 def equirectangular(spark: SparkSession, rows: int, columns: int) -> DataFrame:
