@@ -8,13 +8,13 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from skyloom.functions.cells import cell_of
-from skyloom.operators import curriculum, kernels, relation, statistics, sweep, transducer
+from skyloom.operators import codebook, curriculum, kernels, relation, statistics, sweep, transducer
 from skyloom.operators.viewport import Viewport
 from skyloom.plans import registry
 from skyloom.plans.probes import _UNIT, _vectors, query
 from skyloom.session import shared_folder
 from skyloom.sinks.store import TieredStore, read_wire_frame, wire_frame
-from skyloom.sources import chunks
+from skyloom.sources import chunks, triangles
 from skyloom.sources.tables import table
 from skyloom.streaming import ordered, rollups
 
@@ -255,6 +255,57 @@ def sql_frames(spark, d):
 
 # ------------------------------------------------------------------- graphs and vectors
 
+def _unit(p: str) -> str:
+    return f"[{p}[1] / sqrt(list_dot_product({p}, {p})), {p}[2] / sqrt(list_dot_product({p}, {p})), {p}[3] / sqrt(list_dot_product({p}, {p}))]"
+
+
+def _between(p: str, q: str) -> str:
+    return f"[{p}[1] + {q}[1], {p}[2] + {q}[2], {p}[3] + {q}[3]]"
+
+
+def _normal(p: str, q: str) -> str:
+    return f"[{p}[2] * {q}[3] - {p}[3] * {q}[2], {p}[3] * {q}[1] - {p}[1] * {q}[3], {p}[1] * {q}[2] - {p}[2] * {q}[1]]"
+
+
+# All triangles from the solid's corners by halved edges; a place is in the one whose three sides it is on the inner side of.
+_TRIANGLES = f"""g AS (SELECT (1 + sqrt(5)) / 2 AS u), v AS (SELECT {_unit("p")} AS p FROM (SELECT unnest([[0.0::DOUBLE, a, b * u], [a, b * u, 0.0], [b * u, 0.0, a]]) AS p FROM g, (VALUES (-1), (1)) x(a), (VALUES (-1), (1)) y(b))),
+e AS (SELECT x.p, y.p AS q FROM v x JOIN v y ON x.p < y.p AND list_dot_product(x.p, y.p) > 0.4),
+t(k, parent, a, b, c) AS (SELECT 0, [0.0::DOUBLE], x.p, x.q, y.q FROM e x JOIN e y ON y.p = x.q JOIN e z ON z.p = x.p AND z.q = y.q
+UNION ALL SELECT k + 1, [a[1] + b[1] + c[1], a[2] + b[2] + c[2], a[3] + b[3] + c[3]], s.x, s.y, s.z FROM (SELECT k, a, b, c, {_unit("ab")} AS ab, {_unit("bc")} AS bc, {_unit("ca")} AS ca FROM (SELECT k, a, b, c, {_between("a", "b")} AS ab, {_between("b", "c")} AS bc, {_between("c", "a")} AS ca FROM t WHERE k < 3)),
+unnest([{{'x': a, 'y': ab, 'z': ca}}, {{'x': ab, 'y': b, 'z': bc}}, {{'x': ca, 'y': bc, 'z': c}}, {{'x': ab, 'y': bc, 'z': ca}}]) r(s)),
+w AS (SELECT row_number() OVER () AS id, dense_rank() OVER (ORDER BY parent) AS parent, a, b, c, {_normal("a", "b")} AS na, {_normal("b", "c")} AS nb, {_normal("c", "a")} AS nc, [a[i] + b[i] + c[i] FOR i IN [1, 2, 3]] AS m FROM t WHERE k = 3)"""
+
+
+@query(f"""WITH RECURSIVE {_TRIANGLES}, u AS (SELECT user_id, radians(user_id % 100 - 50 + 0.37::DOUBLE) AS lat, radians(user_id % 300 - 150 + 0.21::DOUBLE) AS lng, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2, 3),
+p AS (SELECT n, total, [cos(lat) * cos(lng), cos(lat) * sin(lng), sin(lat)] AS p FROM u),
+h AS (SELECT w.id, sum(n) AS n, sum(total) AS total FROM p JOIN w ON list_dot_product(na, p) * list_dot_product(na, c) > 0 AND list_dot_product(nb, p) * list_dot_product(nb, a) > 0 AND list_dot_product(nc, p) * list_dot_product(nc, b) > 0 GROUP BY w.id),
+k AS (SELECT id, unnest([a, b, c]) AS q FROM w), l AS (SELECT id, [CAST(round(q[i] * 1e9) AS BIGINT) FOR i IN [1, 2, 3]] AS q FROM k), s AS (SELECT x.id AS src, y.id AS dst FROM l x JOIN l y ON x.q = y.q AND x.id <> y.id GROUP BY 1, 2 HAVING count(*) = 2),
+d AS (SELECT s.src AS id, sum(h.n) AS n FROM s JOIN h ON h.id = s.dst GROUP BY 1), f AS (SELECT w.parent, sum(n) AS n FROM h JOIN w ON w.id = h.id GROUP BY 1)
+SELECT round(m[1], 6) + 0.0 AS x, round(m[2], 6) + 0.0 AS y, round(m[3], 6) + 0.0 AS z, CAST(h.n AS BIGINT) AS n, round(h.total, 4) AS total, CAST(coalesce(d.n, 0) AS BIGINT) AS n_beside, CAST(f.n AS BIGINT) AS n_parent FROM h JOIN w ON w.id = h.id LEFT JOIN d ON d.id = h.id JOIN f ON f.parent = w.parent""")
+def triangle_events(spark, d):
+    """The events by triangle of three halvings, those in the triangles beside it, and those in its parent."""
+    places = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    at = triangles.triangle_of(F.col("user_id") % 100 - 50 + F.lit(0.37), F.col("user_id") % 300 - 150 + F.lit(0.21), 3)
+    here = places.select(at.alias("triangle"), "n", "total").groupBy("triangle").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    beside = here.select(F.explode(triangles.triangle_neighbours(F.col("triangle"), 3)).alias("triangle"), F.col("n").alias("m")).groupBy("triangle").agg(F.sum("m").alias("n_beside"))
+    parents = here.groupBy(F.shiftright("triangle", 2).alias("parent")).agg(F.sum("n").alias("n_parent"))
+    rows = here.join(beside, "triangle", "left").withColumn("parent", F.shiftright("triangle", 2)).join(parents, "parent")
+    rows = rows.withColumn("c", triangles.triangle_corners(F.col("triangle"), 3))
+    centre = [(F.round(F.col("c.a")[i] + F.col("c.b")[i] + F.col("c.c")[i], 6) + F.lit(0.0)).alias(name) for i, name in enumerate("xyz")]
+    return rows.select(*centre, "n", F.round("total", 4).alias("total"), F.coalesce("n_beside", F.lit(0)).alias("n_beside"), "n_parent")
+
+
+# The last vectors' codes move with the order of sums, so the result is rounded; SQL has no such loop.
+@query()
+def codebook_training(spark, d):
+    """Every vector with its codes in a two-level book that is trained on all of them, stopped after a step and started again."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    folder = _folder(spark, "codebook")
+    for steps in (1, 4):
+        book = codebook.train(rows, folder, k=16, m=8, steps=steps, decay=0.5, seed=1)
+    return codebook.coded(rows, book).select(F.col("id").alias("vec_id"), "macro", "micro", F.round("error", 6).alias("error"))
+
+
 
 @query(f"""{_UNIT.replace("WITH u", "WITH RECURSIVE u")}, e AS (SELECT src, dst FROM (SELECT src, dst, la, lb, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS k FROM c WHERE src <> dst) WHERE k <= 6 AND la = lb),
 b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(id, root) AS (SELECT id, id FROM u UNION SELECT b.dst, r.root FROM r JOIN b ON b.src = r.id), m AS (SELECT id, min(root) AS root FROM r GROUP BY id),
