@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from skyloom.functions.cells import cell_of
-from skyloom.operators import codebook, curriculum, kernels, relation, statistics, sweep, transducer
+from skyloom.operators import codebook, curriculum, kernels, relation, sketch, statistics, sweep, transducer
 from skyloom.operators.viewport import Viewport
 from skyloom.plans import registry
 from skyloom.plans.probes import _UNIT, _vectors, query
@@ -113,6 +113,25 @@ def sweep_moments(spark, d):
     return each.select("event_type", "n", "w", F.col("i").cast("long").alias("i"), F.round("total", 4).alias("total"))
 
 
+# ------------------------------------------------------------------------ sketches
+
+_SHARES = [0.5, 0.9, 0.95, 0.99, 0.999]
+
+
+@query("""WITH x AS (SELECT event_type, value::DOUBLE AS x FROM events WHERE value IS NOT NULL),
+b AS (SELECT event_type, CASE WHEN isnan(x) THEN 1073741825 WHEN isinf(x) THEN sign(x) * 1073741824 WHEN x = 0 THEN 0 ELSE sign(x) * (ceil(ln(abs(x)) / ln(1.01::DOUBLE / 0.99)) + 16777216) END AS bucket, count(*) AS n, min(x) AS low, max(x) AS high FROM x GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY event_type) AS total FROM b), q AS (SELECT *, CAST(floor(share * (total - 1)::DOUBLE) AS BIGINT) AS rank FROM r, (SELECT unnest([0.5::DOUBLE, 0.9, 0.95, 0.99, 0.999]) AS share))
+SELECT event_type, share, CAST(total AS BIGINT) AS n, round(greatest(least(sign(bucket) * exp((abs(bucket) - 16777216) * ln(1.01::DOUBLE / 0.99)) * 0.99, high), low), 6) AS estimate, low, high FROM q WHERE rank >= upto - n AND rank < upto""")
+def value_sketches(spark, d):
+    """High percentiles of the events' values by type from sketches kept by week, the first of which is written twice."""
+    rows = table(spark, d, "events").withColumn("week", F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 7))
+    kept = sketch.Percentiles(spark, _folder(spark, "sketches"), ["event_type"], "value")
+    for week in (0, 1, 2, 3, 0):
+        kept.add(rows.where(F.col("week") == week), f"week-{week}")
+    kept.add(rows.where("week < 0 or week > 3 or week is null"), "others")
+    return kept.result(_SHARES).withColumn("estimate", F.round("estimate", 6))
+
+
 # ----------------------------------------------------------------------------- streams
 
 

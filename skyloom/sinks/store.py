@@ -19,6 +19,8 @@ from skyloom.sources.tables import read_or_empty
 TIERS = ("tier1", "tier2", "tier3")
 #: The magic number of a wire frame of this layout ("SKYL", little-endian), and its version.
 MAGIC, VERSION = 0x4C594B53, 2
+#: The block of rows that are written without a block's name.
+UNNAMED = "unnamed"
 #: Rows of a file, at most.
 ROWS_PER_FILE = 4_000_000
 
@@ -36,17 +38,14 @@ class TieredStore:
     def present(self) -> set[str]:
         return {t for t in TIERS for fs, p in [self._fs(f"{self.root}/{t}")] if fs.exists(p)}
 
-    def write(self, tier: str, df: DataFrame, block: str | None = None) -> None:
-        """Adds rows to a tier. A named block replaces the block of that name and leaves all others, so blocks of a
-        century add up and a repeated run changes nothing; without a name the centuries written are replaced whole.
+    def write(self, tier: str, df: DataFrame, block: str = UNNAMED) -> None:
+        """Adds rows to a tier. A block replaces the block of that name in the centuries written and leaves all others, so blocks
+        of a century add up and a repeated run changes nothing; rows without a block's name are a block of their own.
 
         Rows are dealt by range, so that no century is one task, in files of bounded length, pages of ``layout.PAGE`` rows
         and the order of ``layout``, whose manifest lies beside the tier.
         """
-        out = df.withColumn("century", century_of(F.col("jd")))
-        parts = ["century"]
-        if block is not None:
-            out, parts = out.withColumn("block", F.lit(block)), ["century", "block"]
+        out, parts = df.withColumn("century", century_of(F.col("jd"))).withColumn("block", F.lit(block)), ["century", "block"]
         placed = layout.NEEDED <= set(out.columns)
         order = [c for c in ("h3", "jd") if c in out.columns]
         dealt = layout.arranged(out, "century") if placed else out.repartitionByRange("century", *order).sortWithinPartitions("century", *order)
@@ -54,9 +53,7 @@ class TieredStore:
         if placed:
             # Of the partitions just written alone; what a block replaces, its bricks replace.
             touched = [tuple(r) for r in out.select(*parts).distinct().collect()]
-            written = self.spark.read.parquet(f"{self.root}/{tier}").where(F.col("century").isin([t[0] for t in touched]))
-            if block is not None:
-                written = written.where(F.col("block") == block)
+            written = self.spark.read.parquet(f"{self.root}/{tier}").where(F.col("century").isin([t[0] for t in touched]) & (F.col("block") == block))
             self._put(layout.bricks(written, parts).repartitionByRange("century", "rarity_min").sortWithinPartitions("century", F.desc("rarity_min")), f"manifest/{tier}", parts)
         self.stamp()
 
@@ -79,7 +76,7 @@ class TieredStore:
         least = layout.least_rarity(self.spark.read.parquet(f"{self.root}/manifest/{tier}"), v, centuries(v))
         return replace(v, rarity_min=least)
 
-    def build(self, rows: DataFrame, rarity_min: float = 0.0, block: str | None = None) -> None:
+    def build(self, rows: DataFrame, rarity_min: float = 0.0, block: str = UNNAMED) -> None:
         """All tiers from tier-1 rows (jd, frame, node, lat, lng, h3, leaf, potential, shear, rarity).
 
         Buckets count from the first frame of the rows, so blocks begin at whole days. The daily tier keeps every row; the others only what reaches ``rarity_min``.

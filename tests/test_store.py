@@ -269,3 +269,9 @@ def test_blocks_of_a_century_add_up(spark, tmp_path):
     assert [s.read(t).count() for t in ("tier1", "tier2", "tier3")] == [15, 15, 15]
     s.build(rows[0].where("node = 0"), block="a")
     assert s.read("tier1").count() == 11
+    # Rows without a block's name are a block of their own.
+    for _ in range(2):
+        s.build(rows[0].withColumn("node", F.col("node") + 10))
+    assert [s.read(t).count() for t in ("tier1", "tier2", "tier3")] == [17, 17, 17]
+    s.build(rows[0].where("node < 0"))
+    assert s.read("tier1").count() == 17
