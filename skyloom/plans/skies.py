@@ -237,7 +237,7 @@ def _orbit(planet: str, source: str) -> str:
 _SEEN = ("Mercury", "Venus", "Mars", "Jupiter", "Saturn")
 
 
-def _planets_sql() -> str:
+def _planets_sql(days: str = _DAYS, more: str = "") -> str:
     steps, source = [], "d"
     for p in ("Earth", *_SEEN):
         steps.append(_orbit(p, source))
@@ -247,7 +247,7 @@ def _planets_sql() -> str:
     for b, (x, y, z) in at.items():
         lon = f"degrees(atan2({y}, {x}))"
         cols += [f"round({lon} - 360 * floor({lon} / 360), 6) AS {b}_lon", f"round(degrees(atan2({z}, sqrt(pow({x}, 2) + pow({y}, 2)))), 6) AS {b}_lat"]
-    return f"WITH d AS (SELECT jd, (jd - 2451545.0::DOUBLE) / 36525.0::DOUBLE AS t FROM ({_DAYS})), {', '.join(steps)} SELECT jd, {', '.join(cols)} FROM {source}"
+    return f"WITH d AS (SELECT jd, (jd - 2451545.0::DOUBLE) / 36525.0::DOUBLE AS t{more} FROM ({days})), {', '.join(steps)} SELECT jd{more}, {', '.join(cols)} FROM {source}"
 
 
 @query(_planets_sql())
@@ -257,6 +257,43 @@ def planet_longitudes(spark, d):
     return wide.select("jd", *[F.round(f"{b}_{c}", 6).alias(f"{b.lower()}_{c}") for b in names for c in ("lon", "lat")])
 
 
+# The noon of each day that has orders, and their number.
+_ORDER_DAYS = "SELECT date_diff('day', DATE '2000-01-01', CAST(o_orderdate AS DATE))::DOUBLE + 2451545 AS jd, count(*) AS n_orders FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1"
+
+
+def _order_days(spark, d):
+    """The orders meet before the sky is computed, so that is done once a day however many orders there are."""
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("2000-01-01").cast("date"))
+    return table(spark, d, "orders").where("o_orderdate is not null").groupBy((days + F.lit(2451545.0)).alias("jd")).agg(F.count("*").alias("n_orders"))
+
+
+@query(_planets_sql(_ORDER_DAYS, ", n_orders"))
+def order_skies(spark, d):
+    """Where the sun and the planets stood on each day of orders."""
+    wide = ephemeris.longitudes(_order_days(spark, d).select("jd")).join(_order_days(spark, d), "jd")
+    names = ("Sun", *_SEEN)
+    return wide.select("jd", "n_orders", *[F.round(f"{b}_{c}", 6).alias(f"{b.lower()}_{c}") for b in names for c in ("lon", "lat")])
+
+
+@query(f"""WITH d AS ({_ORDER_DAYS}), m AS (SELECT jd, n_orders, {_MOON} AS l, {_series(ephemeris.MOON_LATITUDE, _ARG)} AS b FROM d), x AS (SELECT *, l - 360 * floor(l / 360) AS w FROM m)
+SELECT CAST(floor(w / 30) AS INT) AS moon_sign, CAST(sum(n_orders) AS BIGINT) AS n_orders, count(*) AS n_days, round(max(b), 6) AS northmost FROM x GROUP BY 1""")
+def order_moon_signs(spark, d):
+    """Orders by the sign that the moon was in."""
+    wide = ephemeris.longitudes(_order_days(spark, d).select("jd")).join(_order_days(spark, d), "jd")
+    sign = F.floor(F.col("Moon_lon") / 30).cast("int")
+    return wide.groupBy(sign.alias("moon_sign")).agg(F.sum("n_orders").alias("n_orders"), F.count("*").alias("n_days"), F.round(F.max("Moon_lat"), 6).alias("northmost"))
+
+
+@query(f"""WITH d AS (SELECT jd, n_orders, (jd - 2451545.0) / 36525.0 AS t FROM ({_ORDER_DAYS})), n AS (SELECT jd, n_orders, 125.04452::DOUBLE - 0.05295377::DOUBLE * (jd - 2451545) AS n, 23.85709235::DOUBLE + (5029.0966::DOUBLE * t + 1.11113::DOUBLE * t * t - 0.000006::DOUBLE * t * t * t) / 3600 AS a FROM d),
+l AS (SELECT n_orders, n - 360 * floor(n / 360) - a AS l FROM n), r AS (SELECT n_orders, l - 360 * floor(l / 360) AS l FROM l) SELECT CAST(floor(l / (360.0::DOUBLE / 27)) AS INT) AS rahu_nak, CAST(sum(n_orders) AS BIGINT) AS n_orders, count(*) AS n_days FROM r GROUP BY 1""")
+def order_mansions(spark, d):
+    """Orders by the lunar mansion of the moon's node."""
+    days = _order_days(spark, d)
+    first, last = days.agg(F.min("jd"), F.max("jd")).first()
+    stored = positions.positions(spark, *((first, last) if first else (0, -1))).select("jd", "rahu_nak")
+    return days.join(stored, "jd").groupBy(F.col("rahu_nak").cast("int").alias("rahu_nak")).agg(F.sum("n_orders").alias("n_orders"), F.count("*").alias("n_days"))
+
+
 @query(f"""WITH d AS ({_DAYS}), n AS (SELECT jd, 125.04452::DOUBLE - 0.05295377::DOUBLE * (jd - 2451545) AS n, 23.85709235::DOUBLE + (5029.0966::DOUBLE * {_T} + 1.11113::DOUBLE * {_T} * {_T} - 0.000006::DOUBLE * {_T} * {_T} * {_T}) / 3600 AS a FROM d),
 l AS (SELECT jd, n - 360 * floor(n / 360) - a AS l FROM n), r AS (SELECT jd, l - 360 * floor(l / 360) AS l FROM l)
 SELECT jd, CAST(year(epoch_ms(CAST((jd - 2440587.5) * 86400000 AS BIGINT))) AS INT) AS year, CAST(floor(l / 30) AS INT) AS rahu_sign, CAST(floor(l / (360.0::DOUBLE / 27)) AS INT) AS rahu_nak,
