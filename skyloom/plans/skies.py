@@ -290,7 +290,7 @@ def order_mansions(spark, d):
     """Orders by the lunar mansion of the moon's node."""
     days = _order_days(spark, d)
     first, last = days.agg(F.min("jd"), F.max("jd")).first()
-    stored = positions.positions(spark, *((first, last) if first else (0, -1))).select("jd", "rahu_nak")
+    stored = positions.positions(spark, *((0, -1) if first is None else (first, last))).select("jd", "rahu_nak")
     return days.join(stored, "jd").groupBy(F.col("rahu_nak").cast("int").alias("rahu_nak")).agg(F.sum("n_orders").alias("n_orders"), F.count("*").alias("n_days"))
 
 
