@@ -200,6 +200,26 @@ def within(df: DataFrame, points: DataFrame, most: float, distance) -> DataFrame
     return far.withColumns({"point": F.when(F.col("_d.d") < most, F.col("_d.point")), "distance": F.when(F.col("_d.d") < most, F.col("_d.d"))}).drop("_p", "_d")
 
 
+def highest_within(asked: DataFrame, rows: DataFrame, reach: float) -> DataFrame:
+    """(at, value, id): for each distinct ``at`` of asked (at) the greatest value of rows (value, id) in at - reach to at + reach, with its least id.
+
+    Equal values are one row first. Then each block of values, as wide as the whole band, is a window in which the last value
+    before at + reach is taken; a block's greatest value goes along into the next two, where a band that ends in them may begin.
+    Rows grow with the two tables, never with the pairs that a band holds.
+    """
+    block = lambda c: F.floor(c / (2.0 * reach))
+    best = rows.where("value is not null").groupBy("value").agg(F.min("id").alias("id")).withColumn("block", block(F.col("value")))
+    # Blocks beyond the range of a long are one block, whose neighbours no band reaches.
+    last = best.groupBy("block").agg(F.max(F.struct("value", "id")).alias("top")).where(F.abs("block") < 1 << 62)
+    carried = last.select("top.value", "top.id", F.explode(F.array(F.col("block") + 1, F.col("block") + 2)).alias("block"))
+    found = best.unionByName(carried).select("block", F.col("value").alias("end"), F.lit(0).alias("kind"), F.struct("value", "id").alias("found"), F.lit(None).cast("double").alias("at"))
+    end = F.col("at") + reach
+    wanted = asked.where("at is not null").select("at").distinct().select(block(end).alias("block"), end.alias("end"), F.lit(1).alias("kind"), F.lit(None).cast(found.schema["found"].dataType).alias("found"), "at")
+    along = Window.partitionBy("block").orderBy("end", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = found.unionByName(wanted).withColumn("found", F.last("found", ignorenulls=True).over(along)).where("kind = 1")
+    return met.select("at", "found.value", "found.id").where(F.col("value") >= F.col("at") - reach)
+
+
 def anchored(df: DataFrame, anchor: DataFrame) -> DataFrame:
     """(id, norm, cosine) of each vector against the one anchor."""
     one = F.broadcast(anchor.select(F.col("vec").alias("_a")).limit(1))

@@ -480,12 +480,10 @@ def clusters(spark, d):
 
 @query("""SELECT p_partkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS o_orderkey FROM part JOIN orders ON o_totalprice BETWEEN p_retailprice * 20 - 500 AND p_retailprice * 20 + 500 GROUP BY p_partkey""")
 def band_lookup(spark, d):
-    p = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 20).alias("x"))
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    # A band meets the rows of its own and the neighbouring buckets, as wide as the band.
-    near = p.withColumn("k", F.explode(F.sequence(F.floor((F.col("x") - 500) / 1000), F.floor((F.col("x") + 500) / 1000))))
-    hits = near.join(o.withColumn("k", F.floor(F.col("o_totalprice") / 1000)), "k").where(F.col("o_totalprice").between(F.col("x") - 500, F.col("x") + 500))
-    return hits.groupBy("p_partkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("o_orderkey"))
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 20).alias("at"))
+    o = table(spark, d, "orders").select(F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("id"))
+    hits = p.join(relation.highest_within(p, o, 500.0), "at")
+    return hits.groupBy("p_partkey").agg(F.max_by("id", F.struct("value", -F.col("id"))).alias("o_orderkey"))
 
 
 @query("""SELECT u.user_id, n, events_value, orders_n FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT user_id, count(*) AS n, round(sum(value), 4) AS events_value FROM events WHERE event_type = 'purchase' GROUP BY user_id) a USING (user_id)

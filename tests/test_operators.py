@@ -281,6 +281,33 @@ def test_band_lookup_of_every_part(spark, tmp_path):
     assert got == want and max(got) > 50
 
 
+def test_band_lookup_counts_no_pairs(spark, tmp_path):
+    """All bands hold all orders: rows between the steps stay few, equal keys and odd prices included."""
+    from skyloom.plans import probes
+
+    parts = [(i, 1000 + i / 100) for i in range(300)] + [(7, 990.0), (900, None), (901, float("nan")), (902, float("inf")), (903, -1000.0), (None, 1000.0)]
+    orders = [(i, 20000 + i % 200.0) for i in range(600)] + [(700, None), (701, float("nan")), (702, float("inf")), (703, -20500.0), (704, -19500.0), (705, -19499.0)]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = probes.QUERIES["band_lookup"](spark, str(tmp_path))
+    want = {i: 199 for i in [*range(300), None]} | {901: 701, 902: 702, 903: 704}
+    assert {r.p_partkey: r.o_orderkey for r in got.collect()} == want and got.count() == len(want)
+    got.collect()
+    plan, made = got._jdf.queryExecution().executedPlan(), []
+
+    def visit(node):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return visit(node.executedPlan())
+        if node.metrics().contains("numOutputRows"):
+            made.append(node.metrics().apply("numOutputRows").value())
+        below = [node.plan()] if hasattr(node, "plan") and node.getClass().getSimpleName().endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        for child in below:
+            visit(child)
+
+    visit(plan)
+    assert made and max(made) < 3 * (len(parts) + len(orders))
+
+
 @pytest.mark.parametrize("tile", [3, 7, 2048])
 @pytest.mark.parametrize("largest", [True, False])
 def test_tiled_neighbours_against_all_pairs(spark, monkeypatch, tile, largest):
