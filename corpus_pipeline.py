@@ -30,7 +30,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates, by the exact join on shingle sets beside the SimHash operator: of each group the smallest doc_id stays. Texts without words are copies of each other; rows without an id stay."""
+    """Near duplicates: SimHash groups, within which shingle sets of similarity 4/5 link: of what links the smallest doc_id stays. Texts without words are copies of each other; rows without an id stay."""
     return simhash.drop_near_duplicates(docs)
 
 

@@ -36,6 +36,8 @@ SHINGLE, ERRORS, SEED = 4, 4, 42
 NEAR_SHINGLE = 5
 #: Cells that count how common shingles are, the chunks they travel in, and the size up to which a group's pairs are all proposed at once.
 CELLS, CHUNKS, SMALL = 1 << 20, 64, 32
+#: Shingles of a group of fingerprints that is checked in one place.
+GROUP_SHINGLES = 1 << 23
 _U = np.uint64
 
 
@@ -279,8 +281,14 @@ def _parity(hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sets of a slice of texts; with a column ``group``, sets of different groups have no shingle in common."""
+    group = tk.mix(batch.column("group").to_numpy().view(np.uint64)) if "group" in batch.schema.names else None
     for a, b, w in tk.batches_of_words(batch, "text", lower=True):
-        yield a, b, *shingle_sets(w, shingle)
+        h, owner, n = shingle_sets(w, shingle)
+        if group is not None:
+            h = tk.mix(h ^ group[a:b][owner])
+            h = h[np.lexsort((h, owner))]
+        yield a, b, h, owner, n
 
 
 def _signed(shingle: int):
@@ -503,8 +511,8 @@ def _across(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(g.sign[np.array(a, np.int64)]), pa.array(g.sign[np.array(b, np.int64)])], names=["a", "b"])
 
 
-def _own_sets(shingle: int):
-    """(sign, set) of the rows whose text has the sign they are looked up for: an id may have several texts."""
+def _own_sets(shingle: int, grouped: bool = False):
+    """(sign, set) of the rows whose text has the sign they are looked up for: an id may have several texts. With ``grouped``, the group too."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -513,7 +521,10 @@ def _own_sets(shingle: int):
                 end = np.cumsum(n)
                 own = np.flatnonzero(_signs(h, n) == want[a:b])
                 sets = [h[end[i] - n[i] : end[i]].tobytes() for i in own]
-                yield pa.RecordBatch.from_arrays([pa.array(want[a:b][own]), pa.array(sets, pa.binary())], names=["sign", "shingles"])
+                columns = {"sign": pa.array(want[a:b][own]), "shingles": pa.array(sets, pa.binary())}
+                if grouped:
+                    columns["group"] = pa.array(batch.column("group").to_numpy()[a:b][own])
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -534,7 +545,7 @@ def _proven(prints: DataFrame, labelled: DataFrame) -> DataFrame:
     return prints.join(labelled, "sign").groupBy("id").agg(F.min(own).alias("component"))
 
 
-def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id", text: str = "text", group: str | None = None) -> DataFrame:
     """(id, component) of rows linked by sets of shingles of similarity 4/5 at least: the smallest id that links reach.
 
     Exact: sets so alike share one of their first shingles in any common order
@@ -546,11 +557,12 @@ def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id"
 
     A set is known by a 64-bit hash (its sign), and equal sets by a second, independent one as well: a row whose second
     hash is not that of the first row with its sign is another text and stays by itself. So unrelated texts are
-    taken for copies only if all 128 bits agree.
+    taken for copies only if all 128 bits agree. With a column ``group`` of longs only rows of one group are compared.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    base = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).where("id is not null")
+    apart = [docs[group].alias("group")] if group else []
+    base = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"), *apart).where("id is not null")
     signed = stored(base.mapInArrow(tidy(_signed(shingle)), "id long, sign long, proof long, chunk int, counts binary"), "signed")
     counts = exchange(signed.where("chunk is not null").select((F.col("chunk") % n).alias("bucket"), "chunk", "counts"))
     weight = np.zeros((CHUNKS, CELLS // CHUNKS), np.int64)
@@ -564,7 +576,7 @@ def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id"
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         places = wanted.distinct().join(nodes, "sign").select("sign", "low")
-        mine = base.join(places, base["id"] == places["low"]).select("sign", "text").mapInArrow(tidy(_own_sets(shingle)), "sign long, shingles binary")
+        mine = base.join(places, base["id"] == places["low"]).select("sign", "text", *(["group"] if group else [])).mapInArrow(tidy(_own_sets(shingle)), "sign long, shingles binary")
         return stored(mine.dropDuplicates(["sign"]), "sets")
 
     pairs = stored(found.where("a is not null").select("a", "b").distinct(), "pairs")
@@ -599,9 +611,80 @@ def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id"
     return _proven(prints, labelled)
 
 
+def _grouped_signs(shingle: int):
+    """(id, group, sign, proof, n) of each row: the two hashes of its set, and the set's size."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for a, b, h, _, n in _sets(batch, shingle):
+                own = batch.slice(a, b - a)
+                made = [pa.array(x) for x in (_signs(h, n), _signs(h, n, PROOF), n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([own.column("id"), own.column("group"), *made], names=["id", "group", "sign", "proof", "n"])
+
+    return run
+
+
+def _linked_sets(table: pa.Table) -> pa.Table:
+    """Links of similarity 4/5 at least between the sets of one group: a forest, so fewer rows than sets."""
+    sign = table.column("sign").to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
+    n = np.array([len(x) for x in sets], np.int64)
+    bits = _parity(np.concatenate(sets), np.repeat(np.arange(len(n)), n), len(n))
+    forest, a, b = Forest(len(n)), [], []
+    for x in range(len(n)):
+        # Pairs with earlier sets are decided.
+        other = x + 1 + np.flatnonzero(forest.label[x + 1 :] != forest.label[x])
+        total = n[x] + n[other]
+        other = other[(9 * np.abs(n[other] - n[x]) <= total) & (9 * np.bitwise_count(bits[other] ^ bits[x]).sum(1, dtype=np.int64) <= total)]
+        for i in range(0, len(other), 1024):
+            part = other[i : i + 1024]
+            end = np.cumsum(n[part])
+            shared = np.add.reduceat(tk.member(np.concatenate([sets[y] for y in part]), sets[x]), end - n[part], dtype=np.int64)
+            for y in part[9 * shared >= 4 * (n[part] + n[x])]:
+                if forest.label[y] != forest.label[x]:
+                    forest.link(np.array([x]), np.array([y]))
+                    a.append(x)
+                    b.append(y)
+    return pa.table({"a": sign[np.array(a, np.int64)], "b": sign[np.array(b, np.int64)]})
+
+
+def checked_groups(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id", text: str = "text", errors: int = ERRORS) -> DataFrame:
+    """(id, component) of rows that fingerprints group and whose shingle sets then prove alike; rows that stand alone are left out.
+
+    ``near_groups`` links fingerprints. Within one of its groups, texts link whose sets of shingles have similarity 4/5 at least;
+    component is the smallest id that these links reach. A group is decided where its distinct sets lie and gives a forest, never
+    pairs. A group of more than ``GROUP_SHINGLES`` shingles is left to ``near_copies``, which finds the same links without bringing it to one task.
+    """
+    prints = stored(fingerprints(docs, id=id, text=text).where("id is not null"), "prints")
+    groups = stored(near_groups(prints, errors), "groups")
+    many = groups.groupBy("component").count().where("count > 1").drop("count")
+    member = groups.join(many, "component").select(F.col("id").alias("_id"), F.col("component").alias("group")).distinct()
+    base = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text"))
+    base = stored(base.join(member, base["id"] == member["_id"]).select("id", "text", "group"), "candidates")
+    signed = stored(base.mapInArrow(tidy(_grouped_signs(shingle)), "id long, group long, sign long, proof long, n long"), "signed")
+    first = F.min(F.struct("id", "proof"))
+    nodes = stored(signed.groupBy("sign").agg(first["id"].alias("low"), first["proof"].alias("proven"), F.min("group").alias("group"), F.max("n").alias("n")), "nodes")
+    sizes = stored(nodes.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1"), "sizes")
+    large = sizes.where(F.col("shingles") > GROUP_SHINGLES).select("group")
+    places = nodes.join(sizes.where(F.col("shingles") <= GROUP_SHINGLES).select("group"), "group").select(F.col("group").alias("_group"), "low", "sign")
+    mine = base.join(places, (base["id"] == places["low"]) & (base["group"] == places["_group"])).select("sign", "text", "group")
+    sets = mine.mapInArrow(tidy(_own_sets(shingle, True)), "sign long, shingles binary, group long").dropDuplicates(["sign"])
+    links = stored(sets.groupBy("group").applyInArrow(_linked_sets, "a long, b long"), "links")
+    root = components(links)
+    joined = nodes.join(root, nodes["sign"] == root["node"], "left").select("sign", "low", "proven", F.coalesce("root", "sign").alias("root"))
+    lowest = joined.groupBy("root").agg(F.min("low").alias("component"))
+    found = _proven(signed.select("id", "sign", "proof"), joined.join(lowest, "root").select("sign", "proven", "component"))
+    if not large.isEmpty():
+        found = found.union(near_copies(base.join(large, "group"), shingle, "id", "text", "group")).groupBy("id").agg(F.min("component").alias("component"))
+    found = stored(found, "checked")
+    for done in (prints, groups, base, signed, nodes, sizes, links):
+        discard(done)
+    return found
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without those that are near copies of a smaller id; of rows that share an id all stay or go together."""
-    gone = near_copies(docs, shingle, id, text).where("component < id").select(F.col("id").alias("_gone"))
+    """``docs`` without those that are checked near copies of a smaller id; of rows that share an id all stay or go together."""
+    gone = checked_groups(docs, shingle, id, text).where("component < id").select(F.col("id").alias("_gone"))
     return docs.join(gone, docs[id] == gone["_gone"], "left_anti")
 
 

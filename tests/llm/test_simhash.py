@@ -146,3 +146,45 @@ def test_second_hash_of_a_set_is_another():
     one, two = sh._signs(hashes, n), sh._signs(hashes, n, sh.PROOF)
     assert len(set(one)) == len(set(two)) == 1000 and not set(one) & set(two)
     assert sh._signs(hashes[:0], np.array([0]), sh.PROOF).tolist() == [0]
+
+
+@pytest.mark.parametrize("most", [sh.GROUP_SHINGLES, 3000])
+def test_checked_groups_by_fingerprints_and_sets(spark, monkeypatch, most):
+    """Only what fingerprints group is compared, and only sets of similarity 4/5 link there; large groups give the same."""
+    monkeypatch.setattr(sh, "GROUP_SHINGLES", most)
+    rng, texts = np.random.default_rng(8), []
+    for i in range(30):
+        w = prose(700 + i, 120, 4000).split()
+        for k in (0, 1, 1, 3):
+            e = list(w)
+            for at in rng.choice(120, k, replace=False):
+                e[at] = f"new{at}x{len(texts)}"
+            texts.append(" ".join(e))
+    heart = prose(3, 100, 4000).split()
+    for i in range(60):
+        e = list(heart)
+        e[i] = f"other{i}"
+        texts.append(" ".join(e))
+    # Fingerprints are near, as shingles repeat, but few distinct ones are common.
+    line = prose(4, 8, 4000)
+    texts += [" ".join([line] * 40) + " " + prose(900 + i, 12, 9000) for i in range(6)]
+    texts += [texts[0], texts[1], None, "", " "]
+    sets, fp = [shingles(t) for t in texts], np.array([brute_print(t) for t in texts], np.uint64)
+    group = closure(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
+    alike = np.array([[9 * len(a & b) >= 4 * (len(a) + len(b)) for b in sets] for a in sets])
+    want = closure(alike & (group[:, None] == group[None, :]))
+    got = {r.id: r.component for r in sh.checked_groups(docs(spark, texts)).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == {i: int(x) for i, x in enumerate(want)}
+    # The example has both: groups that the check parts, and like sets that fingerprints do not group.
+    assert (want != group).any() and (closure(alike) != want).any()
+    left = {r.doc_id for r in sh.drop_near_duplicates(docs(spark, texts)).collect()}
+    assert left == {i for i, x in enumerate(want) if i == x}
+
+
+def test_links_of_a_group_are_a_forest():
+    rng = np.random.default_rng(2)
+    heart = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.sort(np.concatenate([heart[10:], rng.integers(0, 2**63, 5).astype(np.uint64)])) for _ in range(200)] + [heart[:0], heart[:9]]
+    table = sh.pa.table({"sign": np.arange(len(sets)), "shingles": sh.pa.array([np.sort(s).tobytes() for s in sets], sh.pa.binary())})
+    links = sh._linked_sets(table)
+    assert links.num_rows == 199 and max(links.column("b").to_pylist()) == 199
