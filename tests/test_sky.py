@@ -178,3 +178,32 @@ def test_news_and_subsolar(rows):
 def test_velocity_is_dominated_by_the_moon(spark):
     rows = global_state(spark.createDataFrame([(2451545.0 + i / 24,) for i in range(3)], "jd double"))
     assert all(0.005 < r.velocity < 0.02 for r in weather.velocity(rows).collect())
+
+
+def test_skies_in_place_equal_pairs(spark):
+    """What is made from the array of an instant is what its exploded pairs give, nulls included, and moves no rows."""
+    rng = np.random.default_rng(6)
+    lons = [[float(x) for x in rng.uniform(0, 2 * math.pi, 10)] for _ in range(60)]
+    lons[3][4], lons[5], lons[7][1:] = None, [None] * 10, [None] * 9
+    sky = spark.createDataFrame(list(enumerate(lons)), "k long, lons array<double>")
+    pair = weather.pairs(sky, "k")
+    rows = lambda df, *by: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.orderBy("k", *by).collect()]
+    assert rows(weather.aspect_field(sky, "k")) == rows(weather.aspect_field(pair, "k"))
+    assert rows(weather.activation(sky, "k"), "body_id") == rows(weather.activation(pair, "k"), "body_id")
+    assert rows(weather.band_energies(sky, "k"), "band") == rows(weather.band_energies(weather.activation(pair, "k"), "k"), "band")
+    assert rows(weather.dominant_aspects(sky, "k"), "rank") == rows(weather.dominant_aspects(pair, "k"), "rank")
+    long = sky.selectExpr("k", "posexplode(lons) AS (body_id, lon)")
+    assert rows(weather.signatures(sky, "k")) == rows(weather.signatures(long, "k"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for made in (weather.aspect_field, weather.activation, weather.band_energies, weather.dominant_aspects, weather.signatures):
+        assert "Exchange" not in plan(made(sky, "k"))
+
+
+def test_shear_across_blocks_of_the_axis(spark, monkeypatch):
+    monkeypatch.setattr(weather, "AXIS_BLOCK", 4)
+    at = [-9, -8, -5, -4, -3, -1, 0, 1, 3, 4, 5, 7, 8, 12]
+    rows = spark.createDataFrame([(i, float(i * i % 17), 0.0, None if i == 4 else 0.0) for i in at], "k long, resonance double, tension double, concentration double")
+    made = weather.temporal_shear(rows, 1.0, "k")
+    want = {i: abs((i + 1) ** 2 % 17 - (i - 1) ** 2 % 17) / 2 if {i - 1, i + 1} <= set(at) and 4 not in (i - 1, i + 1) else None for i in at}
+    assert {r.k: r.shear for r in made.collect()} == want
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
