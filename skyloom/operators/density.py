@@ -29,6 +29,8 @@ from skyloom.session import shared_folder
 
 #: Points of a block, on average, and edges of a segment.
 BLOCK, SEGMENT = 1536, 1 << 18
+#: Rows of one matrix product, and pairs measured at once.
+TILE, MEASURED = 256, 1 << 14
 #: The nearest points that make the default core distance, at most.
 NEIGHBOURS = 15
 #: Reaches below this count as this, so that copies have a density.
@@ -47,27 +49,90 @@ def squares(xt: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slack(lengths: np.ndarray, size: int) -> np.ndarray:
+    """Twice this, for two squared lengths, is more than matrix products and ``squares`` can differ by for vectors of ``size`` numbers; infinite where they may overflow."""
+    out = 8 * (size + 8) * np.finfo(float).eps * lengths + 1e-300
+    out[~(lengths < 1e300)] = np.inf
+    return out
+
+
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``squares`` of rows, bit for bit: sums go from dimension to dimension."""
+    apart = x - y
+    apart *= apart
+    return np.cumsum(apart, axis=1)[:, -1]
+
+
 def least_distances(xt: np.ndarray, yt: np.ndarray, k: int) -> np.ndarray:
-    """(columns of xt, min(k, columns of yt)): the least distances to the columns of ``yt``, in order."""
+    """(columns of xt, min(k, columns of yt)): the least distances to the columns of ``yt``, in order.
+
+    Matrix products tell which columns can be among them; those are measured by ``squares``.
+    """
     k = min(k, yt.shape[1])
-    return np.sqrt([np.sort(np.partition(squares(yt, x), k - 1)[:k]) for x in xt.T]).reshape(-1, k)
+    if not k or not xt.shape[0]:
+        return np.zeros((xt.shape[1], k))
+    x, y = np.ascontiguousarray(xt.T), np.ascontiguousarray(yt.T)
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    sx, sy = _slack(xx, x.shape[1]), _slack(yy, x.shape[1])
+    out = np.empty((len(x), k))
+    for at in range(0, len(x), TILE):
+        own = slice(at, at + TILE)
+        with np.errstate(over="ignore", invalid="ignore"):
+            far = x[own] @ (-2.0 * yt)
+            far += xx[own, None]
+            far += yy
+            # The k-th of the upper bounds is one that the k-th distance does not pass.
+            reach = far + sy
+            reach = np.partition(reach, k - 1, axis=1)[:, k - 1] + 2 * sx[own]
+            far -= sy
+            i, j = np.nonzero(~(far > reach[:, None]))
+        if not np.isfinite(reach).all():
+            out[own] = [np.sort(np.partition(squares(yt, v), k - 1)[:k]) for v in x[own]]
+            continue
+        d = np.concatenate([_exact(x[own][i[s : s + MEASURED]], y[j[s : s + MEASURED]]) for s in range(0, len(i), MEASURED)])
+        order = np.lexsort((d, i))
+        out[own] = d[order][np.searchsorted(i, np.arange(len(reach)))[:, None] + np.arange(k)]
+    return np.sqrt(out)
 
 
 def spanning_tree(xt: np.ndarray, core: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, reach) of the edges of the least spanning tree, a < b; equal reaches go by (a, b), so all blocks agree on one tree."""
+    """(a, b, reach) of the edges of the least spanning tree, a < b; equal reaches go by (a, b), so all blocks agree on one tree.
+
+    One matrix product gives a lower bound of every distance; only what may then come nearer is measured by ``squares``.
+    """
     n = len(ids)
     out, reach = np.zeros((max(n - 1, 0), 2), np.int64), np.zeros(max(n - 1, 0))
     far, low, high = np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).max)
-    away = np.ones(n, bool)
-    at = 0
+    away, at = np.ones(n, bool), 0
+    x = np.ascontiguousarray(xt.T)
+    lengths = (x * x).sum(1)
+    slack = _slack(lengths, x.shape[1])
+    least = np.empty((n, n))
+    for s in range(0, n, TILE):
+        own = slice(s, s + TILE)
+        with np.errstate(over="ignore", invalid="ignore"):
+            part = np.matmul(x[own] * -2.0, xt, out=least[own])
+            part += (lengths - slack)[own, None]
+            part += lengths - slack
+            np.sqrt(np.fmax(part, 0.0, out=part), out=part)
+    # ``left`` is ``far`` without the points that are in the tree.
+    left, both = far.copy(), np.empty(n)
     for step in range(n - 1):
-        away[at] = False
-        w = np.maximum(np.maximum(np.sqrt(squares(xt, xt[:, at])), core), core[at])
-        a, b = np.minimum(ids, ids[at]), np.maximum(ids, ids[at])
-        nearer = away & ((w < far) | ((w == far) & ((a < low) | ((a == low) & (b < high)))))
-        far[nearer], low[nearer], high[nearer] = w[nearer], a[nearer], b[nearer]
-        left = np.flatnonzero(away)
-        ties = left[far[left] == far[left].min()]
+        away[at], left[at] = False, np.inf
+        np.maximum(core, core[at], out=both)
+        np.maximum(both, least[at], out=both)
+        near = np.flatnonzero((both <= far) & away)
+        if len(near):
+            w = np.sqrt(np.concatenate([_exact(x[near[s : s + MEASURED]], x[at]) for s in range(0, len(near), MEASURED)]))
+            w = np.maximum(np.maximum(w, core[near]), core[at])
+            a, b = np.minimum(ids[near], ids[at]), np.maximum(ids[near], ids[at])
+            old = far[near]
+            nearer = (w < old) | ((w == old) & ((a < low[near]) | ((a == low[near]) & (b < high[near]))))
+            near = near[nearer]
+            far[near], low[near], high[near] = w[nearer], a[nearer], b[nearer]
+            left[near] = w[nearer]
+        nearest = left.min()
+        ties = np.flatnonzero(left == nearest) if nearest < np.inf else np.flatnonzero(away)
         at = ties[np.lexsort((high[ties], low[ties]))[0]] if len(ties) > 1 else ties[0]
         out[step], reach[step] = (low[at], high[at]), far[at]
     return out[:, 0], out[:, 1], reach
