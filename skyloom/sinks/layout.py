@@ -12,60 +12,62 @@ That bound, with those of time and place, is what the scan gets, and pages outsi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from skyloom.operators.viewport import Viewport
 
 PAGE, BRICK = 128, 32
+#: Bands above the lowest, at most.
+BANDS = 40
 #: Steps of the key: two bits of time and one of place each, latitude and longitude in turn.
 STEPS = 10
 NEEDED = {"jd", "lat", "lng", "rarity"}
 _BRICK = "brick"
 
 
-def band_bounds(rows: DataFrame, n: int) -> list[float]:
+def measured(rows: DataFrame, partition: str) -> Row:
+    """What the order needs to know of ``rows``, in one pass: a, b (first and last jd), n, parts (values of ``partition``, which are few), q (rarities at the shares of all ``BANDS``)."""
+    shares = [1 - 0.5**i for i in range(1, BANDS + 1)]
+    quantiles = F.percentile_approx(F.col("rarity").cast("double"), shares, 10_000)
+    return rows.agg(F.min("jd").alias("a"), F.max("jd").alias("b"), F.count("*").alias("n"), F.collect_set(partition).alias("parts"), quantiles.alias("q")).first()
+
+
+def band_bounds(seen: Row) -> list[float]:
     """Least rarities of the bands but the lowest, in rising order: the quantiles 1/2, 3/4, 7/8 and so on, while a band has more than ``PAGE`` rows."""
-    shares, left = [], 0.5
-    while n * left > PAGE:
-        shares.append(1 - left)
-        left /= 2
-    found = rows.agg(F.percentile_approx(F.col("rarity").cast("double"), shares, 10_000).alias("q")).first()["q"] if shares else []
-    return sorted(set(found or []))
+    used = sum(seen["n"] * 0.5**i > PAGE for i in range(1, BANDS + 1))
+    return sorted(set((seen["q"] or [])[:used]))
 
 
 def _bit(value: Column, at: int) -> Column:
     return F.shiftright(value, at).bitwiseAND(1)
 
 
-def key(first: float, last: float) -> Column:
-    """Time between ``first`` and ``last`` and place, interleaved."""
+def keyed(rows: DataFrame, first: float, last: float) -> DataFrame:
+    """Adds ``_key``: time between ``first`` and ``last`` and place, interleaved. The three numbers are columns first, so that the generated code stays short."""
     steps = 1 << (2 * STEPS)
     time = F.least(F.floor((F.col("jd") - first) / max(last - first, 1e-9) * steps), F.lit(steps - 1)).cast("long")
     half = 1 << (STEPS // 2)
     lat = F.least(F.floor((F.col("lat") + 90) / 180 * half), F.lit(half - 1)).cast("long")
     lng = F.pmod(F.floor((F.col("lng") + 180) / 360 * half), F.lit(half)).cast("long")
     out = F.lit(0).cast("long")
-    for i in range(STEPS - 1, -1, -1):
-        place = _bit(lat if i % 2 else lng, i // 2)
-        out = out * 8 + _bit(time, 2 * i + 1) * 4 + _bit(time, 2 * i) * 2 + place
-    return out
-
-
-def arranged(rows: DataFrame, partition: str) -> DataFrame:
-    """``rows`` dealt by range of band and key, in order, each with the number of its brick."""
-    ends = rows.agg(F.min("jd").alias("a"), F.max("jd").alias("b"), F.count("*").alias("n")).first()
-    bounds = band_bounds(rows, ends["n"])
-    band = sum((F.when(F.col("rarity") >= b, 1).otherwise(0) for b in bounds), F.lit(0))
-    keyed = rows.withColumns({"_band": -band, "_key": key(ends["a"] or 0.0, ends["b"] or 0.0)})
+    for i in range(STEPS):
+        place = F.shiftleft(_bit(F.col("_lat" if i % 2 else "_lng"), i // 2), 3 * i)
+        out = out.bitwiseOR(F.shiftleft(F.shiftright("_time", 2 * i).bitwiseAND(3), 3 * i + 1)).bitwiseOR(place)
+    return rows.withColumns({"_time": time, "_lat": lat, "_lng": lng}).withColumn("_key", out).drop("_time", "_lat", "_lng")
+
+
+def arranged(rows: DataFrame, partition: str, seen: Row) -> DataFrame:
+    """``rows``, of which ``measured`` tells ``seen``, dealt by range of band and key, in order, each with the number of its brick."""
+    bounds = band_bounds(seen)
+    band = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: F.col("rarity") >= b)) if bounds else F.lit(0)
     order = [partition, "_band", "_key", "jd"]
-    dealt = keyed.repartitionByRange(*order[:3]).sortWithinPartitions(*order)
+    dealt = keyed(rows, seen["a"] or 0.0, seen["b"] or 0.0).withColumn("_band", -band)
+    dealt = dealt.repartitionByRange(*order[:3]).sortWithinPartitions(*order)
     # Band i from below has half of what is left; the last one has all of it.
-    brick = F.lit(0).cast("long")
-    for i in range(len(bounds) + 1):
-        size = ends["n"] / 2 ** min(i + 1, len(bounds) or 1)
-        bits = min(max(int(size // BRICK).bit_length(), 0), 3 * STEPS)
-        brick = F.when(F.col("_band") == -i, F.lit(i << 3 * STEPS) + F.shiftright("_key", 3 * STEPS - bits)).otherwise(brick)
+    sizes = [seen["n"] / 2 ** min(i + 1, len(bounds) or 1) for i in range(len(bounds) + 1)]
+    cut = F.array(*[F.lit(3 * STEPS - min(int(size // BRICK).bit_length(), 3 * STEPS)) for size in sizes])
+    brick = F.call_function("shiftleft", -F.col("_band").cast("long"), F.lit(3 * STEPS)) + F.call_function("shiftright", F.col("_key"), cut[-F.col("_band")])
     return dealt.withColumn(_BRICK, brick).drop("_band", "_key")
 
 

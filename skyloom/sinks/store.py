@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import struct
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
 import numpy as np
@@ -43,26 +46,42 @@ class TieredStore:
         of a century add up and a repeated run changes nothing; rows without a block's name are a block of their own.
 
         Rows are dealt by range, so that no century is one task, in files of bounded length, pages of ``layout.PAGE`` rows
-        and the order of ``layout``, whose manifest lies beside the tier.
+        and the order of ``layout``, whose manifest lies beside the tier. They are computed once, into a table that goes after the write.
         """
-        out, parts = df.withColumn("century", century_of(F.col("jd"))).withColumn("block", F.lit(block)), ["century", "block"]
-        placed = layout.NEEDED <= set(out.columns)
-        order = [c for c in ("h3", "jd") if c in out.columns]
-        dealt = layout.arranged(out, "century") if placed else out.repartitionByRange("century", *order).sortWithinPartitions("century", *order)
-        self._put(dealt, tier, parts)
-        if placed:
-            # Of the partitions just written alone; what a block replaces, its bricks replace.
-            touched = [tuple(r) for r in out.select(*parts).distinct().collect()]
-            written = self.spark.read.parquet(f"{self.root}/{tier}").where(F.col("century").isin([t[0] for t in touched]) & (F.col("block") == block))
-            self._put(layout.bricks(written, parts).repartitionByRange("century", "rarity_min").sortWithinPartitions("century", F.desc("rarity_min")), f"manifest/{tier}", parts)
+        with self._once(df) as rows:
+            self._write(tier, rows, block)
         self.stamp()
 
+    @contextmanager
+    def _once(self, df: DataFrame) -> Iterator[DataFrame]:
+        """``df`` as a table of its own, as a write reads its rows several times; the table is deleted at the end."""
+        path = f"{self.root}/passing/{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(path)
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+
+    def _write(self, tier: str, df: DataFrame, block: str) -> None:
+        """``write`` of rows that cost no more than a scan."""
+        out, parts = df.withColumn("century", century_of(F.col("jd"))).withColumn("block", F.lit(block)), ["century", "block"]
+        if not layout.NEEDED <= set(out.columns):
+            order = ["century", *[c for c in ("h3", "jd") if c in out.columns]]
+            self._put(out.repartitionByRange(*order).sortWithinPartitions(*order), tier, parts)
+            return
+        seen = layout.measured(out, "century")
+        self._put(layout.arranged(out, "century", seen), tier, parts)
+        # Of the partitions just written alone; what a block replaces, its bricks replace.
+        written = self.spark.read.parquet(f"{self.root}/{tier}").where(F.col("century").isin(seen["parts"]) & (F.col("block") == block))
+        self._put(layout.bricks(written, parts).sortWithinPartitions("century", F.desc("rarity_min")), f"manifest/{tier}", parts)
+
     def _put(self, df: DataFrame, name: str, parts: list[str]) -> None:
         writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE)
         writer.option("parquet.page.row.count.limit", layout.PAGE).partitionBy(*parts).parquet(f"{self.root}/{name}")
 
     def stamp(self) -> None:
-        self.spark.createDataFrame([(PROJECTION_VERSION,)], "projection_version int").write.mode("overwrite").parquet(f"{self.root}/meta")
+        self.spark.range(1, numPartitions=1).select(F.lit(PROJECTION_VERSION).alias("projection_version")).write.mode("overwrite").parquet(f"{self.root}/meta")
 
     def read(self, tier: str, override: bool = False) -> DataFrame:
         check_projection(read_or_empty(self.spark, f"{self.root}/meta", "projection_version int"), override)
@@ -81,12 +100,13 @@ class TieredStore:
 
         Buckets count from the first frame of the rows, so blocks begin at whole days. The daily tier keeps every row; the others only what reaches ``rarity_min``.
         """
-        first = rows.agg(F.min("frame")).first()[0] or 0
         place = ["node", "lat", "lng", "h3"]
-        self.write("tier1", rows.where(F.col("rarity") >= rarity_min), block)
-        hours = hourly(rows.withColumn("bucket", frame_bucket(F.col("frame"), first, FRAMES_PER_HOUR)), [*place, "bucket"]).drop("bucket")
-        self.write("tier2", hours.where(F.col("rarity") >= rarity_min), block)
-        self.write("tier3", daily(rows.withColumn("bucket", frame_bucket(F.col("frame"), first, FRAMES_PER_DAY)), [*place, "bucket"]).drop("bucket"), block)
+        with self._once(rows) as rows:
+            first = rows.agg(F.min("frame")).first()[0] or 0
+            self._write("tier1", rows.where(F.col("rarity") >= rarity_min), block)
+            hours = hourly(rows.withColumn("bucket", frame_bucket(F.col("frame"), first, FRAMES_PER_HOUR)), [*place, "bucket"]).drop("bucket")
+            self.write("tier2", hours.where(F.col("rarity") >= rarity_min), block)
+            self.write("tier3", daily(rows.withColumn("bucket", frame_bucket(F.col("frame"), first, FRAMES_PER_DAY)), [*place, "bucket"]).drop("bucket"), block)
 
     def query(self, v: Viewport) -> tuple[str, DataFrame]:
         """The tier that serves a viewport, and its rows."""
