@@ -7,6 +7,8 @@ so no task sees more than one block against its own rows.
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,8 @@ from skyloom.functions.angles import dot, norm
 BLOCK_ROWS = 65536
 #: Rows of either side of one matrix product.
 TILE = 2048
+#: Pairs of blocks for each core, so that small tables too keep all cores busy.
+PAIRS_PER_CORE = 4
 
 
 def normalised(df: DataFrame, vec: str = "vec") -> DataFrame:
@@ -38,13 +42,15 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def k_nearest(queries: DataFrame, points: DataFrame, k: int, largest: bool = True, drop_self: bool = False) -> DataFrame:
     """(src, slot, dst, score): the k points of greatest (or least) dot product with each query, ties by id.
 
-    Both frames are (id, vec); ids of points are distinct, rows without a vector have no part, nor have pairs whose product is no number or -Infinity. Both are cut into blocks of ``BLOCK_ROWS``; a task
-    holds one block of each, keeps k points for each query by products of ``TILE`` rows a side, and
+    Both frames are (id, vec); ids of points are distinct, rows without a vector have no part, nor have pairs whose product is no number or -Infinity. Both are cut into blocks of ``BLOCK_ROWS`` at most,
+    and so many that all cores have some; a task holds one block of each, keeps k points for each query by products of ``TILE`` rows a side, and
     the blocks' bests meet by query: rows grow with queries times blocks, never with pairs.
     """
     point = points.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
     asked = queries.select(F.col("id").cast("long").alias("src"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
-    n_blocks, n_shards = max(1, -(-points.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_ROWS))
+    n_points, n_asked = points.count(), queries.count()
+    cut = math.ceil(math.sqrt(PAIRS_PER_CORE * points.sparkSession.sparkContext.defaultParallelism))
+    n_blocks, n_shards = (max(1, -(-n // BLOCK_ROWS), min(cut, -(-n // TILE))) for n in (n_points, n_asked))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     point = point.withColumn("block", part("id", n_blocks)).withColumn("shard", every(n_shards))
@@ -73,9 +79,12 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, largest: bool = Tru
                     place = np.minimum(np.searchsorted(own, names), len(own) - 1)
                     itself = np.flatnonzero(own[place] == names)
                     s[itself, place[itself]] = -np.inf
-                # Ties with the k-th best stay until ids decide.
-                bar = np.maximum(least, np.partition(s, len(own) - k, axis=1)[:, len(own) - k]) if len(own) > k else least
-                i, j = np.nonzero((s >= bar[:, None]) & (s > -np.inf))
+                # Ties with the k-th best stay until ids decide. Only the first tile is searched for it; later ones have few rows that reach the bar so far.
+                bar = least
+                if len(own) > k and np.isneginf(least).any():
+                    bar = np.maximum(least, np.partition(s, len(own) - k, axis=1)[:, len(own) - k])
+                reached = np.flatnonzero(s >= np.maximum(bar, -sys.float_info.max)[:, None])
+                i, j = np.divmod(reached, len(own))
                 row, dst, score = np.concatenate([row, i]), np.concatenate([dst, own[j]]), np.concatenate([score, s[i, j]])
                 order = np.lexsort((dst, -score, row))
                 row, dst, score = row[order], dst[order], score[order]
