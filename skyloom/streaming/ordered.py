@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator
+from itertools import batched
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-#: Rows that go to the state in one call.
-CHUNK = 4096
+#: Rows that go to the state in one call, and in one entry of it: the entry is what costs, on the way there and back.
+CHUNK, SPAN = 4096, 64
+
+_EPOCH, _MICROSECOND = datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC), datetime.timedelta(microseconds=1)
+
+
+def _spans(rows: list[tuple]) -> list[tuple]:
+    """Rows (at, tie, what) as entries of the state: an array for each of the three, of up to ``SPAN`` rows."""
+    return [tuple(map(list, zip(*span, strict=True))) for span in batched(rows, SPAN)]
 
 
 class InOrder(StatefulProcessor):
@@ -31,14 +41,15 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         first, chunk = None, []
-        for row in rows:
-            first = row["_at"] if first is None else min(first, row["_at"])
-            chunk.append((row["_at"], row["_tie"], row["_what"]))
+        for _, ts, tie, what in rows:
+            at = (ts - _EPOCH) // _MICROSECOND
+            first = at if first is None else min(first, at)
+            chunk.append((at, tie, what))
             if len(chunk) == CHUNK:
-                self._waiting.appendList(chunk)
+                self._waiting.appendList(_spans(chunk))
                 chunk = []
         if chunk:
-            self._waiting.appendList(chunk)
+            self._waiting.appendList(_spans(chunk))
         if first is not None:
             self._handle.registerTimer(first // 1000 + 1)
         return iter(())
@@ -46,15 +57,18 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         bound = timerValues.getCurrentWatermarkInMs() * 1000
         ready, later = [], []
-        for row in self._waiting.get():
-            (ready if row[0] < bound else later).append(tuple(row))
+        for span in self._waiting.get():
+            for row in zip(*span, strict=True):
+                (ready if row[0] < bound else later).append(row)
         if not ready:
             return
-        ready.sort(key=lambda row: row[:2])
-        carry, found = self._fold(self._open.get() if self._open.exists() else None, ready)
+        # By (at, tie), without a pair a row.
+        ready.sort(key=itemgetter(1))
+        ready.sort(key=itemgetter(0))
+        carry, found = self._fold(self._open.get(), ready)
         self._open.update(carry)
         if later:
-            self._waiting.put(later)
+            self._waiting.put(_spans(later))
             self._handle.registerTimer(min(row[0] for row in later) // 1000 + 1)
         else:
             self._waiting.clear()
@@ -86,8 +100,8 @@ def _steps(carry, rows):
 
 def _folded(events: DataFrame, node: str, tie: str, what: Column, kind: str, late: str, carry: str, fold, out: str) -> DataFrame:
     rows = events.where(F.col("ts").isNotNull()).withWatermark("ts", late)
-    rows = rows.select(node, "ts", F.unix_micros("ts").alias("_at"), F.coalesce(F.col(tie).cast("long"), F.lit(-1)).alias("_tie"), what.alias("_what"))
-    step = InOrder(f"at long, tie long, what {kind}", carry, fold, (node, *(field.split()[0] for field in out.split(", "))))
+    rows = rows.select(node, "ts", F.coalesce(F.col(tie).cast("long"), F.lit(-1)).alias("_tie"), what.alias("_what"))
+    step = InOrder(f"at array<long>, tie array<long>, what array<{kind}>", carry, fold, (node, *(field.split()[0] for field in out.split(", "))))
     return rows.groupBy(node).transformWithState(step, f"{node} {dict(events.dtypes)[node]}, {out}", "append", "EventTime")
 
 
