@@ -34,14 +34,21 @@ def test_odd_texts(spark):
     assert {r.t: r.jd for r in rows.collect()} == pytest.approx(TEXTS, abs=1e-9)
 
 
-def test_a_text_is_searched_once(spark, capsys):
+@pytest.mark.parametrize("read", [calendar.parse_datetime, calendar.jd_or_datetime])
+def test_a_text_is_searched_once(spark, capsys, read):
     rows = spark.range(3).select(F.concat("id", F.lit("-01-01")).alias("t"))
     capsys.readouterr()
-    rows.select(calendar.parse_datetime(F.col("t"))).explain("codegen")
+    rows.select(read(F.col("t"))).explain("codegen")
     code = capsys.readouterr().out
     assert code.count(".find()") + code.count(".find(0)") <= 2
 
 
+def test_numbers_or_dates(spark):
+    days = {"2451545.5": 2451545.5, " -12 ": -12.0, "1e5": 100000.0, "Infinity": float("inf"), "-0001-01-01": 1720694.5, "2000-01-01": 2451544.5, "x": None, "": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in days], "t string").select("t", calendar.jd_or_datetime(F.col("t")).alias("jd"))
+    assert {r.t: r.jd for r in rows.collect()} == days
+
+
 def test_the_query_stays_within_compiled_code(spark, tmp_path, capsys):
     """The JVM compiles no method of over 8000 bytes; and rows without a day, or that come twice, keep their texts."""
     day = datetime.datetime(2000, 1, 1, 7)
